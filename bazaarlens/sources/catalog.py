@@ -89,7 +89,7 @@ _SPECS = (
         name="product_category_translation",
         columns={"product_category_name": "string", "product_category_name_english": "string"},
         key=("product_category_name",),
-        csv_file="product_category*.csv",
+        csv_file="*product_category*.csv",
     ),
     TableSpec(
         name="products",
@@ -118,7 +118,7 @@ _SPECS = (
             }
         ),
         references=(Reference(("product_category_name",), "product_category_translation"),),
-        csv_file="*products_*.csv",
+        csv_file="*products*.csv",
     ),
     TableSpec(
         name="orders",
@@ -143,7 +143,7 @@ _SPECS = (
             }
         ),
         references=(Reference(("customer_id",), "customers"),),
-        csv_file="*orders_*.csv",
+        csv_file="*orders*.csv",
     ),
     TableSpec(
         name="order_items",
