@@ -47,17 +47,19 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("double"), F.lit(0.0))
 
 
+def number_text(value: Column, pattern: str, digits: int) -> Column:
+    """``value`` rounded half-to-even and formatted; null stays null (``format_string`` alone prints it)."""
+    return F.when(value.isNotNull(), F.format_string(pattern, half_even(value, digits)))
+
+
 def display_number(value: Column, currency: bool = False) -> Column:
     """Short text of a number for a headline: ``1.23M``, ``4.5k``, else two decimals (currency) or none."""
     value = value.cast("double")
     sign = "R$ " if currency else ""
-    small = F.concat(F.lit(sign), F.format_string("%.2f", half_even(value, 2))) if currency else F.format_string(
-        "%,.0f", F.rint(value)
-    )
     return (
-        F.when(value >= 1_000_000, F.concat(F.lit(sign), F.format_string("%.2fM", half_even(value / 1_000_000, 2))))
-        .when(value >= 1_000, F.concat(F.lit(sign), F.format_string("%.1fk", half_even(value / 1_000, 1))))
-        .otherwise(small)
+        F.when(value >= 1_000_000, number_text(value / 1_000_000, f"{sign}%.2fM", 2))
+        .when(value >= 1_000, number_text(value / 1_000, f"{sign}%.1fk", 1))
+        .otherwise(number_text(value, f"{sign}%.2f", 2) if currency else number_text(value, "%,.0f", 0))
     )
 
 

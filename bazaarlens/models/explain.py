@@ -6,12 +6,14 @@ For every row, ``base_value`` plus the attributions is the model output on the s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,9 @@ from bazaarlens.functions.columns import half_even, seeded_order
 from bazaarlens.functions.storage import scratch_path
 from bazaarlens.models.prep import ID, INPUTS, SEED
 
+# The function sent to the executors carries this module's code, which need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements of the (rows, leaves, depth) work arrays of one step.
 WORK_SIZE = 2_000_000
 
@@ -163,14 +168,14 @@ def tree_attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     probability is the logistic function of twice the margin.
     """
     spark = features.sparkSession
-    ensemble = spark.sparkContext.broadcast(read_ensemble(model, spark))
+    ensemble = read_ensemble(model, spark)
     prepared = model.stages[0].transform(features).select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = shapley_values(ensemble.value, batch[list(INPUTS)].to_numpy(dtype=float))
+            values = shapley_values(ensemble, batch[list(INPUTS)].to_numpy(dtype=float))
             out = pd.DataFrame(values, columns=list(INPUTS))
-            out.insert(0, "base_value", ensemble.value.base_value)
+            out.insert(0, "base_value", ensemble.base_value)
             out.insert(0, ID, batch[ID].to_numpy())
             yield out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -142,10 +142,16 @@ def train_models(
     """
     train, test = split(features, seed=settings.seed)
     train, test = materialise(train, "train"), materialise(test, "test")
-    preparation = fit_preparation(train)
-    models = {name: FITTERS[name](train, preparation, settings) for name in names}
-    scored = {name: materialise(scored_labels(model, test), "scored") for name, model in models.items()}
-    return TrainingResult(preparation, train, test, models, scored)
+    return add_models(TrainingResult(fit_preparation(train), train, test, {}, {}), names, settings)
+
+
+def add_models(
+    result: TrainingResult, names: tuple[str, ...], settings: ModelSettings = ModelSettings()
+) -> TrainingResult:
+    """Fit further models on the same rows."""
+    models = {name: FITTERS[name](result.train, result.preparation, settings) for name in names}
+    scored = {name: materialise(scored_labels(model, result.test), "scored") for name, model in models.items()}
+    return replace(result, models=result.models | models, scored=result.scored | scored)
 
 
 def metrics_row(comparison: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.columns import as_double, display_number, half_even, mean_of
+from bazaarlens.functions.columns import as_double, display_number, half_even, mean_of, number_text
 from bazaarlens.operators.product import bottom_category_revenue, top_category_revenue
 from bazaarlens.operators.regional import top_state_revenue
 from bazaarlens.operators.sales import monthly_revenue, payment_order_counts
@@ -170,6 +170,6 @@ def display_kpis(items: DataFrame, features: DataFrame) -> DataFrame:
         display_number(F.col("total_orders")).alias("total_orders"),
         display_number(F.col("customers")).alias("customers"),
         display_number(F.col("avg_order_value"), currency=True).alias("avg_order_value"),
-        F.format_string("%.2f / 5", half_even(F.col("avg_review_item_weighted"), 2)).alias("avg_review"),
-        F.format_string("%.1f%%", half_even(F.col("churn_rate_pct"), 1)).alias("churn_rate"),
+        number_text(F.col("avg_review_item_weighted"), "%.2f / 5", 2).alias("avg_review"),
+        number_text(F.col("churn_rate_pct"), "%.1f%%", 1).alias("churn_rate"),
     )

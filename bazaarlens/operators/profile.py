@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.columns import half_even, mean_of, seeded_order
+from bazaarlens.functions.columns import half_even, mean_of, number_text, seeded_order
 
 SEED = 42
 
@@ -213,11 +213,7 @@ def profile_text(features: DataFrame) -> DataFrame:
     return features.select(
         "customer_unique_id",
         *[
-            (
-                F.format_string("%.2f", half_even(F.col(c), 2))
-                if kinds[c] == "double"
-                else F.col(c).cast("string")
-            ).alias(c)
+            (number_text(F.col(c), "%.2f", 2) if kinds[c] == "double" else F.col(c).cast("string")).alias(c)
             for c in PROFILE_COLUMNS
         ],
     )
