@@ -125,11 +125,15 @@ def order_items_wide(tables: CommerceTables, columns: Iterable[str] = WIDE_COLUM
     )
 
 
-def feature_input(tables: CommerceTables) -> DataFrame:
-    """The uncleaned item rows that the customer features start from; undated orders are left out."""
+def feature_input(tables: CommerceTables, columns: Iterable[str] = FEATURE_INPUT_COLUMNS) -> DataFrame:
+    """The uncleaned item rows that the customer features start from; undated orders are left out.
+
+    Only joins that ``columns`` need are made.
+    """
+    columns = list(columns)
     return (
-        _joined_items(tables, FEATURE_INPUT_COLUMNS)
-        .filter(F.col("order_purchase_timestamp").isNotNull())
+        _joined_items(tables, columns)
+        .dropna(subset=["order_purchase_timestamp"])
         .withColumnsRenamed({"state": "customer_state", "city": "customer_city"})
-        .select(*FEATURE_INPUT_COLUMNS)
+        .select(*columns)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import mean_of, not_below
-from bazaarlens.operators.base import ORDER_TIMES, UNKNOWN, feature_input
+from bazaarlens.operators.base import FEATURE_INPUT_COLUMNS, ORDER_TIMES, UNKNOWN, feature_input, order_facts
 from bazaarlens.sources.tables import CommerceTables
 
 LINE_KEY = ("order_id", "product_id", "seller_id")
@@ -64,16 +64,36 @@ def clean(df: DataFrame, key: Sequence[str] = LINE_KEY) -> DataFrame:
     return fill_payment_type(fill_category(df))
 
 
-def clean_items(tables: CommerceTables) -> DataFrame:
+def _clean_lines(tables: CommerceTables) -> DataFrame:
+    lines = tables.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value")
+    return clip_freight(keep_priced(drop_repeated_lines(lines)))
+
+
+def clean_items(tables: CommerceTables, columns: Sequence[str] = FEATURE_INPUT_COLUMNS) -> DataFrame:
     """``clean(feature_input(tables))``, with the repeated lines dropped from the narrow item table first.
 
     Every other column depends on the order or the product, so the order of the two steps does not matter, and the
-    wide rows are not shuffled by line.
+    wide rows are not shuffled by line. Only joins that ``columns`` need are made.
     """
-    items = tables.order_items.select("order_id", "product_id", "seller_id", "price", "freight_value")
-    items = clip_freight(keep_priced(drop_repeated_lines(items)))
-    joined = drop_undated(parse_timestamps(feature_input(replace(tables, order_items=items))))
-    return fill_payment_type(fill_category(joined))
+    joined = feature_input(replace(tables, order_items=_clean_lines(tables)), columns)
+    filled = {c: UNKNOWN for c in ("category", "payment_type") if c in columns}
+    return joined.fillna(filled) if filled else joined
+
+
+def clean_orders(tables: CommerceTables, columns: Sequence[str] = ("payment_type", "review_score")) -> DataFrame:
+    """The orders of :func:`clean_items`, one row each, without going through the items.
+
+    The first of several equal lines is the one with the highest price, so an order keeps a line exactly when it has
+    a priced one.
+    """
+    priced = keep_priced(tables.order_items).select("order_id")
+    orders = (
+        order_facts(tables, columns)
+        .dropna(subset=["order_purchase_timestamp"])
+        .join(priced, "order_id", "left_semi")
+        .withColumnsRenamed({"state": "customer_state", "city": "customer_city"})
+    )
+    return fill_payment_type(orders) if "payment_type" in columns else orders
 
 
 def cleaning_audit(df: DataFrame, key: Sequence[str] = LINE_KEY) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import flag, floor_days, half_even, mean_of, not_below
+from bazaarlens.operators.cleaning import clean_items, clean_orders
+from bazaarlens.sources.tables import CommerceTables
 
 CHURN_DAYS = 180
 ROUNDING = 4
@@ -86,8 +88,8 @@ def orders_of(items: DataFrame) -> DataFrame:
     )
 
 
-def order_level(items: DataFrame) -> DataFrame:
-    """Order count, purchase times, delivery, review, place and preferred payment per customer.
+def order_level(orders: DataFrame) -> DataFrame:
+    """Order count, purchase times, delivery, review, place and preferred payment per customer, from one row per order.
 
     Rolled up order, customer and payment type, customer: the most used payment type needs no window, and what one
     very active customer sends to a task is one row per payment type and map task.
@@ -97,8 +99,7 @@ def order_level(items: DataFrame) -> DataFrame:
     days = floor_days(purchased, delivered)
     place = F.struct(purchased, "order_id", "customer_state", "customer_city")
     by_payment = (
-        orders_of(items)
-        .groupBy("customer_unique_id", "payment_type")
+        orders.groupBy("customer_unique_id", "payment_type")
         .agg(
             F.count("order_id").alias("orders"),
             F.min(purchased).alias("first_purchase"),
@@ -128,9 +129,9 @@ def order_level(items: DataFrame) -> DataFrame:
     )
 
 
-def preferred_payment(items: DataFrame) -> DataFrame:
+def preferred_payment(orders: DataFrame) -> DataFrame:
     """``customer_unique_id, preferred_payment_method``: most orders, ties to the alphabetically first."""
-    return order_level(items).select("customer_unique_id", "preferred_payment_method")
+    return order_level(orders).select("customer_unique_id", "preferred_payment_method")
 
 
 def add_recency(customers: DataFrame, reference: Column) -> DataFrame:
@@ -164,13 +165,37 @@ def add_churn_label(features: DataFrame, days: int = CHURN_DAYS) -> DataFrame:
     return features.withColumn("churn", flag(F.col("days_since_last_purchase") > days).cast("int"))
 
 
-def customer_features(items: DataFrame, churn_days: int = CHURN_DAYS) -> DataFrame:
-    """The full feature table. ``items`` is read three times, so hand in a stored table where it is large."""
-    joined = item_level(items).join(order_level(items), "customer_unique_id")
-    dated = joined.withColumn("_reference", reference_date(items).scalar())
+def assemble(
+    by_item: DataFrame, by_order: DataFrame, reference: DataFrame, churn_days: int = CHURN_DAYS
+) -> DataFrame:
+    """Join the two aggregates, which are both partitioned by customer already, and derive the other columns."""
+    dated = by_item.join(by_order, "customer_unique_id").withColumn("_reference", reference.scalar())
     features = add_churn_label(add_ratios(add_recency(dated, F.col("_reference"))), churn_days)
     return features.withColumns({c: half_even(F.col(c), ROUNDING) for c in ROUNDED}).select(*FEATURE_COLUMNS)
 
 
+def customer_features(items: DataFrame, churn_days: int = CHURN_DAYS) -> DataFrame:
+    """The full feature table from clean item rows, which are read three times: best from a stored table."""
+    return assemble(item_level(items), order_level(orders_of(items)), reference_date(items), churn_days)
+
+
+# What the item-level features are computed from.
+ITEM_LEVEL_COLUMNS = ("customer_unique_id", "product_id", "seller_id", "price", "freight_value", "category")
+
+
+def features_from_tables(tables: CommerceTables, churn_days: int = CHURN_DAYS) -> DataFrame:
+    """The full feature table straight from the source tables.
+
+    Each part makes only the joins it needs: item features skip payments and reviews, order features skip products
+    and sellers, the reference date skips all of them.
+    """
+    return assemble(
+        item_level(clean_items(tables, ITEM_LEVEL_COLUMNS)),
+        order_level(clean_orders(tables)),
+        reference_date(clean_orders(tables, ())),
+        churn_days,
+    )
+
+
 def churn_rate(features: DataFrame) -> DataFrame:
     return features.agg(F.avg("churn").alias("churn_rate"))

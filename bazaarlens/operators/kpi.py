@@ -19,28 +19,33 @@ def _order_totals(items: DataFrame) -> DataFrame:
         F.sum("item_value").alias("value"),
         F.sum("review_score").alias("score"),
         F.count("review_score").alias("scored"),
+        F.max("review_score").alias("order_score"),
         F.sum("delivery_days").alias("days"),
         F.count("delivery_days").alias("dated"),
         F.sum("is_delayed").alias("late"),
         F.count("*").alias("items"),
     )
-    measures = ("value", "score", "scored", "days", "dated", "late", "items")
+    measures = ("value", "score", "scored", "order_score", "days", "dated", "late", "items")
     customers = orders.groupBy("customer_unique_id").agg(
-        F.count("order_id").alias("orders"), *[F.sum(m).alias(m) for m in measures]
+        F.count("order_id").alias("orders"),
+        F.count("order_score").alias("scored_orders"),
+        *[F.sum(m).alias(m) for m in measures],
     )
     return customers.agg(
         F.count("customer_unique_id").alias("customers"),
         F.sum("orders").alias("orders"),
+        F.sum("scored_orders").alias("scored_orders"),
         *[F.sum(m).alias(m) for m in measures],
     )
 
 
-def _churn_rate(features: DataFrame) -> Column:
-    return features.agg(F.avg("churn") * 100).scalar()
-
-
-def _repeat_rate(features: DataFrame) -> Column:
-    return features.agg(mean_of(F.count_if(F.col("num_orders") > 1), F.count("*")) * 100).scalar()
+def _customer_rates(features: DataFrame) -> Column:
+    """Churn and repeat rate in percent as one struct, so that both come from one run over the features."""
+    rates = F.struct(
+        (F.avg("churn") * 100).alias("churn"),
+        (mean_of(F.count_if(F.col("num_orders") > 1), F.count("*")) * 100).alias("repeat"),
+    )
+    return features.agg(rates).scalar()
 
 
 def executive_kpis(items: DataFrame, features: DataFrame) -> DataFrame:
@@ -48,15 +53,14 @@ def executive_kpis(items: DataFrame, features: DataFrame) -> DataFrame:
 
     The review mean is weighted by item; ``avg_review_per_order`` weights every reviewed order once.
     """
-    by_order = items.groupBy("order_id").agg(F.max("review_score").alias("score"))
     return _order_totals(items).select(
         as_double(F.col("value")).alias("total_revenue"),
         F.col("orders").alias("total_orders"),
         "customers",
         mean_of(F.col("value"), F.col("orders")).alias("avg_order_value"),
         mean_of(F.col("score"), F.col("scored")).alias("avg_review_item_weighted"),
-        by_order.agg(mean_of(F.sum("score"), F.count("score"))).scalar().alias("avg_review_per_order"),
-        _churn_rate(features).alias("churn_rate_pct"),
+        mean_of(F.col("order_score"), F.col("scored_orders")).alias("avg_review_per_order"),
+        _customer_rates(features)["churn"].alias("churn_rate_pct"),
     )
 
 
@@ -68,8 +72,8 @@ def report_kpis(items: DataFrame, features: DataFrame) -> DataFrame:
         F.col("customers").alias("unique_customers"),
         mean_of(F.col("value"), F.col("orders")).alias("avg_order_value"),
         mean_of(F.col("score"), F.col("scored")).alias("avg_review_item_weighted"),
-        _churn_rate(features).alias("churn_rate_pct"),
-        _repeat_rate(features).alias("repeat_rate_pct"),
+        _customer_rates(features)["churn"].alias("churn_rate_pct"),
+        _customer_rates(features)["repeat"].alias("repeat_rate_pct"),
         (mean_of(F.col("late"), F.col("items")) * 100).alias("late_pct_item_weighted"),
     )
 
@@ -115,8 +119,8 @@ def business_context_entries(items: DataFrame, features: DataFrame) -> DataFrame
         "total_unique_customers": as_double(F.col("customers")),
         "avg_order_value_BRL": mean_of(F.col("value"), F.col("orders")),
         "avg_review_score_out_of_5": mean_of(F.col("score"), F.col("scored")),
-        "churn_rate_percent": _churn_rate(features),
-        "repeat_customer_rate_percent": _repeat_rate(features),
+        "churn_rate_percent": _customer_rates(features)["churn"],
+        "repeat_customer_rate_percent": _customer_rates(features)["repeat"],
         "avg_delivery_days": mean_of(F.col("days"), F.col("dated")),
         "pct_orders_delayed": mean_of(F.col("late"), F.col("items")) * 100,
     }
@@ -126,10 +130,12 @@ def business_context_entries(items: DataFrame, features: DataFrame) -> DataFrame
         .unpivot([], list(CONTEXT_SCALARS), "metric", "value")
         .select("metric", F.lit(None).cast("string").alias("key"), "value")
     )
+    # The three rankings read the items once, summed by category and state.
+    cells = items.groupBy("category", "state").agg(F.sum("item_value").alias("item_value"))
     listed = {
-        "top_5_categories_by_revenue": (top_category_revenue(items, 5), "category", "revenue"),
-        "bottom_5_categories_by_revenue": (bottom_category_revenue(items, 5), "category", "revenue"),
-        "top_5_states_by_revenue": (top_state_revenue(items, 5), "state", "revenue"),
+        "top_5_categories_by_revenue": (top_category_revenue(cells, 5), "category", "revenue"),
+        "bottom_5_categories_by_revenue": (bottom_category_revenue(cells, 5), "category", "revenue"),
+        "top_5_states_by_revenue": (top_state_revenue(cells, 5), "state", "revenue"),
         "payment_method_order_share": (payment_order_counts(items), "payment_type", "orders"),
     }
     parts = [

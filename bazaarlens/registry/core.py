@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import half_even
 from bazaarlens.operators.base import feature_input, order_items_wide
-from bazaarlens.operators.cleaning import clean_items
-from bazaarlens.operators.features import customer_features
+from bazaarlens.operators.cleaning import clean_items, clean_orders
+from bazaarlens.operators.features import features_from_tables
 from bazaarlens.registry.views import with_views
 from bazaarlens.sources.tables import CommerceTables
 from bazaarlens.sources.tpch import tables_from_tpch
@@ -42,9 +42,13 @@ class Source:
     def clean(self) -> DataFrame:
         return clean_items(self.tables)
 
+    @cached_property
+    def clean_orders(self) -> DataFrame:
+        return clean_orders(self.tables)
+
     @cached_property
     def features(self) -> DataFrame:
-        return customer_features(self.clean)
+        return features_from_tables(self.tables)
 
 
 def settled(df: DataFrame, digits: int = 4) -> DataFrame:

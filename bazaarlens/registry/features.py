@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import features
+from bazaarlens.operators.cleaning import clean_items
 from bazaarlens.registry.core import Source, register, settled
 from bazaarlens.registry.views import he, mean
 
@@ -10,14 +11,13 @@ _ID = "customer_unique_id"
 
 register(
     "f00_reference_date",
-    lambda s: features.reference_date(s.clean),
+    lambda s: features.reference_date(s.clean_orders),
     "SELECT d AS reference_date FROM v_reference",
 )
 
 
 def _item_level(s: Source, *columns: str):
-    df = features.item_level(s.clean)
-    return df.select(_ID, *columns)
+    return features.item_level(clean_items(s.tables, features.ITEM_LEVEL_COLUMNS)).select(_ID, *columns)
 
 
 register(
@@ -46,7 +46,7 @@ for _name, _columns in (
     _fraction = _columns[0].startswith(("avg", "pct", "weekend"))
     register(
         _name,
-        lambda s, columns=_columns: settled(features.order_level(s.clean).select(_ID, *columns)),
+        lambda s, columns=_columns: settled(features.order_level(s.clean_orders).select(_ID, *columns)),
         "SELECT customer_unique_id, "
         + ", ".join(f"{he(c)} AS {c}" if _fraction else c for c in _columns)
         + " FROM v_order_level",
@@ -54,7 +54,7 @@ for _name, _columns in (
 
 
 def _recency(s: Source):
-    dated = features.order_level(s.clean).withColumn("_reference", features.reference_date(s.clean).scalar())
+    dated = features.order_level(s.clean_orders).withColumn("_reference", features.reference_date(s.clean_orders).scalar())
     return features.add_recency(dated, F.col("_reference"))
 
 
@@ -70,7 +70,7 @@ for _name, _column in (
     )
 register(
     "f14_preferred_payment",
-    lambda s: features.preferred_payment(s.clean),
+    lambda s: features.preferred_payment(s.clean_orders),
     "SELECT customer_unique_id, preferred_payment_method FROM v_preferred",
 )
 for _name, _column in (
@@ -100,3 +100,8 @@ register(
     lambda s: s.features,
     f"SELECT {', '.join(features.FEATURE_COLUMNS)} FROM v_features",
 )
+register(
+    "f21_customer_features_of_items",
+    lambda s: features.customer_features(s.clean),
+    f"SELECT {', '.join(features.FEATURE_COLUMNS)} FROM v_features",
+)
