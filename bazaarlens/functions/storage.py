@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read, taken from ``spark.checkpoint.dir``.
@@ -19,8 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="bazaarlens-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="bazaarlens-")
+        folder = _local_folders[application]
     return folder
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,7 +74,7 @@ def clean_items(tables: CommerceTables, columns: Sequence[str] = FEATURE_INPUT_C
     Every other column depends on the order or the product, so the order of the two steps does not matter, and the
     wide rows are not shuffled by line. Only joins that ``columns`` need are made.
     """
-    joined = feature_input(replace(tables, order_items=_clean_lines(tables)), columns)
+    joined = feature_input(tables.replaced(order_items=_clean_lines(tables)), columns)
     filled = {c: UNKNOWN for c in ("category", "payment_type") if c in columns}
     return joined.fillna(filled) if filled else joined
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,23 +16,32 @@ log = logging.getLogger(__name__)
 ORDER_KEYED = ("orders", "order_items", "payments", "reviews")
 
 
-@dataclass(frozen=True)
 class CommerceTables:
-    """The source tables by name. A table that was not loaded is ``None``."""
-
-    customers: DataFrame | None = None
-    geolocation: DataFrame | None = None
-    sellers: DataFrame | None = None
-    product_category_translation: DataFrame | None = None
-    products: DataFrame | None = None
-    orders: DataFrame | None = None
-    order_items: DataFrame | None = None
-    payments: DataFrame | None = None
-    reviews: DataFrame | None = None
+    """The source tables as attributes, named as in the catalog.
+
+    A table is given as a DataFrame or as a function that builds it on first use; one that was not loaded is ``None``.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame] | None):
+        unknown = set(tables) - set(CATALOG)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._tables = {name: tables.get(name) for name in CATALOG}
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in CATALOG:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
 
     def present(self) -> dict[str, DataFrame]:
-        loaded = {f.name: getattr(self, f.name) for f in fields(self)}
-        return {name: df for name, df in loaded.items() if df is not None}
+        return {name: getattr(self, name) for name in CATALOG if getattr(self, name) is not None}
+
+    def replaced(self, **tables: DataFrame) -> CommerceTables:
+        """The same tables but for the given ones."""
+        return CommerceTables(**(self._tables | tables))
 
     def register_views(self) -> None:
         """Make every loaded table usable by name in ``spark.sql``."""
