@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,6 +170,8 @@ def tree_attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     spark = features.sparkSession
     ensemble = read_ensemble(model, spark)
     prepared = model.stages[0].transform(features).select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
+    # Rows are few bytes but much work, so they are spread over all cores instead of by size.
+    prepared = prepared.repartition(spark.sparkContext.defaultParallelism, ID)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,6 +188,16 @@ def tree_attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     return prepared.mapInPandas(attribute, schema)
 
 
+def attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Attributions of any of the fitted models: log-odds for the linear one, see above for the trees."""
+    classifier = model.stages[-1]
+    if not isinstance(classifier, LogisticRegressionModel):
+        return tree_attributions(model, features)
+    scaled = model.stages[0].transform(features).select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
+    coefficients = dict(zip(INPUTS, classifier.coefficients.toArray().tolist(), strict=True))
+    return linear_attributions(scaled, coefficients, classifier.intercept)
+
+
 def long_form(attributions: DataFrame, inputs: Sequence[str] = INPUTS) -> DataFrame:
     """``id, feature, value`` rows."""
     return attributions.unpivot([ID], list(inputs), "feature", "value")

@@ -35,6 +35,7 @@ class ModelSettings:
     """Hyperparameters; the defaults are the published ones."""
 
     max_iterations: int = 1000
+    tolerance: float = 1e-4
     inverse_penalty: float = 1.0
     forest_trees: int = 300
     forest_depth: int = 8
@@ -60,6 +61,7 @@ def fit_logistic(train: DataFrame, preparation: Preparation, settings: ModelSett
         labelCol=LABEL,
         weightCol="weight",
         maxIter=settings.max_iterations,
+        tol=settings.tolerance,
         # Spark divides the loss by the total weight, which balancing keeps at the number of rows.
         regParam=1.0 / (settings.inverse_penalty * rows),
         standardization=False,

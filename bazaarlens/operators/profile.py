@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -140,21 +141,32 @@ def churn_by_state(features: DataFrame, limit: int = 15) -> DataFrame:
     return rates.orderBy(F.desc("churn_rate_pct"), "state").limit(limit)
 
 
-def correlation_matrix(features: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
+def correlation_matrix(
+    features: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS, block: int = 16
+) -> DataFrame:
     """Pearson correlation of every pair of ``columns``, in long form and both directions.
 
-    Rows with a null in either column are skipped for that pair alone. One aggregate covers all pairs.
+    Rows with a null in either column are skipped for that pair alone. Pairs are aggregated in blocks, since one
+    aggregate over all pairs is too wide for generated code and several times slower; each block reads only its own
+    columns, so hand in a stored table.
     """
     pairs = list(combinations_with_replacement(columns, 2))
-    both = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
-    row = features.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
-            for a, b, i in both
-        ]
+    return reduce(
+        DataFrame.unionByName,
+        [_correlations(features, pairs[start : start + block]) for start in range(0, len(pairs), block)],
+    )
+
+
+def _correlations(features: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    def cell(a: str, b: str, i: int) -> Column:
+        return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
+
+    row = features.agg(
+        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     )
-    return row.select(F.inline(cells)).withColumn("r", half_even(F.col("r"), 2))
+    cells = [cell(a, b, i) for i, (a, b) in enumerate(pairs)]
+    cells += [cell(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    return row.select(F.inline(F.array(*cells))).withColumn("r", half_even(F.col("r"), 2))
 
 
 def buyer_types(features: DataFrame) -> DataFrame:

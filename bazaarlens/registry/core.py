@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import half_even
+from bazaarlens.functions.storage import materialise
 from bazaarlens.operators.base import feature_input, order_items_wide
 from bazaarlens.operators.cleaning import clean_items, clean_orders
 from bazaarlens.operators.features import features_from_tables
@@ -50,6 +51,11 @@ class Source:
     def features(self) -> DataFrame:
         return features_from_tables(self.tables)
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """The feature table written once, for operators that read it several times."""
+        return materialise(self.features, "features")
+
 
 def settled(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round the fractional columns: sums of doubles differ in their last bits with the order of the rows."""

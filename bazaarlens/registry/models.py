@@ -15,18 +15,13 @@ _COEFFICIENTS = {"num_orders": -0.5, "pct_delayed": 1.75, "avg_basket_size": 0.1
 _INTERCEPT = 0.25
 
 
-def _stored_features(s: Source) -> DataFrame:
-    """Feature table stored once: the fits below read it several times."""
-    return materialise(s.features, "features")
-
-
 def _prepared(s: Source, scale: bool = False) -> DataFrame:
-    features = _stored_features(s)
+    features = s.stored_features
     return prep.apply_preparation(features, prep.fit_preparation(features), scale)
 
 
 def _medians(s: Source) -> DataFrame:
-    found = prep.medians(_stored_features(s))
+    found = prep.medians(s.stored_features)
     return s.spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
@@ -83,7 +78,7 @@ register(
 )
 register(
     "m06_stratified_split",
-    lambda s: prep.mark_test_rows(_stored_features(s)).select(prep.ID, prep.LABEL, "is_test"),
+    lambda s: prep.mark_test_rows(s.stored_features).select(prep.ID, prep.LABEL, "is_test"),
     """SELECT customer_unique_id, churn,
               ROW_NUMBER() OVER (PARTITION BY churn ORDER BY substr(md5(concat_ws(':', 42, customer_unique_id)), 1, 13))
               <= floor(0.2 * COUNT(*) OVER (PARTITION BY churn) + 0.5) AS is_test
@@ -99,15 +94,16 @@ register(
 
 
 def _closed_form(s: Source) -> DataFrame:
-    """A score without a fitted model: both engines compute it to the last bit."""
+    """A score without a fitted model: both engines compute it to the last bit. Stored, like a model's scores."""
     slow = F.coalesce(F.col("avg_delivery_days"), F.lit(0.0))
     value = half_even(slow / (slow + 14.0), 2)
-    return s.features.select(
+    scored = s.features.select(
         prep.ID,
         F.col("churn").alias("label"),
         value.alias("score"),
         (value > 0.5).cast("int").alias("prediction"),
     )
+    return materialise(scored, "scored")
 
 
 _RATIO = "COALESCE(CAST({} AS DOUBLE) / NULLIF(CAST({} AS DOUBLE), 0), 0)"
@@ -131,7 +127,7 @@ register(
 )
 register(
     "m12_roc_curve",
-    lambda s: settled(evaluate.roc_curve(materialise(_closed_form(s), "scored"))),
+    lambda s: settled(evaluate.roc_curve(_closed_form(s))),
     f"""SELECT score AS threshold,
                {he('SUM(n) OVER (ORDER BY score DESC) / CAST(SUM(n) OVER () AS DOUBLE)')} AS fpr,
                {he('SUM(p) OVER (ORDER BY score DESC) / CAST(SUM(p) OVER () AS DOUBLE)')} AS tpr
@@ -180,7 +176,7 @@ register(
 
 
 def _linear(s: Source) -> DataFrame:
-    return explain.linear_attributions(_stored_features(s), _COEFFICIENTS, _INTERCEPT)
+    return explain.linear_attributions(s.stored_features, _COEFFICIENTS, _INTERCEPT)
 
 
 register(
@@ -217,7 +213,7 @@ def _training(s: Source, *names: str) -> train.TrainingResult:
     missing = [n for n in names if known is None or n not in known.models]
     if missing:
         new = (
-            train.train_models(_stored_features(s), names=tuple(missing))
+            train.train_models(s.stored_features, names=tuple(missing))
             if known is None
             else train.add_models(known, tuple(missing))
         )

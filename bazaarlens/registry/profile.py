@@ -42,7 +42,7 @@ register(
 for _bins in (80, 60):
     register(
         f"e05_spend_histogram_{_bins}",
-        lambda s, bins=_bins: settled(profile.spend_histogram(s.features, bins)),
+        lambda s, bins=_bins: settled(profile.spend_histogram(s.stored_features, bins)),
         f"""WITH r AS (SELECT MIN(total_spend) AS lo, (MAX(total_spend) - MIN(total_spend)) / {_bins} AS w
                        FROM v_features),
                  b AS (SELECT CAST(LEAST(floor((total_spend - lo) / w), {_bins - 1}) AS INT) AS bin, lo, w
@@ -86,12 +86,12 @@ def _correlations(columns) -> str:
 
 register(
     "e09_correlation_matrix",
-    lambda s: profile.correlation_matrix(s.features),
+    lambda s: profile.correlation_matrix(s.stored_features),
     _correlations(profile.CORRELATION_COLUMNS),
 )
 register(
     "e10_short_correlation_matrix",
-    lambda s: profile.correlation_matrix(s.features, profile.SHORT_CORRELATION_COLUMNS),
+    lambda s: profile.correlation_matrix(s.stored_features, profile.SHORT_CORRELATION_COLUMNS),
     _correlations(profile.SHORT_CORRELATION_COLUMNS),
 )
 register(
