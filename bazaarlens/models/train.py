@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.storage import ensure_checkpoint_dir, materialise
 from bazaarlens.models import evaluate
 from bazaarlens.models.prep import (
+    ID,
     INPUTS,
     LABEL,
     SEED,
@@ -130,9 +131,10 @@ class TrainingResult:
             curves = curves.unionByName(part)
         return curves
 
-    def best(self) -> str:
-        """Name of the model with the highest ROC AUC."""
-        return self.comparison().first()["model"]
+
+def best_of(comparison: DataFrame) -> str:
+    """Name of the model with the highest ROC AUC."""
+    return comparison.orderBy(F.desc("roc_auc"), "model").first()["model"]
 
 
 def train_models(
@@ -140,10 +142,12 @@ def train_models(
 ) -> TrainingResult:
     """Split, fit the preparation on the training rows, fit the models, score the test rows.
 
-    Iterations read the training rows many times, so these are stored once, and so are the test scores.
+    Iterations read the training rows many times, so these are stored once, and so are the test scores. A pass costs
+    far more per row than reading it, so the training rows are spread over all cores.
     """
+    cores = features.sparkSession.sparkContext.defaultParallelism
     train, test = split(features, seed=settings.seed)
-    train, test = materialise(train, "train"), materialise(test, "test")
+    train, test = materialise(train.repartition(cores, ID), "train"), materialise(test, "test")
     return add_models(TrainingResult(fit_preparation(train), train, test, {}, {}), names, settings)
 
 

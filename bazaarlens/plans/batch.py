@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlens.functions.storage import materialise
 from bazaarlens.models import evaluate, explain, train
 from bazaarlens.operators import features, profile, quality
 from bazaarlens.sources import artifacts
@@ -69,8 +70,9 @@ def train_and_store(
     """Train the classifiers, keep the one with the highest ROC AUC, and store its artefacts."""
     spark = table.sparkSession
     result = train.train_models(table, settings)
-    comparison = result.comparison()
-    best = result.best()
+    # A few rows that cost several passes over the scores, and are used several times.
+    comparison = materialise(result.comparison(), "comparison")
+    best = train.best_of(comparison)
     model = result.models[best]
     artifacts.save_model(model, folder)
     artifacts.write_metrics(train.metrics_row(comparison, best), folder)
