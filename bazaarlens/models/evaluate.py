@@ -65,11 +65,13 @@ def _by_score(scored: DataFrame) -> DataFrame:
 
 def roc_curve(scored: DataFrame) -> DataFrame:
     """``threshold, fpr, tpr`` at every distinct score, from the highest down; rows at or above it count as 1."""
-    totals = scored.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    totals = scored.agg(
+        F.struct(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    ).scalar()
     return _by_score(scored).select(
         F.col("score").alias("threshold"),
-        F.try_divide(F.col("cum_negatives").cast("double"), totals.select("n").scalar()).alias("fpr"),
-        F.try_divide(F.col("cum_positives").cast("double"), totals.select("p").scalar()).alias("tpr"),
+        F.try_divide(F.col("cum_negatives").cast("double"), totals["n"]).alias("fpr"),
+        F.try_divide(F.col("cum_positives").cast("double"), totals["p"]).alias("tpr"),
     )
 
 

@@ -38,8 +38,9 @@ def linear_attributions(
 
     ``df`` holds the id and the inputs as the model sees them; the background is the table itself by default.
     """
-    means = (background if background is not None else df).agg(*[F.avg(c).alias(c) for c in coefficients])
-    mean_of = {c: means.select(c).scalar() for c in coefficients}
+    means = F.struct(*[F.avg(c).alias(c) for c in coefficients])
+    # One aggregate for all means; Spark runs an identical scalar subquery once.
+    mean_of = (background if background is not None else df).agg(means).scalar()
     base = F.lit(float(intercept))
     for name, coefficient in coefficients.items():
         base = base + F.lit(float(coefficient)) * mean_of[name]

@@ -63,8 +63,13 @@ def medians(train: DataFrame, columns: Sequence[str] = NUMERIC_INPUTS) -> dict[s
 
 def modes(train: DataFrame, columns: Sequence[str] = CATEGORICAL_INPUTS) -> dict[str, str | None]:
     """Most frequent value per categorical input; the smaller value wins a tie."""
-    row = train.agg(*[F.mode(c, True).alias(c) for c in columns]).first()
-    return row.asDict()
+    return {c: _most_frequent(train, c) for c in columns}
+
+
+def _most_frequent(train: DataFrame, column: str) -> str | None:
+    counts = train.dropna(subset=[column]).groupBy(column).count()
+    top = counts.orderBy(F.desc("count"), column).first()
+    return top[column] if top else None
 
 
 def category_codes(train: DataFrame, column: str, fill: str | None) -> dict[str, int]:

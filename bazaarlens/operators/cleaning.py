@@ -97,15 +97,20 @@ def clean_orders(tables: CommerceTables, columns: Sequence[str] = ("payment_type
 
 def cleaning_audit(df: DataFrame, key: Sequence[str] = LINE_KEY) -> DataFrame:
     """Rows in, rows dropped by each rule, rows out, and the dropped share in percent, as one row."""
-    dated = drop_undated(parse_timestamps(df))
+    dated = F.col("order_purchase_timestamp").isNotNull()
     # Copies of a line collapse to one row with their number and the price of the first, in one aggregate.
-    lines = dated.groupBy(*key).agg(F.count("*").alias("copies"), F.max("price").alias("price"))
-    kept = F.count_if(F.col("price") > 0)
-    after = lines.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("dated"), F.count("*").alias("lines"), kept.alias("rows_out")
+    lines = (
+        parse_timestamps(df)
+        .groupBy(*key, dated.alias("dated"))
+        .agg(F.count("*").alias("copies"), F.max("price").alias("price"))
     )
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return after.withColumn("rows_in", total).select(
+    counted = lines.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
+        F.coalesce(F.sum(F.when(F.col("dated"), F.col("copies"))), F.lit(0)).alias("dated"),
+        F.count_if("dated").alias("lines"),
+        F.count_if(F.col("dated") & (F.col("price") > 0)).alias("rows_out"),
+    )
+    return counted.select(
         "rows_in",
         (F.col("rows_in") - F.col("dated")).alias("dropped_undated"),
         (F.col("dated") - F.col("lines")).alias("dropped_repeated"),

@@ -94,10 +94,10 @@ def spend_histogram(features: DataFrame, bins: int = 80, column: str = "total_sp
 
     The range comes from its own one-row aggregate, so the values are never gathered.
     """
-    low, high = features.agg(F.min(column)).scalar(), features.agg(F.max(column)).scalar()
+    span = features.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     width = (F.col("high") - F.col("low")) / bins
     placed = features.dropna(subset=[column]).select(
-        F.col(column).alias("value"), low.alias("low"), high.alias("high")
+        F.col(column).alias("value"), span["low"].alias("low"), span["high"].alias("high")
     )
     index = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), width)), F.lit(0))
     return (
