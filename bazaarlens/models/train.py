@@ -26,6 +26,9 @@ from bazaarlens.models.prep import (
 )
 from bazaarlens.models.score import scored_labels
 
+# Fewer training rows than this do not pay for another task in each of the many small jobs of a fit.
+ROWS_PER_TASK = 2000
+
 LOGISTIC = "Logistic Regression"
 FOREST = "Random Forest"
 BOOSTED = "Gradient-Boosted Trees"
@@ -143,11 +146,11 @@ def train_models(
     """Split, fit the preparation on the training rows, fit the models, score the test rows.
 
     Iterations read the training rows many times, so these are stored once, and so are the test scores. A pass costs
-    far more per row than reading it, so the training rows are spread over all cores.
+    far more per row than reading it, so the training rows are spread over the cores, but not into tasks of a few rows.
     """
-    cores = features.sparkSession.sparkContext.defaultParallelism
+    tasks = min(features.sparkSession.sparkContext.defaultParallelism, features.count() // ROWS_PER_TASK + 1)
     train, test = split(features, seed=settings.seed)
-    train, test = materialise(train.repartition(cores, ID), "train"), materialise(test, "test")
+    train, test = materialise(train.repartition(tasks, ID), "train"), materialise(test, "test")
     return add_models(TrainingResult(fit_preparation(train), train, test, {}, {}), names, settings)
 
 
