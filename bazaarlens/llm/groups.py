@@ -1,12 +1,13 @@
 """Groups of documents, and messages between them.
 
 Operators that look for equal pieces of text all over the corpus work in rounds. Documents are dealt once, by a hash of
-their id, into as many groups as there are shuffle partitions. In each round a group sends one packed row of its distinct
+their id, into groups, a few for each shuffle partition. In each round a group sends one packed row of its distinct
 hashes to each hash range, a range compares what all groups sent, and sends back to each group only what that group has
 to know. A piece that a third of all documents hold is thus one entry a group, not one a document; texts are shuffled
 once, as the rounds of a query share the exchange.
 
-Size ``spark.sql.shuffle.partitions`` so that a group has some tens of MB of text.
+There are as many hash ranges as shuffle partitions. Size ``spark.sql.shuffle.partitions`` so that a partition has some tens
+of MB of text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 from bazaarlens.llm.arrays import pack
 
 GROUP, ID, TEXT = "__group", "__id", "__text"
+#: Several groups share a task, so that tasks are even.
+GROUPS_PER_RANGE = 3
 #: A null id stands after all others.
 LAST_ID = 2**63 - 1
 MESSAGE = T.StructType(
@@ -31,7 +34,7 @@ MESSAGE = T.StructType(
 MESSAGE_ARROW = pa.schema([("to", pa.int32()), ("origin", pa.int32()), ("body", pa.binary())])
 
 
-def group_count(docs: DataFrame) -> int:
+def range_count(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -76,9 +79,11 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def answers(origin: np.ndarray, *arrays: np.ndarray) -> pa.Table:
     """Entries sent back to the groups they came from, in their order."""
+    if not len(origin):
+        return messages([])
     order = np.argsort(origin, kind="stable")
     origin = origin[order]
-    cuts = np.flatnonzero(np.r_[True, origin[1:] != origin[:-1]]) if len(origin) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, origin[1:] != origin[:-1]])
     rows = []
     for a, b in zip(cuts, np.r_[cuts[1:], len(origin)], strict=True):
         part = order[a:b]

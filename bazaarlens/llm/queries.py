@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bazaarlens.functions.storage import materialise
+from bazaarlens.llm.chat import format_chats, read_loss, read_turns, threads
+from bazaarlens.llm.decontaminate import contamination
+from bazaarlens.llm.neardup import near_duplicates
+from bazaarlens.llm.quality import fit, judge, signals
 from bazaarlens.llm.substring import substring_dedup
+from bazaarlens.llm.suffixes import suffix_dedup
+from bazaarlens.llm.urls import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +57,145 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    "op10_suffix_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n FROM d),
+    p AS (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM s WHERE n >= 50),
+    v AS (SELECT doc_id, i, md5_number(substring(h, CAST(2 * i - 1 AS BIGINT), 100)) AS k FROM p),
+    f AS (SELECT k, min(doc_id) AS lowest FROM v GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+    r AS (SELECT v.doc_id, v.i FROM v JOIN f USING (k) WHERE f.lowest < v.doc_id),
+    g AS (SELECT doc_id, i, sum(CASE WHEN i - coalesce(before, -100) > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span
+          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+    m AS (SELECT doc_id, span, min(i) AS a, max(i) + 49 AS b FROM g GROUP BY doc_id, span),
+    o AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops, CAST(sum(b - a + 1) AS BIGINT) AS gone FROM m GROUP BY doc_id)
+    SELECT s.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, CAST(coalesce(len(starts), 0) AS BIGINT) AS n_spans,
+      sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda j:
+        substring(h, CAST(CASE WHEN j = 0 THEN 1 ELSE 2 * stops[j] + 1 END AS BIGINT),
+                  CAST(CASE WHEN j = len(starts) THEN length(h) ELSE 2 * (starts[j + 1] - 1) END
+                    - CASE WHEN j = 0 THEN 0 ELSE 2 * stops[j] END AS BIGINT))), '') END)) AS kept_sha256
+    FROM s LEFT JOIN o USING (doc_id)
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op5_decontamination",
+    rf"""
+    WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+    b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS m,
+             array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+           FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                 FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+    hit AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.m = bw.m),
+    c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM hit) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return contamination(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    measured = materialise(signals(table(spark, folder, "documents", "doc_id", "text")), "signals")
+    judged = judge(measured, fit(measured))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, F.round("quality", 6).alias("quality"))
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query(
+    "op7_url_filter",
+    r"""
+    WITH r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                               ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+    m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+          FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+    SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, folder, "pages", "page_id", "url")
+    return apply_rules(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query(
+    "op9_chat_format",
+    rf"""
+    WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '{_CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{_CONTROL}')
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(32 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT)
+        AS formatted_chars
+    FROM m GROUP BY conv_id
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, i, r, _CONTROL) for i, r in enumerate(("user", "assistant"))], rows.schema)
+    chats = format_chats(threads(rows.unionByName(control)))
+    turns, said = read_turns(F.col("formatted")), read_loss(F.col("formatted"), F.col("loss"))
+    whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        F.col("conv").alias("conv_id"),
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length(said).cast("long").alias("loss_chars"),
+        F.sha2(said.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(
+    "op3_minhash_dedup",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 2], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.k + nb.k - c)),
+    r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+    SELECT r.doc_id, CAST(coalesce(any_value(k), 0) AS BIGINT) AS n_shingles, min(reach) AS component_id, r.doc_id = min(reach) AS kept
+    FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))

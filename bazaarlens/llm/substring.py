@@ -65,9 +65,9 @@ def substring_dedup(
     row repeated as a whole removes nothing of its twin. An empty table gives an empty result.
     """
     block = window // 2
-    n = G.group_count(docs)
+    n = G.range_count(docs)
     columns = [f for f in docs.schema.fields if f.name != text_col]
-    texts = G.in_groups(docs, id_col, text_col, n)
+    texts = G.in_groups(docs, id_col, text_col, G.GROUPS_PER_RANGE * n)
 
     def probe(table: pa.Table) -> pa.Table:
         keys = [np.zeros(0, np.uint64)]
