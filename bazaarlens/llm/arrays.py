@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Word separators, by byte. WHITE: everything but ``[^\x20\x09-\x0D]``; PLAIN: all ASCII but letters and digits.
 WHITE = np.zeros(256, bool)
@@ -44,7 +44,7 @@ def _power(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64)
             for x in (step, pow(step, -1, 2**64))
         )
-        if size <= 4 * SLICE_BYTES:  # what one very long text needs is not kept
+        if size <= 8 * SLICE_BYTES:  # what one very long text needs is not kept
             _powers[step] = kept
     return kept
 

@@ -1,13 +1,12 @@
 """Groups of documents, and messages between them.
 
 Operators that look for equal pieces of text all over the corpus work in rounds. Documents are dealt once, by a hash of
-their id, into groups, a few for each shuffle partition. In each round a group sends one packed row of its distinct
+their id, into groups, a few for each shuffle partition, and there are as many hash ranges. In each round a group sends one packed row of its distinct
 hashes to each hash range, a range compares what all groups sent, and sends back to each group only what that group has
 to know. A piece that a third of all documents hold is thus one entry a group, not one a document; texts are shuffled
 once, as the rounds of a query share the exchange.
 
-There are as many hash ranges as shuffle partitions. Size ``spark.sql.shuffle.partitions`` so that a partition has some tens
-of MB of text.
+Size ``spark.sql.shuffle.partitions`` so that a partition has some tens of MB of text.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from pyspark.sql import types as T
 from bazaarlens.llm.arrays import pack
 
 GROUP, ID, TEXT = "__group", "__id", "__text"
-#: Several groups share a task, so that tasks are even.
-GROUPS_PER_RANGE = 3
+#: Several groups share a task, so that tasks are even and a group is small.
+GROUPS_PER_TASK = 3
 #: A null id stands after all others.
 LAST_ID = 2**63 - 1
 MESSAGE = T.StructType(
@@ -34,8 +33,8 @@ MESSAGE = T.StructType(
 MESSAGE_ARROW = pa.schema([("to", pa.int32()), ("origin", pa.int32()), ("body", pa.binary())])
 
 
-def range_count(docs: DataFrame) -> int:
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def group_count(docs: DataFrame, per_task: int = GROUPS_PER_TASK) -> int:
+    return max(1, per_task * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.storage import materialise
+from bazaarlens.llm.bpe import encode, read_ranks
 from bazaarlens.llm.chat import format_chats, read_loss, read_turns, threads
 from bazaarlens.llm.decontaminate import contamination
+from bazaarlens.llm.langid import held_out, predict, train
+from bazaarlens.llm.mixing import score
 from bazaarlens.llm.neardup import near_duplicates
 from bazaarlens.llm.quality import fit, judge, signals
 from bazaarlens.llm.substring import substring_dedup
@@ -199,3 +202,33 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    model = train(docs.filter(~held_out("doc_id", 3)))
+    judged = predict(docs.select("doc_id", held_out("doc_id", 3).alias("held_out"), "text"), model)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+#: The public rank file that the BPE queries use; another may be named.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def ranks_and_pattern(name: str = RANKS) -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+
+    return read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents", "doc_id", "text"), *ranks_and_pattern())
+
+
+@query("op4_context_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text").withColumn("held_out", held_out("doc_id", 5))
+    scored = score(docs, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")

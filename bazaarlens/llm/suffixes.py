@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from bazaarlens.llm import groups as G
-from bazaarlens.llm.arrays import byte_sums, covered, group_edges, member, mix, slices, text_buffers, unpack, unpack_all
+from bazaarlens.llm.arrays import byte_sums, covered, group_edges, member, mix, pack, slices, text_buffers, unpack, unpack_all
 
 SEED_BYTES = 24
 _LOW = np.uint64(0xFFFFFFFF)
@@ -76,7 +76,7 @@ def repeated_windows(blob: np.ndarray, starts: np.ndarray, window: int) -> tuple
     ``starts``: places of the suffixes in ``blob``, each with ``window`` bytes after it.
     """
     digits = np.ndarray((max(0, len(blob) - 7),), ">u8", blob.tobytes(), strides=(1,))
-    at, group = starts, np.zeros(len(starts), np.int64)
+    at, group = starts, np.zeros(len(starts), np.int32)
     first = np.zeros(0, np.int64)
     for depth in [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]:
         if not len(at):
@@ -86,13 +86,14 @@ def repeated_windows(blob: np.ndarray, starts: np.ndarray, window: int) -> tuple
         if depth:
             order = order[np.argsort(group[order], kind="stable")]
         at, group, key = at[order], group[order], key[order]
+        del order
         first = group_edges(group, key)
         size = np.diff(np.r_[first, len(at)])
         many = size > 1
         keep = np.repeat(many, size)
         at = at[keep]
         size = size[many]
-        group = np.repeat(np.arange(len(size)), size)
+        group = np.repeat(np.arange(len(size), dtype=np.int32), size)
         first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(size) else np.zeros(0, np.int64)
     return at, first
 
@@ -104,8 +105,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     but the text's and adds n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256. A null id counts as the
     largest; rows with one id count as one document. An empty table gives an empty result.
     """
-    n = G.range_count(docs)
-    texts = G.in_groups(docs, id_col, text_col, G.GROUPS_PER_RANGE * n)
+    n = G.group_count(docs)
+    texts = G.in_groups(docs, id_col, text_col, n)
     columns = [f for f in docs.schema.fields if f.name not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")]
 
     def seeds(table: pa.Table) -> pa.Table:
@@ -156,7 +157,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = order[a:b]
                 part = part[np.argsort(key[part])]
                 text = np.frombuffer(b"".join(bodies[j] for j in part.tolist()), np.uint8)
-                rows.append((i, origin, G.pack(key[part], windows[part], doc[part], text)))
+                rows.append((i, origin, pack(key[part], windows[part], doc[part], text)))
         return G.messages(rows)
 
     def ordered(table: pa.Table) -> pa.Table:
@@ -168,6 +169,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         origin = np.repeat(table["origin"].to_numpy(), [len(p[0]) for p in parts])
         size = windows + window - 1
         start = np.cumsum(size) - size
+        place_kind = np.int32 if len(blob) < 2**31 else np.int64
         order = np.argsort(key, kind="stable")
         first = group_edges(key[order])
         text_of = np.empty(len(key), np.int64)
@@ -176,10 +178,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         smallest = np.minimum.reduceat(doc[order], first)
         count = windows[lead]
         base = np.cumsum(count) - count  # where each distinct run's windows stand among all
-        inner = np.arange(count.sum()) - np.repeat(base, count)
-        of = np.repeat(np.arange(len(lead)), count)
+        of = np.repeat(np.arange(len(lead), dtype=np.int32), count)
+        inner = (np.arange(len(of)) - base[of]).astype(place_kind)
         best = smallest[of]
-        at, cuts = repeated_windows(blob, start[lead][of] + inner, window)
+        at, cuts = repeated_windows(blob, start[lead].astype(place_kind)[of] + inner, window)
         if len(at):
             # back from a place in the blob to the window's number
             by_start = np.argsort(start[lead])
