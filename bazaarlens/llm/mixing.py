@@ -2,13 +2,14 @@
 
 A text is coded as its lower-cased words, a space after each, and an end sign. Each byte is a path of binary decisions
 down a Huffman tree of the corpus's bytes, so that a byte takes four to five decisions and not eight. Every decision is
-predicted from several contexts (the last one, two, three and five bytes, and the word so far), each hashed to one of a
-fixed number of slots whose counts over all training documents give a probability. The predictions are added in the
-logistic domain under weights that a gate selects, namely how many of the longer contexts have been seen; the weights
+predicted from several contexts (the last one, two, three, four and six bytes, and the word so far). Short contexts are
+hashed to slots that count the next bytes, long ones are hashed together with the decision; the counts over all training
+documents give each slot's probability. The predictions are added in the
+logistic domain under weights that a gate selects, namely how many of the three longest contexts have been seen; the weights
 start alike for every document and are refined online as it is coded, after 64 bytes, then after each doubling.
 
-The counts cover all training documents and are summed by Spark; the table of predictions has a fixed size, however large
-the corpus. The base score needs the count of every word in training: groups of documents send their distinct words to
+The counts cover all training documents: a task sends its counts by slot range, and ranges are summed for so many senders
+at a time until one is left. The table of predictions has a fixed size, however large the corpus. The base score needs the count of every word in training: groups of documents send their distinct words to
 hash ranges and get back the corpus's counts.
 """
 
@@ -25,31 +26,41 @@ from pyspark.sql import types as T
 
 from bazaarlens.functions.storage import materialise
 from bazaarlens.llm import groups as G
-from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, pack, slices, text_buffers, unpack, unpack_all
-
-CONTEXT_BITS = 14
-ORDERS = (1, 2, 3, 5)
-CONTEXTS = len(ORDERS) + 1
+from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack, unpack_all
+
+#: Bytes of the short contexts, and how many slots each has, as a power of two.
+ORDERS, SLOT_BITS = (1, 2, 3, 4), (8, 12, 15, 16)
+#: Bytes of the long context beside the word so far, and the slots of both.
+LONG_ORDER, LONG_BITS = 6, 22
+SHORT, CONTEXTS = len(ORDERS), len(ORDERS) + 2
+#: Where each short context's slots begin when all are numbered, and how many there are; counts by byte come first in the
+#: numbering of counters, then two counters for each slot of a long context.
+SLOTS = np.cumsum([0, *(1 << b for b in SLOT_BITS)])
+BY_BYTE = int(256 * SLOTS[-1])
+COUNTERS = BY_BYTE + (CONTEXTS - SHORT) * (2 << LONG_BITS)
+#: Counters that are sent and summed together, and senders that are summed at once.
+PART, FAN_IN = 1 << 16, 64
 #: Predictions are kept in sixteenths of a natural-log odds unit.
 SCALE = 16.0
 END = 0xFF  # no byte of UTF-8
-PAD = max(ORDERS)
+PAD = LONG_ORDER
 #: Added to both counts of a decision.
-PRIOR = 0.05
+PRIOR = 0.1
 FIRST_BYTES = 64
-RATE = 0.6
+RATE = 1.0
 #: Weights by gate (none to all of the three longest contexts seen) and context, before a document has said anything.
 START_WEIGHTS = np.array(
-    [[0.4, 0.7, 0.0, 0.0, 0.0], [0.2, 0.4, 0.5, 0.1, 0.5], [0.1, 0.2, 0.45, 0.45, 0.45], [0.05, 0.1, 0.25, 0.5, 0.4]], np.float32
+    [[0.5, 0.35, 0.2, 0.3, 0.1, 0.0], [0.35, 0.3, 0.3, 0.3, 0.05, 0.0], [0.15, 0.25, 0.4, 0.4, 0.15, 0.0], [0.0, 0.05, 0.25, 0.35, 0.35, 0.2]],
+    np.float32,
 )
-_ODD = np.random.default_rng(3).integers(2**62, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Coded:
     """Texts as bytes to predict.
 
     ``bytes``: every text's coded bytes behind PAD zeros; ``at``: places to predict; ``doc``: the text of each;
-    ``place``: its number within the text; ``slots``: the context slot of each place, one row a context.
+    ``place``: its number within the text; ``symbols``: the bytes there; ``slots``: the short contexts' slot of each place,
+    one row a context; ``hashes``: the long contexts'.
     """
 
     def __init__(self, words: Words):
@@ -83,16 +94,17 @@ class Coded:
         heads[base] = base
         heads = np.maximum.accumulate(heads)[self.at]
         recent = np.zeros(total, np.uint64)
-        slots = np.empty((CONTEXTS, len(self.at)), np.int32)
-        shift = np.uint64(64 - CONTEXT_BITS)
+        self.slots = np.empty((SHORT, len(self.at)), np.int32)
+        self.hashes = np.empty((CONTEXTS - SHORT, len(self.at)), np.uint32)
         for k in range(1, PAD + 1):
             recent[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
+            own = recent[self.at]
             if k in ORDERS:
                 i = ORDERS.index(k)
-                own = recent[self.at]
-                slots[i] = own if k == 1 else (own * _ODD[i] ^ own >> np.uint64(29)) * _ODD[i + 1] >> shift
-        slots[-1] = byte_sums(out).runs(heads, self.at) >> shift
-        self.slots = slots
+                own = own if k == 1 else mix(own + np.uint64(k)) >> np.uint64(64 - SLOT_BITS[i])
+                self.slots[i] = SLOTS[i] + own.astype(np.int32)
+        self.hashes[0] = mix(own + np.uint64(PAD)) >> np.uint64(32)
+        self.hashes[1] = byte_sums(out).runs(heads, self.at) >> np.uint64(32)
         self.symbols = out[self.at]
 
 
@@ -116,10 +128,13 @@ class Tree:
                     paths[s].append((node, bit))
             node += 1
             heapq.heappush(heap, (n0 + n1, min(s0, s1), left + right))
-        self.lengths = np.array([len(p) for p in paths])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.root = node - 1
+        self.lengths = np.array([len(p) for p in paths], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         self.nodes = np.array([n for p in paths for n, _ in reversed(p)], np.int32)
-        self.bits = np.array([b for p in paths for _, b in reversed(p)], np.int8)
+        self.signs = np.array([2 * b - 1 for p in paths for _, b in reversed(p)], np.float32)
+        self.marks = self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.root_mark = self.root * 0x9E3779B1 & 0xFFFFFFFF
         #: Symbols under each node's branches: counts by node are a product with these.
         self.ones, self.both = np.zeros((256, 256), np.float32), np.zeros((256, 256), np.float32)
         for s, p in enumerate(paths):
@@ -128,96 +143,174 @@ class Tree:
                 self.ones[s, n] = b
 
 
-def context_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """slot, n: how often each byte followed each context slot, over all ``docs``. slot: context, context slot, byte."""
-    size = CONTEXTS << (CONTEXT_BITS + 8)
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many decisions each symbol takes, and where each decision stands among the paths."""
+        steps = self.lengths[symbols]
+        before = np.cumsum(steps, dtype=np.int32) - steps
+        return steps, np.arange(int(steps.sum()), dtype=np.int32) + np.repeat(self.starts[symbols] - before, steps)
+
+
+def _long_slots(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    x = (hashes ^ marks) * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0xC2B2AE35)
+    return x >> np.uint32(32 - LONG_BITS)
+
+
+def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often each coded byte stands in the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            total[END] += batch.num_rows
+            for a, b in slices(offsets):
+                words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
+                total += np.bincount(words.data[words.inside], minlength=256)
+                total[32] += len(words.starts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["s", "n"])
+
+    out = np.zeros(256, np.int64)
+    for r in docs.select(text_col).mapInArrow(work, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
+        out[r["s"]] = r["n"]
+    return out
+
+
+def _add(total: np.ndarray, keys: np.ndarray) -> None:
+    keys = np.sort(keys)
+    first = group_edges(keys)
+    total[keys[first]] += np.diff(np.r_[first, len(keys)]).astype(total.dtype)
+
+
+def context_counts(docs: DataFrame, text_col: str, tree: Tree) -> DataFrame:
+    """part, body: the counters of all ``docs``, by part of their numbering, those above 0 with their value."""
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        from pyspark import TaskContext
+
+        tree, total = shared.value, np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for _, _, coded in _coded(*text_buffers(batch.column(0)), 1 << 20):
-                for k in range(CONTEXTS):
-                    h = (coded.slots[k].astype(np.int64) << 8) | coded.symbols
-                    part = total[k << (CONTEXT_BITS + 8) : (k + 1) << (CONTEXT_BITS + 8)]
-                    part += np.bincount(h, minlength=len(part)).astype(np.uint32)
-        seen = np.flatnonzero(total)
-        for i in range(0, len(seen), 1 << 16):
-            own = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own].astype(np.int64))], names=["slot", "n"])
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-#: Context slots whose predictions are worked out together.
-_CHUNK = 64
-
-
-def predictions(counts: DataFrame) -> tuple[Tree, np.ndarray]:
-    """The tree, and the log odds of branch 1 by context, context slot and node, in steps of 1 / SCALE; 0: never seen."""
-    counts = materialise(counts, "context-counts")
-    # every byte is counted once under the first context
-    totals = counts.filter(F.col("slot") < (1 << (CONTEXT_BITS + 8))).groupBy((F.col("slot") % 256).alias("s")).agg(F.sum("n").alias("n"))
-    by_symbol = np.zeros(256, np.int64)
-    for r in totals.collect():
-        by_symbol[r["s"]] = r["n"]
-    tree = Tree(by_symbol)
-
-    def odds(table: pa.Table) -> pa.Table:
-        slot, n = table["slot"].to_numpy(), table["n"].to_numpy()
-        chunk = int(slot[0]) // (256 * _CHUNK)
-        seen = np.zeros(256 * _CHUNK, np.float32)
-        seen[slot - chunk * 256 * _CHUNK] = n
-        seen = seen.reshape(_CHUNK, 256)
-        both, ones = seen @ tree.both, seen @ tree.ones
-        z = np.log((ones + PRIOR) / (both - ones + PRIOR)) * SCALE
-        z = np.where(both > 0, np.where(z >= 0, np.maximum(z, 1), z), 0)
-        body = np.clip(np.rint(z), -127, 127).astype(np.int8).tobytes()
-        return pa.table({"chunk": pa.array([chunk], pa.int32()), "body": pa.array([body], pa.binary())})
-
-    by_chunk = counts.withColumn("chunk", (F.col("slot") / (256 * _CHUNK)).cast("int"))
-    table = np.zeros((CONTEXTS << CONTEXT_BITS) // _CHUNK * 256 * _CHUNK, np.int8)
-    for r in by_chunk.groupBy("chunk").applyInArrow(odds, "chunk int, body binary").toLocalIterator():
-        table[r["chunk"] * 256 * _CHUNK : (r["chunk"] + 1) * 256 * _CHUNK] = np.frombuffer(r["body"], np.int8)
-    return tree, table.reshape(CONTEXTS, -1)
-
-
-def mixed_cost(coded: Coded, rows: int, tree: Tree, table: np.ndarray, block: int = 100_000) -> np.ndarray:
+            for _, _, coded in _coded(*text_buffers(batch.column(0)), 1 << 19):
+                for k in range(SHORT):
+                    _add(total, (coded.slots[k] << 8) | coded.symbols)
+                steps, inner = tree.steps(coded.symbols)
+                marks, ones = tree.marks[inner], (tree.signs[inner] > 0).astype(np.int32)
+                for k in range(CONTEXTS - SHORT):
+                    slot = _long_slots(np.repeat(coded.hashes[k], steps), marks).view(np.int32)
+                    _add(total, (BY_BYTE + k * (2 << LONG_BITS)) + 2 * slot + ones)
+        rows = []
+        for part in range(0, COUNTERS // PART):
+            own = total[part * PART : (part + 1) * PART]
+            seen = np.flatnonzero(own)
+            if len(seen):
+                rows.append((part, pack(seen.astype(np.uint64), own[seen].astype(np.int64))))
+        sender = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([sender] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
+            names=["part", "sender", "body"],
+        )
+
+    def merged(table: pa.Table) -> pa.Table:
+        own = _part(table["body"])
+        seen = np.flatnonzero(own)
+        body = pack(seen.astype(np.uint64), own[seen])
+        return pa.table({"part": table["part"][:1], "sender": table["sender"][:1], "body": pa.array([body], pa.binary())})
+
+    shape = "part int, sender int, body binary"
+    rows = docs.select(text_col)
+    senders = rows.rdd.getNumPartitions()
+    counts = rows.mapInArrow(work, shape)
+    while senders > 1:
+        counts = counts.withColumn("sender", (F.col("sender") / FAN_IN).cast("int")).groupBy("part", "sender").applyInArrow(merged, shape)
+        senders = -(-senders // FAN_IN)
+    return counts.select("part", "body")
+
+
+def _part(bodies: pa.ChunkedArray) -> np.ndarray:
+    out = np.zeros(PART, np.int64)
+    for body in bodies:
+        seen, n = unpack(body.as_py())
+        out[seen.astype(np.int64)] += n
+    return out
+
+
+def predictions(docs: DataFrame, text_col: str) -> tuple[Tree, np.ndarray]:
+    """The tree, and the log odds of branch 1 in steps of 1 / SCALE (0: never seen): of the short contexts' slots by node,
+    then of the long contexts' slots."""
+    tree = Tree(byte_counts(docs, text_col))
+
+    def rounded(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        z = np.log((ones + PRIOR) / (zeros + PRIOR)) * SCALE
+        z = np.where(z >= 0, np.maximum(z, 1), np.minimum(z, -1))
+        return np.clip(np.rint(np.where(ones + zeros > 0, z, 0)), -127, 127).astype(np.int8)
+
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for part, body in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
+                n = _part([body])
+                if part * PART < BY_BYTE:
+                    n = n.reshape(-1, 256).astype(np.float32)
+                    ones = n @ tree.ones
+                    out.append(rounded(n @ tree.both - ones, ones).tobytes())
+                else:
+                    out.append(rounded(n[::2], n[1::2]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], names=["part", "body"])
+
+    table = np.zeros(BY_BYTE + (COUNTERS - BY_BYTE) // 2, np.int8)
+    for r in context_counts(docs, text_col, tree).mapInArrow(odds, "part int, body binary").toLocalIterator():
+        begin = r["part"] * PART
+        begin = begin if begin < BY_BYTE else BY_BYTE + (begin - BY_BYTE) // 2
+        table[begin : begin + len(r["body"])] = np.frombuffer(r["body"], np.int8)
+    return tree, table
+
+
+def mixed_cost(coded: Coded, rows: int, tree: Tree, table: np.ndarray, block: int = 50_000) -> np.ndarray:
     """Natural-log cost of each text."""
     gates = len(START_WEIGHTS)
-    weights = np.tile(START_WEIGHTS, (rows, 1))
+    weights = np.tile(START_WEIGHTS / np.float32(SCALE), (rows, 1))
     cost = np.zeros(rows)
-    stage = np.frexp(coded.place // FIRST_BYTES)[1]  # 0, then one more after each doubling
-    order = np.argsort(stage.astype(np.int8), kind="stable")
+    root = np.int32(tree.root)
+    long_ = [table[BY_BYTE + (k << LONG_BITS) :][: 1 << LONG_BITS] for k in range(CONTEXTS - SHORT)]
+    gate = (table[(coded.slots[-1] << 8) + root] != 0).astype(np.int32)
+    for k in range(CONTEXTS - SHORT):
+        gate += long_[k][_long_slots(coded.hashes[k], np.uint32(tree.root_mark))] != 0
+    stage = np.frexp(coded.place // FIRST_BYTES)[1].astype(np.int32)  # 0, then one more after each doubling
+    group = coded.doc.astype(np.int32) * gates + gate
+    order = np.lexsort((group, stage))
     cuts = np.searchsorted(stage[order], np.arange(stage.max(initial=0) + 2))
     for c in range(len(cuts) - 1):
-        slope = np.zeros((CONTEXTS, rows * gates))
-        weight = np.zeros(rows * gates)
+        slope, weight = np.zeros((CONTEXTS, rows * gates)), np.zeros(rows * gates)
         for i in range(cuts[c], cuts[c + 1], block):
             own = order[i : min(i + block, cuts[c + 1])]
-            symbol = coded.symbols[own]
-            steps = tree.lengths[symbol]
-            which = np.repeat(np.arange(len(own)), steps)
-            inner = np.arange(len(which)) + np.repeat(tree.starts[symbol] - (np.cumsum(steps) - steps), steps)
-            node, bit = tree.nodes[inner], tree.bits[inner].astype(np.float32)
-            inputs = np.empty((CONTEXTS, len(which)), np.float32)
-            for k in range(CONTEXTS):
-                np.multiply(table[k][(coded.slots[k][own] << 8)[which] + node], np.float32(1 / SCALE), out=inputs[k])
-            gate = (inputs[-3] != 0).astype(np.int64) + (inputs[-2] != 0) + (inputs[-1] != 0)
-            doc = coded.doc[own][which]
-            gate += doc * gates
-            z = np.zeros(len(which), np.float32)
+            symbol, groups = coded.symbols[own], group[own]
+            steps, inner = tree.steps(symbol)
+            node, sign, marks = tree.nodes[inner], tree.signs[inner], tree.marks[inner]
+            # places of a group stand together: its weights and sums are those of a run of decisions
+            first = group_edges(groups)
+            lengths = np.add.reduceat(steps, first)
+            begin, which = np.cumsum(lengths) - lengths, groups[first]
+            inputs = np.empty((CONTEXTS, len(node)), np.float32)
+            z = np.zeros(len(node), np.float32)
             for k in range(CONTEXTS):
-                z += weights[gate, k] * inputs[k]
+                if k < SHORT:
+                    inputs[k] = table[np.repeat(coded.slots[k][own] << 8, steps) + node]
+                else:
+                    inputs[k] = long_[k - SHORT][_long_slots(np.repeat(coded.hashes[k - SHORT][own], steps), marks)]
+                z += np.repeat(weights[which, k], lengths) * inputs[k]
+            z *= sign
             np.clip(z, -12, 12, out=z)
-            signed = np.where(bit > 0, z, -z)
-            loss = np.log1p(np.exp(-signed))
-            cost += np.bincount(doc, loss, rows)
-            error = bit - 1 / (1 + np.exp(-z))
-            weight += np.bincount(gate, minlength=rows * gates)
+            odds = np.exp(-z)
+            cost += np.bincount(which // gates, np.add.reduceat(np.log(1 + odds), begin, dtype=np.float64), rows)
+            odds /= 1 + odds
+            odds *= sign
+            weight[which] += lengths
             for k in range(CONTEXTS):
-                slope[k] += np.bincount(gate, error * inputs[k], rows * gates)
-        step = RATE * slope / (weight + 200)
-        weights += np.clip(step, -0.1, 0.1).T.astype(np.float32)
+                slope[k, which] += np.add.reduceat(odds * inputs[k], begin)
+        step = RATE / SCALE * slope / (weight + 200)
+        weights += np.clip(step, -0.1, 0.1).T.astype(np.float32) / np.float32(SCALE)
     return cost
 
 
@@ -230,8 +323,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)))
-    counts = context_counts(marked.filter("__train").withColumn("__t", F.col(text_col).cast("string")), "__t")
-    tree, table = predictions(counts)
+    tree, table = predictions(marked.filter("__train").select(F.col(text_col).cast("string").alias("__t")), "__t")
     shared = spark.sparkContext.broadcast((tree, table))
     n = G.group_count(docs)
     texts = G.in_groups(marked, id_col, text_col, n)
