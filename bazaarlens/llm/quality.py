@@ -22,6 +22,9 @@ from bazaarlens.llm.arrays import WHITE, Words, byte_sums, group_edges, slices,
 SIGNALS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capital_words n_letter_words n_shout_marks".split()
 )
+#: The thresholds leave a wide margin in which a rule abstains: at most this share of good documents gets a vote against it.
+#: Without the bound, documents with a single symptom would be taken for good ones, as most rules see nothing in them.
+FALSE_ALARMS = 2e-4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NOT_LETTER = np.zeros(256, bool)
@@ -134,8 +137,8 @@ class VoteModel:
 
     def posterior(self) -> Column:
         """Probability that a document is good."""
-        total = F.lit(self.prior)
-        for name, vote in rules().items():
+        total, votes = F.lit(self.prior), rules()
+        for name, vote in votes.items():
             bad, good = self.weights[name]
             total = total + F.when(vote == 0, bad).when(vote == 1, good).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
@@ -144,15 +147,15 @@ class VoteModel:
 def fit(measured: DataFrame, rounds: int = 100) -> VoteModel:
     """Expectation-maximisation over the counts of vote patterns of all documents.
 
-    At most 3 ** rules patterns exist. Pseudo-counts say that a rule seldom votes against a good document and that about a
-    third of the bad ones meet it, which also names the classes. Without documents the pseudo-counts alone decide.
+    At most 3 ** rules patterns exist. Pseudo-counts and FALSE_ALARMS say that a rule seldom votes against a good document
+    and that about a third of the bad ones meet it, which also names the classes. Without documents they alone decide.
     """
     votes = rules()
     counted = measured.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
     counted.sort(key=lambda r: [-1 if r[k] is None else r[k] for k in votes])
     v = np.array([[-1 if r[k] is None else r[k] for k in votes] for r in counted]).reshape(-1, len(votes))
     n = np.array([r["count"] for r in counted], float)
-    good = np.where((v == 0).any(axis=1), 0.3, 0.95)
+    good = np.where((v == 0).any(axis=1), 0.02, 0.98)  # starts from all-must-pass
     for _ in range(rounds):
         share = (n @ good + 8) / (n.sum() + 10)
         logit = np.full(len(n), np.log(share / (1 - share)))
@@ -161,7 +164,8 @@ def fit(measured: DataFrame, rounds: int = 100) -> VoteModel:
             bad_vote, good_vote = v[:, i] == 0, v[:, i] == 1
             g0, g1 = n[bad_vote] @ good[bad_vote] + 0.2, n[good_vote] @ good[good_vote] + 19.8
             b0, b1 = n[bad_vote] @ (1 - good[bad_vote]) + 6, n[good_vote] @ (1 - good[good_vote]) + 12
-            p, q = g0 / (g0 + g1), b0 / (b0 + b1)  # chance of a bad vote, in a good and in a bad document
+            # chance of a bad vote, in a good and in a bad document
+            p, q = min(g0 / (g0 + g1), FALSE_ALARMS), b0 / (b0 + b1)
             weights[name] = (float(np.log(p / q)), float(np.log((1 - p) / (1 - q))))
             right[name] = float((g1 + b0) / (g0 + g1 + b0 + b1))
             logit = logit + np.where(bad_vote, weights[name][0], 0) + np.where(good_vote, weights[name][1], 0)
