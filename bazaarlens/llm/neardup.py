@@ -4,8 +4,9 @@ Every distinct word sequence is one node. Its MinHash samples make band keys, an
 of parities, of which the population count of the XOR of two estimates their similarity most precisely where it is high.
 Nodes that share a band key are candidates. Within a band's bucket, pairs are made only with a few centres, and only
 between nodes that are not yet in one component; what the odd sketches do not rule out is confirmed on the full shingle
-sets. Rounds with more centres follow until each bucket has been settled, so no link is lost and a large group of copies
-costs about one comparison a document, not all its pairs.
+sets. Rounds with more centres follow until each bucket has been settled, after nodes have been cleared that by exact
+bounds have no link left, so no link is lost and a large group of copies costs a few comparisons a document, not all its
+pairs.
 
 A pair of similarity 0.85 shares none of 32 bands of 5 samples with a chance of 7e-9.
 """
@@ -124,6 +125,35 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
+def _linkable(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``open_`` (key, node, comp) whose node may still have a link to another component, by exact bounds.
+
+    A shingle that no open node of another component has cannot be in the intersection of such a link. If f of a node's n
+    shingles are left, the other set has at least m (the smallest of the bucket), and the sets are linked, then
+    (100 + percent) * f >= percent * (n + m). This clears groups of copies with many changes of their own, in which no pair
+    is similar enough but all are candidates.
+    """
+    nodes = open_.select("node", "comp").distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            node, comp = batch.column("node").to_numpy(), batch.column("comp").to_numpy()
+            for a, b in slices(offsets):
+                h, edges = shingle_sets(Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE), size)
+                of = np.repeat(np.arange(a, b), np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(comp[of]), pa.array(h.view(np.int64))], names=["node", "comp", "h"])
+
+    shingles = texts.join(nodes, "node").select("node", "comp", "text").mapInArrow(work, "node long, comp long, h long")
+    shared = shingles.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
+    useful = shingles.join(shared.withColumn("shared", F.lit(1)), "h", "left").groupBy("node").agg(F.count("*").alias("n"), F.count("shared").alias("f"))
+    rows = open_.join(useful, "node").withColumn("m", F.min("n").over(Window.partitionBy("key")))
+    rows = rows.filter((100 + percent) * F.col("f") >= percent * (F.col("n") + F.col("m")))
+    by_key = Window.partitionBy("key")
+    rows = rows.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
+    return rows.filter("low < high").select("key", "node", "comp")
+
+
 def spread_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest label of each connected component. ``labels``: node, comp (a node of the same component)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -171,34 +201,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         by_key = Window.partitionBy("key")
         rows = open_.join(labels, "node").withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
-        rows = rows.filter("low < high").withColumn("rank", F.row_number().over(by_key.orderBy("node")))
-        open_ = materialise(rows.select("key", "node", "comp", "rank"), "buckets")
+        rows = rows.filter("low < high").select("key", "node", "comp")
+        if centres > 1:
+            rows = _linkable(materialise(rows, "buckets"), texts, size, percent)
+        rows = rows.withColumn("rank", F.row_number().over(by_key.orderBy("node")))
+        open_ = materialise(rows, "buckets")
         if open_.isEmpty():
             break
         first = open_.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
-        pairs = first.join(open_, "key").filter("rank_a < rank AND comp_a <> comp").select("a", F.col("node").alias("b")).distinct()
+        pairs = first.join(open_, "key").filter("rank_a < rank AND comp_a <> comp").select("a", F.col("node").alias("b"), "comp_a", "comp").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(odd.withColumnsRenamed({"node": "a", "odd": "odd_a"}), "a").join(odd.withColumnsRenamed({"node": "b", "odd": "odd_b"}), "b")
         pairs = pairs.withColumn("near", estimated_similarity(F.col("odd_a"), F.col("odd_b")))
-        pairs = materialise(pairs.filter(F.col("near") >= percent / 100 - ESTIMATE_SLACK).select("a", "b", "near"), "pairs")
-        # most nodes find their component by the nearest centre alone; only the others are compared with all
+        pairs = materialise(pairs.filter(F.col("near") >= percent / 100 - ESTIMATE_SLACK).drop("odd_a", "odd_b"), "pairs")
+        # most nodes find their component by the nearest centre alone; the others are compared with all
         nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
-        for k in range(2):
-            if k:
-                at = labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-                rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(at, "a")
-                rest = rest.join(at.withColumnsRenamed({"a": "b", "comp_a": "comp_b"}), "b").filter("comp_a <> comp_b")
-                now = materialise(rest.select("a", "b"), "pairs")
-            else:
-                now = nearest = materialise(nearest, "pairs")
-            tested = now if tested is None else tested.unionByName(now)
-            found = materialise(confirm(now, texts, size, percent), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = spread_labels(labels, links)
+        nearest = materialise(nearest, "pairs")
+        found = materialise(confirm(nearest, texts, size, percent), "links")
+        # a linked node counts to its centre's component, a centre that was linked itself to the one before
+        moved = found.join(pairs.select("a", "b", "comp_a"), ["a", "b"]).select("b", F.col("comp_a").alias("moved"))
+        rest = pairs.join(nearest, ["a", "b"], "left_anti").join(moved, "b", "left")
+        rest = rest.join(moved.select(F.col("b").alias("a"), F.col("moved").alias("moved_a")), "a", "left")
+        rest = rest.filter(F.coalesce("moved", "comp") != F.coalesce("moved_a", "comp_a")).select("a", "b")
+        rest = materialise(rest, "pairs")
+        now = found.unionByName(confirm(rest, texts, size, percent))
+        tested = nearest.unionByName(rest) if tested is None else tested.unionByName(nearest).unionByName(rest)
+        now = materialise(now, "links")
+        if not now.isEmpty():
+            links = now if links is None else links.unionByName(now)
+            labels = spread_labels(labels, links)
         open_ = open_.filter(F.col("rank") > centres).select("key", "node")
-        centres *= 4
+        centres *= 16 if now.isEmpty() else 4
 
     of_class = classes.select("sequence", "node", F.col("id").alias("lowest")).join(labels, "node", "left")
     of_class = of_class.withColumn("comp", F.coalesce("comp", "node"))
