@@ -15,6 +15,7 @@ from bazaarlens.llm.langid import held_out, predict, train
 from bazaarlens.llm.mixing import score
 from bazaarlens.llm.neardup import near_duplicates
 from bazaarlens.llm.quality import fit, judge, signals
+from bazaarlens.llm.shipping import ship
 from bazaarlens.llm.substring import substring_dedup
 from bazaarlens.llm.suffixes import suffix_dedup
 from bazaarlens.llm.urls import apply_rules
@@ -34,6 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 

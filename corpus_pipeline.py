@@ -19,6 +19,7 @@ from bazaarlens.llm.decontaminate import contamination
 from bazaarlens.llm.neardup import near_duplicates
 from bazaarlens.llm.quality import fit, judge, signals
 from bazaarlens.llm.queries import ranks_and_pattern
+from bazaarlens.llm.shipping import ship
 from bazaarlens.llm.substring import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,6 +28,7 @@ _ROW = "__row"
 
 def _carried(docs: DataFrame) -> DataFrame:
     """The other columns in one, so that none clashes with what an operator adds."""
+    ship(docs.sparkSession)
     return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias(_ROW), "doc_id", "text")
 
 
@@ -36,13 +38,15 @@ def _unpacked(carried: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the rules reject go."""
+    carried = _carried(docs)
     model = fit(signals(docs.select("doc_id", "text")))
-    judged = judge(signals(_carried(docs), with_text=True), model)
+    judged = judge(signals(carried, with_text=True), model)
     return _unpacked(judged.filter("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    ship(spark)
     kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     joined = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     return joined.unionByName(docs.filter("doc_id IS NULL"))
@@ -66,6 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the bytes they decode to."""
+    ship(spark)
     return encode(docs, *ranks_and_pattern(), with_ids=True)
 
 
