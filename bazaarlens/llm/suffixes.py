@@ -20,6 +20,8 @@ from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import byte_sums, covered, group_edges, member, mix, pack, slices, text_buffers, unpack, unpack_all
 
 SEED_BYTES = 24
+#: A hash range is sorted in so many parts, one after the other, each with all runs of its seeds.
+PARTS = 8
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -75,7 +77,7 @@ def repeated_windows(blob: np.ndarray, starts: np.ndarray, window: int) -> tuple
 
     ``starts``: places of the suffixes in ``blob``, each with ``window`` bytes after it.
     """
-    digits = np.ndarray((max(0, len(blob) - 7),), ">u8", blob.tobytes(), strides=(1,))
+    digits = np.ndarray((max(0, len(blob) - 7),), ">u8", blob, strides=(1,))
     at, group = starts, np.zeros(len(starts), np.int32)
     first = np.zeros(0, np.int64)
     for depth in [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]:
@@ -98,6 +100,45 @@ def repeated_windows(blob: np.ndarray, starts: np.ndarray, window: int) -> tuple
     return at, first
 
 
+def _smaller_ids(
+    key: np.ndarray, windows: np.ndarray, doc: np.ndarray, start: np.ndarray, blob: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For runs given by their hash, number of windows, smallest id and place in ``blob``: the ranges of their windows that
+    stand under a smaller id somewhere: number of the run, first window, end, that id."""
+    order = np.argsort(key, kind="stable")
+    first = group_edges(key[order])
+    text_of = np.empty(len(key), np.int64)
+    text_of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+    lead = order[first]
+    smallest = np.minimum.reduceat(doc[order], first)
+    kind = np.int32 if len(blob) < 2**31 else np.int64
+    count = windows[lead].astype(np.int64)
+    base = np.cumsum(count) - count  # where each distinct run's windows stand among all
+    of = np.repeat(np.arange(len(lead), dtype=np.int32), count)
+    inner = (np.arange(len(of)) - base[of]).astype(kind)
+    best = smallest[of]
+    at, cuts = repeated_windows(blob, start[lead].astype(kind)[of] + inner, window)
+    if len(at):
+        # back from a place in the blob to the window's number
+        by_start = np.argsort(start[lead])
+        which = by_start[np.searchsorted(start[lead][by_start], at, "right") - 1]
+        number = base[which] + at - start[lead][which]
+        least = np.minimum.reduceat(best[number], cuts)
+        best[number] = np.repeat(least, np.diff(np.r_[cuts, len(at)]))
+    pieces = group_edges(of, best)
+    owner, value = of[pieces], best[pieces]
+    begin = inner[pieces]
+    end = np.r_[pieces[1:], len(of)] - pieces + begin
+    per = np.bincount(owner, minlength=len(lead))
+    head = np.cumsum(per) - per
+    times = per[text_of]
+    entry = np.repeat(np.arange(len(key)), times)
+    piece = head[text_of[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+    tell = value[piece] < doc[entry]
+    entry, piece = entry[tell], piece[tell]
+    return entry, begin[piece], end[piece], value[piece]
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Remove each byte covered by a string of ``window`` bytes that also starts in a document with a smaller id.
 
@@ -157,52 +198,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = order[a:b]
                 part = part[np.argsort(key[part])]
                 text = np.frombuffer(b"".join(bodies[j] for j in part.tolist()), np.uint8)
-                rows.append((i, origin, pack(key[part], windows[part], doc[part], text)))
+                rows.append((i, origin, pack(key[part], windows[part], doc[part], (seed[part] % np.uint64(PARTS)).astype(np.uint8), text)))
         return G.messages(rows)
 
     def ordered(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in table["body"]]
         if not parts:
             return G.messages([])
-        key, windows, doc, blob = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        windows = windows.astype(np.int64)
         origin = np.repeat(table["origin"].to_numpy(), [len(p[0]) for p in parts])
-        size = windows + window - 1
+        key, windows, doc, part, blob = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        del parts
+        size = windows.astype(np.int64) + window - 1
         start = np.cumsum(size) - size
-        place_kind = np.int32 if len(blob) < 2**31 else np.int64
-        order = np.argsort(key, kind="stable")
-        first = group_edges(key[order])
-        text_of = np.empty(len(key), np.int64)
-        text_of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
-        lead = order[first]
-        smallest = np.minimum.reduceat(doc[order], first)
-        count = windows[lead]
-        base = np.cumsum(count) - count  # where each distinct run's windows stand among all
-        of = np.repeat(np.arange(len(lead), dtype=np.int32), count)
-        inner = (np.arange(len(of)) - base[of]).astype(place_kind)
-        best = smallest[of]
-        at, cuts = repeated_windows(blob, start[lead].astype(place_kind)[of] + inner, window)
-        if len(at):
-            # back from a place in the blob to the window's number
-            by_start = np.argsort(start[lead])
-            which = by_start[np.searchsorted(start[lead][by_start], at, "right") - 1]
-            number = base[which] + at - start[lead][which]
-            least = np.minimum.reduceat(best[number], cuts)
-            best[number] = np.repeat(least, np.diff(np.r_[cuts, len(at)]))
-        pieces = group_edges(of, best)
-        owner, value = of[pieces], best[pieces]
-        begin = inner[pieces]
-        end = np.r_[pieces[1:], len(of)] - pieces + begin
-        per = np.bincount(owner, minlength=len(lead))
-        head = np.cumsum(per) - per
-        times = per[text_of]
-        entry = np.repeat(np.arange(len(key)), times)
-        piece = head[text_of[entry]] + np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
-        tell = value[piece] < doc[entry]
-        entry, piece = entry[tell], piece[tell]
-        return G.answers(
-            origin[entry], key[entry], begin[piece].astype(np.int32), end[piece].astype(np.int32), value[piece]
-        )
+        found = [np.flatnonzero(part == i) for i in range(PARTS)]
+        told = [(i, *_smaller_ids(key[i], windows[i], doc[i], start[i], blob, window)) for i in found if len(i)]
+        if not told:
+            return G.messages([])
+        entry = np.concatenate([i[e] for i, e, *_ in told])
+        begin, end, value = (np.concatenate([t[k] for t in told]) for k in (2, 3, 4))
+        return G.answers(origin[entry], key[entry], begin.astype(np.int32), end.astype(np.int32), value)
 
     def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
         (key, begin, end, value), _ = unpack_all(answer["body"], [np.uint64, np.int32, np.int32, np.int64])
