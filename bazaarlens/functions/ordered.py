@@ -9,11 +9,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A remaining interval with at most this many values is finished by one bounded sort.
+# A remaining interval with at most this many values is finished by one bounded sort; the result is the same either way.
 FINISH_SIZE = 10_000
 # percentile_approx with this accuracy is off by at most 1/ACCURACY of the rank range.
 ACCURACY = 10_000
 PIVOT_SPREAD = 3.0 / ACCURACY
+# Keys of one range of running totals.
+KEYS_PER_RANGE = 50_000
 
 
 @dataclass
@@ -115,16 +117,17 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     return {c: sum(v) / len(v) if v else None for c, v in found.items()}
 
 
-def running_totals(df: DataFrame, key: str, sums: Sequence[str], buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, key: str, sums: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Add ``cum_<name>`` columns: totals of ``sums`` over all rows with a key greater than or equal to this one.
 
-    ``df`` holds one row per key. Rows go to ``buckets`` key ranges whose edges are fixed on the driver first
-    (a bounded array), so that a re-run task puts every row in the same range; windows run inside a range and the
-    range totals, at most ``buckets`` rows, carry the offset.
+    ``df`` holds one row per key. Rows go to ``buckets`` key ranges (by default as many as the keys need) whose edges are
+    fixed on the driver first, so that a re-run task puts every row in the same range; windows run inside a range and
+    the range totals, at most ``buckets`` rows, carry the offset.
     """
-    edges = df.agg(
-        F.percentile_approx(F.col(key).cast("double"), [i / buckets for i in range(1, buckets)], ACCURACY).alias("e")
-    ).first()["e"]
+    buckets = buckets or -(-df.count() // KEYS_PER_RANGE)
+    fractions = [i / buckets for i in range(1, buckets)]
+    accuracy = max(ACCURACY, 10 * buckets)
+    edges = df.agg(F.percentile_approx(F.col(key).cast("double"), fractions, accuracy).alias("e")).first()["e"] if fractions else []
     splits = [float("-inf"), *(sorted(set(edges or [])) or [0.0]), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
         df.withColumn("_key", F.col(key).cast("double"))

@@ -22,11 +22,14 @@ from pyspark.sql import types as T
 
 from bazaarlens.functions.columns import half_even, seeded_order
 from bazaarlens.functions.storage import scratch_path
-from bazaarlens.models.prep import ID, INPUTS, SEED
+from bazaarlens.models.prep import ID, INPUTS, SEED, prepared_inputs
 
 # The function sent to the executors carries this module's code, which need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Customers that one task explains.
+ROWS_PER_TASK = 2_000
+
 # Elements of the (rows, leaves, depth) work arrays of one step.
 WORK_SIZE = 2_000_000
 
@@ -36,11 +39,15 @@ def linear_attributions(
 ) -> DataFrame:
     """Log-odds attributions of a linear model: coefficient times distance from the background mean.
 
-    ``df`` holds the id and the inputs as the model sees them; the background is the table itself by default.
+    ``df`` holds the id and the inputs as the model sees them. Without a background the means are zero, as those of scaled
+    inputs are over the training rows: a customer's values then don't depend on who else is in the table.
     """
+    if background is None:
+        values = [(F.lit(float(k)) * F.col(c)).alias(c) for c, k in coefficients.items()]
+        return df.select(ID, F.lit(float(intercept)).alias("base_value"), *values)
     means = F.struct(*[F.avg(c).alias(c) for c in coefficients])
     # One aggregate for all means; Spark runs an identical scalar subquery once.
-    mean_of = (background if background is not None else df).agg(means).scalar()
+    mean_of = background.agg(means).scalar()
     base = F.lit(float(intercept))
     for name, coefficient in coefficients.items():
         base = base + F.lit(float(coefficient)) * mean_of[name]
@@ -170,9 +177,9 @@ def tree_attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     """
     spark = features.sparkSession
     ensemble = read_ensemble(model, spark)
-    prepared = model.stages[0].transform(features).select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
-    # Rows are few bytes but much work, so they are spread over all cores instead of by size.
-    prepared = prepared.repartition(spark.sparkContext.defaultParallelism, ID)
+    # Rows are few bytes but much work, so tasks are sized by rows.
+    tasks = -(-features.count() // ROWS_PER_TASK) or 1
+    prepared = prepared_inputs(model, features).repartition(tasks, ID)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,7 +201,7 @@ def attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     classifier = model.stages[-1]
     if not isinstance(classifier, LogisticRegressionModel):
         return tree_attributions(model, features)
-    scaled = model.stages[0].transform(features).select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
+    scaled = prepared_inputs(model, features)
     coefficients = dict(zip(INPUTS, classifier.coefficients.toArray().tolist(), strict=True))
     return linear_attributions(scaled, coefficients, classifier.intercept)
 

@@ -1,7 +1,7 @@
 """Model inputs: leakage-safe columns, imputation, encoding, scaling, split and class weights.
 
-The fitted numbers (medians, modes, codes, means, deviations) become one SQL projection, stored as a built-in
-``SQLTransformer`` stage: scoring stays in generated code and a saved pipeline needs no Python class to load.
+The fitted numbers (medians, modes, codes, means, deviations) become built-in stages, ``SQLTransformer`` and
+``StringIndexerModel``: scoring stays in the JVM and a saved pipeline needs no Python class to load.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,6 @@ NUMERIC_INPUTS = (
 CATEGORICAL_INPUTS = ("state", "preferred_payment_method")
 INPUTS = NUMERIC_INPUTS + CATEGORICAL_INPUTS
 
-# Category codes travel inside the projection, so a column with more values than this is not a category.
-MAX_CATEGORIES = 10_000
-
 
 def model_inputs(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Drop the leakage columns; ``keep`` brings single ones back, such as the id to carry through scoring."""
@@ -74,16 +72,7 @@ def _most_frequent(train: DataFrame, column: str) -> str | None:
 
 def category_codes(train: DataFrame, column: str, fill: str | None) -> dict[str, int]:
     """Codes 0, 1, ... by sorted value, after missing values are filled."""
-    values = (
-        train.select(F.coalesce(F.col(column), F.lit(fill)).alias("v"))
-        .dropna()
-        .distinct()
-        .orderBy("v")
-        .limit(MAX_CATEGORIES + 1)
-        .collect()
-    )
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
+    values = train.select(F.coalesce(F.col(column), F.lit(fill)).alias("v")).dropna().distinct().orderBy("v").collect()
     return {row["v"]: code for code, row in enumerate(values)}
 
 
@@ -97,29 +86,14 @@ class Preparation:
     means: Mapping[str, float]
     deviations: Mapping[str, float]
 
-    def prepared(self, name: str) -> Column:
-        """Imputed number, or code of the imputed category; -1 stands for a category not seen in training."""
-        if name in CATEGORICAL_INPUTS:
-            filled = F.coalesce(F.col(name), F.lit(self.modes[name]))
-            pairs = [F.lit(x) for pair in self.codes[name].items() for x in pair]
-            known = F.try_element_at(F.create_map(*pairs), filled) if pairs else F.lit(None)
-            return F.coalesce(known, F.lit(-1)).cast("double")
-        # A column without any value in training carries no information: it becomes zero.
-        median = self.medians[name] if self.medians[name] is not None else 0.0
-        return F.coalesce(F.col(name).cast("double"), F.lit(float(median)))
-
-    def scaled(self, name: str) -> Column:
-        """Centred, in units of the population deviation; a constant column is only centred."""
-        return (self.prepared(name) - F.lit(self.means[name])) / F.lit(self.deviations[name] or 1.0)
-
 
 def fit_preparation(train: DataFrame) -> Preparation:
     mode_of = modes(train)
     codes = {c: category_codes(train, c, mode_of[c]) for c in CATEGORICAL_INPUTS}
     partial = Preparation(medians(train), mode_of, codes, {}, {})
-    row = train.agg(
-        *[F.avg(partial.prepared(c)).alias(f"mean_{c}") for c in INPUTS],
-        *[F.stddev_pop(partial.prepared(c)).alias(f"dev_{c}") for c in INPUTS],
+    row = apply_preparation(train, partial).agg(
+        *[F.avg(c).alias(f"mean_{c}") for c in INPUTS],
+        *[F.stddev_pop(c).alias(f"dev_{c}") for c in INPUTS],
     ).first()
     return Preparation(
         partial.medians,
@@ -131,38 +105,59 @@ def fit_preparation(train: DataFrame) -> Preparation:
 
 
 def apply_preparation(df: DataFrame, preparation: Preparation, scale: bool = False) -> DataFrame:
-    """The prepared inputs next to whatever other columns ``df`` has."""
-    column = preparation.scaled if scale else preparation.prepared
-    return df.withColumns({c: column(c) for c in INPUTS})
+    """The prepared inputs next to whatever other columns ``df`` has.
+
+    A missing number is imputed, a category becomes its code, and -1 stands for a category not seen in training. Scaled
+    inputs are centred, in units of the population deviation; a constant column is only centred.
+    """
+    prepared = PipelineModel(preparation_stages(preparation, scale)[:-1]).transform(df)
+    return prepared.withColumns({c: F.col(f"_in_{c}") for c in INPUTS}).select(df.columns)
+
+
+def prepared_inputs(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """The id and the inputs as the classifier of a fitted pipeline sees them."""
+    prepared = PipelineModel(model.stages[:-2]).transform(df)
+    return prepared.select(ID, *[F.col(f"_in_{c}").alias(c) for c in INPUTS])
 
 
-def _literal(value: float | str | int) -> str:
+def _literal(value: float | str) -> str:
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"CAST('{value!r}' AS DOUBLE)" if isinstance(value, float) else str(value)
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def _project(parts: Mapping[str, str]) -> SQLTransformer:
+    columns = ", ".join(f"{text} AS {name}" for name, text in parts.items())
+    return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
 
 
 def preparation_stages(preparation: Preparation, scale: bool = False) -> list:
     """The preparation as pipeline stages that end in the vector column ``features``."""
-    parts = []
+    known = [c for c in CATEGORICAL_INPUTS if preparation.codes[c]]
+    modes = preparation.modes
+    texts = {f"_text_{c}": f"coalesce({c}, {_literal(modes[c])})" if modes[c] is not None else c for c in known}
+    inputs = {}
     for name in INPUTS:
-        if name in CATEGORICAL_INPUTS:
-            codes = preparation.codes[name]
-            mode = preparation.modes[name]
-            filled = f"coalesce({name}, {_literal(mode)})" if mode is not None else name
-            entries = ", ".join(f"{_literal(k)}, {v}" for k, v in codes.items())
-            known = f"try_element_at(map({entries}), {filled})" if codes else "NULL"
-            text = f"CAST(coalesce({known}, -1) AS DOUBLE)"
+        if name in known:
+            # the indexer gives values it does not know the number after the last one
+            text = f"CASE WHEN _code_{name} < {len(preparation.codes[name])} THEN _code_{name} ELSE CAST(-1 AS DOUBLE) END"
+        elif name in CATEGORICAL_INPUTS:
+            text = "CAST(-1 AS DOUBLE)"
         else:
+            # A column without any value in training carries no information: it becomes zero.
             median = preparation.medians[name]
             text = f"coalesce(CAST({name} AS DOUBLE), {_literal(float(median or 0.0))})"
         if scale:
             mean, deviation = preparation.means[name], preparation.deviations[name] or 1.0
             text = f"({text} - {_literal(float(mean))}) / {_literal(float(deviation))}"
-        parts.append(f"{text} AS _in_{name}")
-    project = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-    assemble = VectorAssembler(inputCols=[f"_in_{c}" for c in INPUTS], outputCol="features")
-    return [project, assemble]
+        inputs[f"_in_{name}"] = text
+    stages = [_project(inputs), VectorAssembler(inputCols=list(inputs), outputCol="features")]
+    if known:
+        codes = [list(preparation.codes[c]) for c in known]
+        columns = {"inputCols": list(texts), "outputCols": [f"_code_{c}" for c in known]}
+        indexer = StringIndexerModel.from_arrays_of_labels(codes, handleInvalid="keep", **columns)
+        stages = [_project(texts), indexer, *stages]
+    return stages
 
 
 def _split_key(seed: int) -> Column:

@@ -56,38 +56,59 @@ def orphans(tables: CommerceTables, table: str, parent: str) -> DataFrame:
 
 
 def orphan_counts(tables: CommerceTables) -> DataFrame:
-    """``table_name, parent_table, orphan_rows`` for every declared reference.
+    """``table_name, parent_table, orphan_rows, status`` for every declared reference of the loaded tables.
 
-    Children are counted per key before the join, so a key that half of the rows share costs one row.
+    Children are counted per key before the join, so a key that half of the rows share costs one row. A reference to a
+    table that is not loaded, or by a column that is not there, has no count and the status ``absent``.
     """
     loaded = tables.present()
     parts = []
     for name, df in loaded.items():
         for reference in CATALOG[name].references:
-            if reference.parent not in loaded:
-                continue
             key = list(reference.columns)
+            parent = loaded.get(reference.parent)
+            if parent is None or set(key) - set(df.columns) or set(key) - set(parent.columns):
+                parts.append(_absent(df, table_name=name, parent_table=reference.parent, orphan_rows=None))
+                continue
             per_key = df.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("n"))
             parts.append(
-                per_key.join(loaded[reference.parent].select(*key), key, "left_anti")
+                per_key.join(parent.select(*key), key, "left_anti")
                 .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"))
                 .select(
-                    F.lit(name).alias("table_name"), F.lit(reference.parent).alias("parent_table"), "orphan_rows"
+                    F.lit(name).alias("table_name"),
+                    F.lit(reference.parent).alias("parent_table"),
+                    "orphan_rows",
+                    F.lit("checked").alias("status"),
                 )
             )
     return _stacked(parts)
 
 
 def missing_mandatory(tables: CommerceTables) -> DataFrame:
-    """``table_name, column_name, null_count`` for every mandatory column; one scan per table."""
-    return _stacked(
-        [
-            _null_counts(df, [c for c in CATALOG[name].mandatory if c in df.columns]).select(
-                F.lit(name).alias("table_name"), "column_name", "null_count"
+    """``table_name, column_name, null_count, status`` for every mandatory column; one scan per table.
+
+    A column that is not there has no count and the status ``absent``.
+    """
+    parts = []
+    for name, df in tables.present().items():
+        there = [c for c in CATALOG[name].mandatory if c in df.columns]
+        if there:
+            parts.append(
+                _null_counts(df, there).select(
+                    F.lit(name).alias("table_name"), "column_name", "null_count", F.lit("checked").alias("status")
+                )
             )
-            for name, df in tables.present().items()
+        parts += [
+            _absent(df, table_name=name, column_name=c, null_count=None)
+            for c in CATALOG[name].mandatory
+            if c not in df.columns
         ]
-    )
+    return _stacked(parts)
+
+
+def _absent(df: DataFrame, **values: str | None) -> DataFrame:
+    columns = [F.lit(v).cast("string" if v else "long").alias(k) for k, v in values.items()]
+    return df.sparkSession.range(1).select(*columns, F.lit("absent").alias("status"))
 
 
 def _null_counts(df: DataFrame, columns: list[str]) -> DataFrame:

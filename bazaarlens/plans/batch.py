@@ -77,22 +77,28 @@ def train_and_store(
     artifacts.save_model(model, folder)
     artifacts.write_metrics(train.metrics_row(comparison, best), folder)
     importance = train.feature_importance(model, spark)
-    if best != train.LOGISTIC:
-        artifacts.write_importance(importance, folder)
-    sample = explain.attribution_sample(result.test)
+    # without rows for the linear model, so that an earlier run's file does not stay next to it
+    artifacts.write_importance(importance, folder)
+    classification = evaluate.classification_report(result.scored[best])
+    artifacts.write_classification(classification, folder)
     return ModelReport(
         best=best,
         result=result,
         comparison=comparison,
         roc_curves=result.roc_curves(),
         confusion={name: evaluate.confusion_matrix(scored) for name, scored in result.scored.items()},
-        classification=evaluate.classification_report(result.scored[best]),
+        classification=classification,
         importance=importance,
-        attributions=explain.global_attributions(explain.attributions(model, sample)),
+        attributions=explain.global_attributions(explain.attributions(model, result.test)),
     )
 
 
 def run(spark: SparkSession, csv_folder: str, out_folder: str, files=None) -> ModelReport:
-    """Everything in order, from CSV files to the stored model."""
+    """Everything in order, from CSV files to the stored model, with the reports of the checks and of the features."""
     tables = load(spark, csv_folder, f"{out_folder}/tables", files)
-    return train_and_store(build_features(tables, out_folder), out_folder)
+    for name, report in validate(tables).items():
+        artifacts.write_report(report, f"{out_folder}/checks/{name}")
+    table = build_features(tables, out_folder)
+    for name, report in describe(table).items():
+        artifacts.write_report(report, f"{out_folder}/description/{name}")
+    return train_and_store(table, out_folder)

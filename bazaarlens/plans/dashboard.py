@@ -84,7 +84,8 @@ def customer_page(features: DataFrame) -> dict[str, DataFrame]:
 
 def churn_page(features: DataFrame, model: PipelineModel) -> dict[str, DataFrame]:
     """Risk and reasons for every customer of the table, not one at a time."""
-    attributions = explain.attributions(model, features)
+    # the dearest job of all pages, for two of its tables
+    attributions = materialise(explain.attributions(model, features), "attributions")
     return {
         "choices": profile.customer_choices(features),
         "profiles": profile.profile_text(features),

@@ -176,7 +176,7 @@ register(
 
 
 def _linear(s: Source) -> DataFrame:
-    return explain.linear_attributions(s.stored_features, _COEFFICIENTS, _INTERCEPT)
+    return explain.linear_attributions(s.stored_features, _COEFFICIENTS, _INTERCEPT, background=s.stored_features)
 
 
 register(

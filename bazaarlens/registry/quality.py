@@ -46,7 +46,7 @@ register(
     "s05_orphan_counts",
     lambda s: quality.orphan_counts(s.tables),
     _union(
-        f"SELECT '{t}' AS table_name, '{r.parent}' AS parent_table, COUNT(*) AS orphan_rows FROM {v} c "
+        f"SELECT '{t}' AS table_name, '{r.parent}' AS parent_table, COUNT(*) AS orphan_rows, 'checked' AS status FROM {v} c "
         f"WHERE c.{r.columns[0]} IS NOT NULL AND NOT EXISTS "
         f"(SELECT 1 FROM {_VIEW_OF[r.parent]} p WHERE p.{r.columns[0]} = c.{r.columns[0]})"
         for t, v in _VIEW_OF.items()
@@ -65,9 +65,11 @@ register(
     "s06_missing_mandatory",
     lambda s: quality.missing_mandatory(s.tables),
     _union(
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM {v}"
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(NULL AS BIGINT) AS null_count, 'absent' AS status"
+        if c in _ABSENT
+        else f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+        f"'checked' AS status FROM {v}"
         for t, v in _VIEW_OF.items()
         for c in CATALOG[t].mandatory
-        if c not in _ABSENT
     ),
 )

@@ -12,6 +12,7 @@ FEATURES = "customer_features"
 MODEL = "churn_model"
 METRICS = "model_metrics"
 IMPORTANCE = "feature_importance"
+CLASSIFICATION = "classification_report"
 
 FEATURE_SCHEMA = """
     customer_unique_id STRING, total_spend DOUBLE, total_products BIGINT, distinct_categories BIGINT,
@@ -54,19 +55,21 @@ def save_model(model: PipelineModel, folder: str) -> None:
     model.write().overwrite().save(f"{folder}/{MODEL}")
 
 
-_loaded_models: dict[tuple[str, str], PipelineModel] = {}
+_loaded_models: dict[tuple[str, str], tuple[tuple, PipelineModel]] = {}
 
 
 def load_model(spark: SparkSession, folder: str) -> PipelineModel:
-    """Load the fitted pipeline, once per application and folder."""
+    """Load the fitted pipeline, once per application and folder until another one is stored there."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _loaded_models:
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MODEL}")
-        files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(found):
-            raise FileNotFoundError(f"no model in {folder}; train one first")
-        _loaded_models[key] = PipelineModel.load(f"{folder}/{MODEL}")
-    return _loaded_models[key]
+    try:
+        stamp = tuple(spark.read.json(f"{folder}/{MODEL}/metadata").select("uid", "timestamp").first())
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no model in {folder}; train one first") from error
+    if key not in _loaded_models or _loaded_models[key][0] != stamp:
+        _loaded_models[key] = (stamp, PipelineModel.load(f"{folder}/{MODEL}"))
+    return _loaded_models[key][1]
 
 
 def write_metrics(metrics: DataFrame, folder: str) -> None:
@@ -85,6 +88,11 @@ def write_importance(importance: DataFrame, folder: str) -> None:
     write_report(importance.orderBy(F.desc("importance"), "feature").coalesce(1), f"{folder}/{IMPORTANCE}")
 
 
+def write_classification(report: DataFrame, folder: str) -> None:
+    """Precision, recall, F1 and support by class: a few rows, so one file."""
+    write_report(report.coalesce(1), f"{folder}/{CLASSIFICATION}")
+
+
 def read_importance(spark: SparkSession, folder: str) -> DataFrame:
     schema = "feature STRING, importance DOUBLE"
     return _read_or_empty(spark, schema, lambda r: r.option("header", True).csv(f"{folder}/{IMPORTANCE}"))

@@ -67,19 +67,37 @@ def _typed(raw: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
-def read_csv_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """One CSV file, or a folder or glob of them, under its declared columns."""
-    text = ", ".join(f"`{c}` STRING" for c in spec.columns)
-    raw = (
-        spark.read.schema(text)
-        .option("header", True)
+def _csv_text(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """All columns of the files as text, under the names in their headers, which must agree from file to file."""
+    options = {
+        "header": True,
         # A doubled quote inside a quoted field stands for a quote.
-        .option("escape", '"')
-        # Only free-text comments hold line breaks; every other file stays splittable.
-        .option("multiLine", spec.multi_line)
-        .csv(path)
-    )
-    return _typed(raw, spec)
+        "escape": '"',
+        # Only free-text comments hold line breaks: such a file is read by one task, many files by many; every other
+        # file stays splittable.
+        "multiLine": spec.multi_line,
+    }
+    found = spark.read.options(**options).csv(path).columns
+    absent = sorted(set(spec.columns) - set(found))
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    text = ", ".join(f"`{c}` STRING" for c in found)
+    return spark.read.schema(text).options(**options, enforceSchema=False).csv(path)
+
+
+def read_csv_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """One CSV file, or a folder or glob of them: its declared columns, found by name. Others are left out."""
+    return _typed(_csv_text(spark, path, spec), spec)
+
+
+def unparsed_values(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """``column_name, unparsed``: how many values of each column are set but do not parse as the declared type."""
+    raw = _csv_text(spark, path, spec)
+    faults = [
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in spec.schema.fields
+    ]
+    return raw.agg(*faults).unpivot([], list(spec.columns), "column_name", "unparsed")
 
 
 def read_csv_tables(

@@ -6,6 +6,7 @@ from decimal import Decimal
 import rows
 from pyspark.sql import functions as F
 
+from bazaarlens.sources.tables import CommerceTables
 from bazaarlens.operators import base, cleaning, filters, quality
 from bazaarlens.operators.filters import Filters
 
@@ -145,6 +146,15 @@ def test_contract_checks(spark):
     assert rows.by(quality.row_counts(broken), "table_name")["orders"]["row_count"] == 6
 
 
+def test_what_cannot_be_checked_is_said(spark):
+    tables = CommerceTables(orders=shop(spark).orders.select("order_id"), order_items=shop(spark).order_items)
+    missing = {(r["table_name"], r["column_name"]): (r["null_count"], r["status"]) for r in quality.missing_mandatory(tables).collect()}
+    assert missing["orders", "customer_id"] == (None, "absent") and missing["orders", "order_id"] == (0, "checked")
+    lost = {(r["table_name"], r["parent_table"]): (r["orphan_rows"], r["status"]) for r in quality.orphan_counts(tables).collect()}
+    assert lost["order_items", "products"] == (None, "absent") and lost["orders", "customers"] == (None, "absent")
+    assert lost["order_items", "orders"][1] == "checked"
+
+
 def test_hot_line_is_trimmed_before_the_shuffle(spark):
     """One line holds most rows: every map task sends one row of it."""
     same = (F.col("id") % 1).cast("string")

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import rows
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import ordered
@@ -128,8 +129,8 @@ def test_preparation(spark):
     spread = scaled.agg(F.avg("num_orders"), F.stddev_pop("num_orders")).first()
     assert spread[0] == pytest.approx(0) and spread[1] == pytest.approx(1)
     for scale in (False, True):
-        project, _ = prep.preparation_stages(learned, scale)
-        mine = [tuple(r) for r in project.transform(new).select(*[f"_in_{c}" for c in prep.INPUTS]).collect()]
+        *stages, _ = prep.preparation_stages(learned, scale)
+        mine = [tuple(r) for r in PipelineModel(stages).transform(new).select(*[f"_in_{c}" for c in prep.INPUTS]).collect()]
         assert mine == [tuple(r) for r in prep.apply_preparation(new, learned, scale).select(*prep.INPUTS).collect()]
 
 
@@ -258,3 +259,38 @@ def test_strongest_attributions(spark):
     assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
     assert explain.long_form(df, ("a", "b", "c")).count() == 3
     assert explain.global_attributions(df, ("a", "b")).first()["feature"] == "b"
+
+
+def test_many_categories(spark, features):
+    wide = features.select("*").withColumn("state", F.concat(F.lit("S"), F.col("customer_unique_id")))
+    more = spark.range(20_000).select(F.concat(F.lit("T"), "id").alias("state"), F.lit("x").alias("preferred_payment_method"))
+    learned = prep.fit_preparation(wide.unionByName(more, allowMissingColumns=True))
+    assert len(learned.codes["state"]) == 20_800
+    assert prep.apply_preparation(wide, learned).agg(F.min("state"), F.max("state")).first() == (0.0, 799.0)
+
+
+def test_models_do_not_depend_on_how_rows_come(features):
+    settings = train.ModelSettings(forest_trees=4, forest_depth=3, forest_min_leaf=5, parts=3)
+    trees = set()
+    for parts in (1, 7):
+        result = train.train_models(features.repartition(parts, "total_spend"), settings, (train.FOREST,))
+        assert result.train.rdd.getNumPartitions() == 3
+        trees.add(result.models[train.FOREST].stages[-1].toDebugString.split("\n", 1)[1])
+    assert len(trees) == 1
+
+
+def test_one_customer_has_attributions_of_the_whole_table(trained):
+    model = trained.models[train.LOGISTIC]
+    alone = trained.test.limit(1).cache()
+    own = explain.attributions(model, alone).first()
+    same = explain.attributions(model, trained.test).filter(F.col(prep.ID) == own[prep.ID]).first()
+    assert own == same and any(own[c] for c in prep.INPUTS)
+
+
+def test_a_model_stored_again_is_the_one_loaded(spark, trained, tmp_path):
+    artifacts.save_model(trained.models[train.LOGISTIC], str(tmp_path))
+    assert artifacts.load_model(spark, str(tmp_path)) is artifacts.load_model(spark, str(tmp_path))
+    artifacts.save_model(trained.models[train.FOREST], str(tmp_path))
+    assert artifacts.load_model(spark, str(tmp_path)).stages[-1].uid == trained.models[train.FOREST].stages[-1].uid
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_model(spark, str(tmp_path / "none"))

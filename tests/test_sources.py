@@ -10,9 +10,11 @@ from bazaarlens.sources.catalog import CATALOG
 from bazaarlens.sources.tables import (
     CommerceTables,
     load_saved_tables,
+    read_csv_table,
     read_csv_tables,
     read_tables,
     save_bucketed_tables,
+    unparsed_values,
     write_tables,
 )
 
@@ -56,8 +58,9 @@ def test_csv_tables(spark, csv_folder):
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in CATALOG[name].schema]
 
 
-def test_file_names_can_be_given(spark, csv_folder):
-    tables = read_csv_tables(spark, csv_folder, {"orders": "absent.csv", "sellers": "shop_customers_dataset.csv"})
+def test_file_names_can_be_given(spark, csv_folder, tmp_path):
+    (tmp_path / "vendors.csv").write_text("seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,1,sp,SP\n")
+    tables = read_csv_tables(spark, csv_folder, {"orders": "absent.csv", "sellers": "vendors.csv"})
     assert tables.orders is None and tables.sellers.count() == 1
 
 
@@ -117,3 +120,23 @@ def test_metrics_importance_and_model_files(spark, tmp_path):
     importance = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "feature string, importance double")
     artifacts.write_importance(importance, folder)
     assert [r["feature"] for r in artifacts.read_importance(spark, folder).collect()] == ["b", "a"]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "sellers.csv").write_text(
+        "seller_state,extra,seller_city,seller_id,seller_zip_code_prefix\nSP,1,campinas,s1,13023\nRJ,2,rio,s2,x\n"
+    )
+    spec = CATALOG["sellers"]
+    found = {r["seller_id"]: r for r in read_csv_table(spark, str(tmp_path / "sellers.csv"), spec).collect()}
+    assert found["s1"]["seller_city"] == "campinas" and found["s2"]["seller_state"] == "RJ"
+    (tmp_path / "short.csv").write_text("seller_id,seller_city\ns1,campinas\n")
+    with pytest.raises(ValueError, match="seller_state"):
+        read_csv_table(spark, str(tmp_path / "short.csv"), spec)
+
+
+def test_values_that_do_not_parse_are_counted(spark, tmp_path):
+    (tmp_path / "items.csv").write_text(
+        ",".join(CATALOG["order_items"].columns) + "\n" + "\n".join(["o1,1,p,s,2018-01-01 00:00:00,9.5,x", "o2,b,p,s,,,1.0"]) + "\n"
+    )
+    counts = dict(tuple(r) for r in unparsed_values(spark, str(tmp_path / "items.csv"), CATALOG["order_items"]).collect())
+    assert {k: v for k, v in counts.items() if v} == {"order_item_id": 1, "freight_value": 1}
