@@ -37,6 +37,8 @@ WIDE_COLUMNS = (
     "is_delayed",
 )
 
+CUSTOMER_COLUMNS = {"customer_unique_id", "state", "city", "customer_state", "customer_city"}
+
 FEATURE_INPUT_COLUMNS = (
     "customer_unique_id",
     "customer_state",
@@ -76,21 +78,24 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
 
 
 def order_facts(tables: CommerceTables, columns: Iterable[str]) -> DataFrame:
-    """Delivered orders with customer columns, and with payment and review columns if asked for.
+    """Delivered orders, with customer, payment and review columns if asked for.
 
     Joining at order grain keeps these joins an order of magnitude narrower than on items. The left joins find at
-    most one row per order (declared keys), so leaving one out does not change the other columns.
+    most one row per order (declared keys) and every order has its customer (declared reference), so leaving one out
+    does not change the other columns.
     """
     needed = set(columns)
-    facts = with_status(tables.orders).select("order_id", "customer_id", *ORDER_TIMES).join(
-        tables.customers.select(
+    facts = with_status(tables.orders).select("order_id", "customer_id", *ORDER_TIMES)
+    if needed & CUSTOMER_COLUMNS:
+        facts = facts.join(
+            tables.customers.select(
+                "customer_id",
+                "customer_unique_id",
+                F.col("customer_state").alias("state"),
+                F.col("customer_city").alias("city"),
+            ),
             "customer_id",
-            "customer_unique_id",
-            F.col("customer_state").alias("state"),
-            F.col("customer_city").alias("city"),
-        ),
-        "customer_id",
-    )
+        )
     if "payment_type" in needed:
         facts = facts.join(primary_payments(tables.payments), "order_id", "left")
     if "review_score" in needed:

@@ -79,7 +79,9 @@ def clean_items(tables: CommerceTables, columns: Sequence[str] = FEATURE_INPUT_C
     return joined.fillna(filled) if filled else joined
 
 
-def clean_orders(tables: CommerceTables, columns: Sequence[str] = ("payment_type", "review_score")) -> DataFrame:
+def clean_orders(
+    tables: CommerceTables, columns: Sequence[str] = ("customer_unique_id", "payment_type", "review_score")
+) -> DataFrame:
     """The orders of :func:`clean_items`, one row each, without going through the items.
 
     The first of several equal lines is the one with the highest price, so an order keeps a line exactly when it has

@@ -58,15 +58,20 @@ def reference_date(items: DataFrame) -> DataFrame:
 def item_level(items: DataFrame) -> DataFrame:
     """Spend, products, categories and sellers per customer.
 
-    Spark plans the two distinct counts over rows keyed by customer and value, so one customer with very many rows
-    is spread over tasks before the counts come together.
+    Items are summed by customer, category and seller first. Spark plans the two distinct counts over rows keyed by
+    customer and value, so one customer with very many rows is spread over tasks before the counts come together.
     """
-    return items.groupBy("customer_unique_id").agg(
+    sums = items.groupBy("customer_unique_id", "category", "seller_id").agg(
         F.sum(F.col("price") + F.col("freight_value")).alias("spend"),
-        F.count("product_id").alias("total_products"),
+        F.count("product_id").alias("products"),
+        F.sum("freight_value").alias("freight"),
+    )
+    return sums.groupBy("customer_unique_id").agg(
+        F.sum("spend").alias("spend"),
+        F.sum("products").alias("total_products"),
         F.countDistinct("category").alias("distinct_categories"),
         F.countDistinct("seller_id").alias("distinct_sellers"),
-        F.sum("freight_value").alias("freight"),
+        F.sum("freight").alias("freight"),
     )
 
 

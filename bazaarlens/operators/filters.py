@@ -54,8 +54,6 @@ def options(items: DataFrame, column: str) -> DataFrame:
 
 
 def all_options(items: DataFrame) -> DataFrame:
-    """``filter, value`` for the state, category and payment filters."""
-    parts = [
-        options(items, c).select(F.lit(c).alias("filter"), "value") for c in ("state", "category", "payment_type")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """``filter, value`` for the state, category and payment filters, from one pass over the items."""
+    cells = [F.struct(F.lit(c).alias("filter"), F.col(c).alias("value")) for c in ("state", "category", "payment_type")]
+    return items.select(F.inline(F.array(*cells))).dropna(subset=["value"]).distinct().orderBy("filter", "value")

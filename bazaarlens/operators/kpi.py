@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import as_double, display_number, half_even, mean_of, number_text
+from bazaarlens.functions.storage import materialise
 from bazaarlens.operators.product import bottom_category_revenue, top_category_revenue
 from bazaarlens.operators.regional import top_state_revenue
 from bazaarlens.operators.sales import monthly_revenue, payment_order_counts
@@ -102,6 +103,17 @@ CONTEXT_SCALARS = {
     "avg_delivery_days": 1,
     "pct_orders_delayed": 1,
 }
+CONTEXT_INPUTS = (
+    "customer_unique_id",
+    "order_id",
+    "state",
+    "category",
+    "payment_type",
+    "item_value",
+    "review_score",
+    "delivery_days",
+    "is_delayed",
+)
 CONTEXT_COUNTS = ("total_orders", "total_unique_customers")
 CONTEXT_MAPS = (
     "top_5_categories_by_revenue",
@@ -112,7 +124,11 @@ CONTEXT_MAPS = (
 
 
 def business_context_entries(items: DataFrame, features: DataFrame) -> DataFrame:
-    """The business context in long form: ``metric, key, value``; ``key`` is null for the scalars."""
+    """The business context in long form: ``metric, key, value``; ``key`` is null for the scalars.
+
+    Totals, rankings and payments read the items apart, so the columns they need are written once.
+    """
+    items = materialise(items.select(*CONTEXT_INPUTS), "context-items")
     values = {
         "total_revenue_BRL": as_double(F.col("value")),
         "total_orders": as_double(F.col("orders")),

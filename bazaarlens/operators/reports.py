@@ -24,6 +24,16 @@ def _paid_orders(tables: CommerceTables) -> DataFrame:
     return with_status(tables.orders).join(_paid_per_order(tables.payments), "order_id")
 
 
+def _paid_orders_of(tables: CommerceTables, *columns: str) -> DataFrame:
+    """One row per delivered and paid order with its paid total and the given columns of order and customer.
+
+    Customers join first and payments last, so that what follows per order finds its rows in place.
+    """
+    orders = with_status(tables.orders).join(tables.customers, "customer_id").select("order_id", *columns)
+    paid = orders.join(_paid_per_order(tables.payments), "order_id")
+    return paid.groupBy("order_id", *columns).agg(F.sum("order_total").alias("total"), F.count("order_total").alias("paid"))
+
+
 def _average(total, count):
     return F.round(mean_of(total, count), 2)
 
@@ -59,15 +69,13 @@ def avg_order_value(tables: CommerceTables) -> DataFrame:
 
 
 def orders_by_state(tables: CommerceTables) -> DataFrame:
-    customers = tables.customers.select("customer_id", F.col("customer_state").alias("state"))
     return (
-        _paid_orders(tables)
-        .join(customers, "customer_id")
-        .groupBy("state")
+        _paid_orders_of(tables, "customer_state")
+        .groupBy(F.col("customer_state").alias("state"))
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            _money(F.sum("order_total")).alias("total_revenue"),
-            _average(F.sum("order_total"), F.count("order_total")).alias("avg_order_value"),
+            F.count("order_id").alias("total_orders"),
+            _money(F.sum("total")).alias("total_revenue"),
+            _average(F.sum("total"), F.sum("paid")).alias("avg_order_value"),
         )
         .orderBy(F.desc("total_orders"), "state")
     )
@@ -168,38 +176,21 @@ def avg_review_score(tables: CommerceTables, limit: int = 25) -> DataFrame:
 
 
 def top_customers(tables: CommerceTables, limit: int = 20) -> DataFrame:
-    """Customers by lifetime value; city and state are those of the earliest order.
-
-    The totals alone decide who is on the list, so only its ``limit`` customers look up their city and state.
-    """
-    customers = tables.customers.select("customer_id", "customer_unique_id")
-    top = (
-        _paid_orders(tables)
-        .join(customers, "customer_id")
+    """Customers by lifetime value; city and state are those of the earliest order."""
+    place = ("order_purchase_timestamp", "customer_city", "customer_state")
+    earliest = F.struct(F.col(place[0]).isNull(), place[0], "order_id")
+    return (
+        _paid_orders_of(tables, "customer_unique_id", *place)
         .groupBy("customer_unique_id")
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            _money(F.sum("order_total")).alias("lifetime_value"),
+            F.min_by(F.struct("customer_city", "customer_state"), earliest).alias("place"),
+            F.count("order_id").alias("total_orders"),
+            _money(F.sum("total")).alias("lifetime_value"),
         )
+        .select("customer_unique_id", "place.customer_city", "place.customer_state", "total_orders", "lifetime_value")
         .orderBy(F.desc("lifetime_value"), "customer_unique_id")
         .limit(limit)
     )
-    first = F.struct(F.col("order_purchase_timestamp").isNull(), "order_purchase_timestamp", "order_id")
-    places = (
-        tables.customers.join(top.select("customer_unique_id"), "customer_unique_id", "left_semi")
-        .join(with_status(tables.orders), "customer_id")
-        .join(tables.payments.select("order_id"), "order_id")
-        .groupBy("customer_unique_id")
-        .agg(
-            F.min_by("customer_city", first).alias("customer_city"),
-            F.min_by("customer_state", first).alias("customer_state"),
-        )
-    )
-    return (
-        top.join(places, "customer_unique_id")
-        .select("customer_unique_id", "customer_city", "customer_state", "total_orders", "lifetime_value")
-        .orderBy(F.desc("lifetime_value"), "customer_unique_id")
-    )
 
 
 def top_products(tables: CommerceTables, limit: int = 20) -> DataFrame:
