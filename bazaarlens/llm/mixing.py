@@ -2,7 +2,7 @@
 
 A text is coded as its lower-cased words, a space after each, and an end sign. Each byte is a path of binary decisions
 down a Huffman tree of the corpus's bytes, so that a byte takes four to five decisions and not eight. Every decision is
-predicted from several contexts (the last one, two, three, four and six bytes, and the word so far). Short contexts are
+predicted from several contexts (the last three, four and six bytes, and the word so far). Short contexts are
 hashed to slots that count the next bytes, long ones are hashed together with the decision; the counts over all training
 documents give each slot's probability. The predictions are added in the
 logistic domain under weights that a gate selects, namely how many of the three longest contexts have been seen; the weights
@@ -29,7 +29,7 @@ from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack, unpack_all
 
 #: Bytes of the short contexts, and how many slots each has, as a power of two.
-ORDERS, SLOT_BITS = (1, 2, 3, 4), (8, 12, 15, 16)
+ORDERS, SLOT_BITS = (3, 4), (15, 16)
 #: Bytes of the long context beside the word so far, and the slots of both.
 LONG_ORDER, LONG_BITS = 6, 22
 SHORT, CONTEXTS = len(ORDERS), len(ORDERS) + 2
@@ -49,10 +49,7 @@ PRIOR = 0.1
 FIRST_BYTES = 64
 RATE = 1.0
 #: Weights by gate (none to all of the three longest contexts seen) and context, before a document has said anything.
-START_WEIGHTS = np.array(
-    [[0.5, 0.35, 0.2, 0.3, 0.1, 0.0], [0.35, 0.3, 0.3, 0.3, 0.05, 0.0], [0.15, 0.25, 0.4, 0.4, 0.15, 0.0], [0.0, 0.05, 0.25, 0.35, 0.35, 0.2]],
-    np.float32,
-)
+START_WEIGHTS = np.array([[0.6, 0.3, 0.1, 0.0], [0.6, 0.3, 0.05, 0.0], [0.6, 0.4, 0.15, 0.0], [0.3, 0.35, 0.35, 0.2]], np.float32)
 
 
 class Coded:
@@ -101,7 +98,7 @@ class Coded:
             own = recent[self.at]
             if k in ORDERS:
                 i = ORDERS.index(k)
-                own = own if k == 1 else mix(own + np.uint64(k)) >> np.uint64(64 - SLOT_BITS[i])
+                own = mix(own + np.uint64(k)) >> np.uint64(64 - SLOT_BITS[i])
                 self.slots[i] = SLOTS[i] + own.astype(np.int32)
         self.hashes[0] = mix(own + np.uint64(PAD)) >> np.uint64(32)
         self.hashes[1] = byte_sums(out).runs(heads, self.at) >> np.uint64(32)
@@ -131,7 +128,7 @@ class Tree:
         self.root = node - 1
         self.lengths = np.array([len(p) for p in paths], np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
-        self.nodes = np.array([n for p in paths for n, _ in reversed(p)], np.int32)
+        self.nodes = np.array([n for p in paths for n, _ in reversed(p)], np.int64)
         self.signs = np.array([2 * b - 1 for p in paths for _, b in reversed(p)], np.float32)
         self.marks = self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
         self.root_mark = self.root * 0x9E3779B1 & 0xFFFFFFFF
@@ -177,10 +174,25 @@ def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def _add(total: np.ndarray, keys: np.ndarray) -> None:
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs."""
     keys = np.sort(keys)
     first = group_edges(keys)
-    total[keys[first]] += np.diff(np.r_[first, len(keys)]).astype(total.dtype)
+    return keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+
+
+def _add_contexts(total: np.ndarray, coded: Coded, tree: Tree) -> None:
+    for k in range(SHORT):
+        keys, n = _counted((coded.slots[k] << 8) | coded.symbols)
+        total[keys] += n
+    for k in range(CONTEXTS - SHORT):
+        # a byte that follows a context again takes the same decisions again
+        keys, n = _counted((coded.hashes[k].astype(np.uint64) << np.uint64(8)) | coded.symbols)
+        steps, inner = tree.steps((keys & np.uint64(255)).astype(np.uint8))
+        slot = _long_slots(np.repeat((keys >> np.uint64(8)).astype(np.uint32), steps), tree.marks[inner]).astype(np.int64)
+        slot += slot
+        slot += (BY_BYTE + k * (2 << LONG_BITS)) + (tree.signs[inner] > 0)
+        np.add.at(total, slot, np.repeat(n, steps))
 
 
 def context_counts(docs: DataFrame, text_col: str, tree: Tree) -> DataFrame:
@@ -192,14 +204,8 @@ def context_counts(docs: DataFrame, text_col: str, tree: Tree) -> DataFrame:
 
         tree, total = shared.value, np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for _, _, coded in _coded(*text_buffers(batch.column(0)), 1 << 19):
-                for k in range(SHORT):
-                    _add(total, (coded.slots[k] << 8) | coded.symbols)
-                steps, inner = tree.steps(coded.symbols)
-                marks, ones = tree.marks[inner], (tree.signs[inner] > 0).astype(np.int32)
-                for k in range(CONTEXTS - SHORT):
-                    slot = _long_slots(np.repeat(coded.hashes[k], steps), marks).view(np.int32)
-                    _add(total, (BY_BYTE + k * (2 << LONG_BITS)) + 2 * slot + ones)
+            for _, _, coded in _coded(*text_buffers(batch.column(0)), 1 << 20):
+                _add_contexts(total, coded, tree)
         rows = []
         for part in range(0, COUNTERS // PART):
             own = total[part * PART : (part + 1) * PART]
@@ -279,10 +285,15 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, table: np.ndarray, block: in
         gate += long_[k][_long_slots(coded.hashes[k], np.uint32(tree.root_mark))] != 0
     stage = np.frexp(coded.place // FIRST_BYTES)[1].astype(np.int32)  # 0, then one more after each doubling
     group = coded.doc.astype(np.int32) * gates + gate
-    order = np.lexsort((group, stage))
-    cuts = np.searchsorted(stage[order], np.arange(stage.max(initial=0) + 2))
+    # what a text's last stage would teach is of no use: it is the second half of each stage's places
+    final = np.zeros(rows, np.int32)
+    final[coded.doc] = stage
+    half = 2 * stage + (stage == final[coded.doc])
+    order = np.lexsort((group, half))
+    cuts = np.searchsorted(half[order], np.arange(half.max(initial=0) + 3))
+    slope, weight = np.zeros((CONTEXTS, rows * gates)), np.zeros(rows * gates)
+    bases = (coded.slots.astype(np.int64) << 8)
     for c in range(len(cuts) - 1):
-        slope, weight = np.zeros((CONTEXTS, rows * gates)), np.zeros(rows * gates)
         for i in range(cuts[c], cuts[c + 1], block):
             own = order[i : min(i + block, cuts[c + 1])]
             symbol, groups = coded.symbols[own], group[own]
@@ -296,21 +307,26 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, table: np.ndarray, block: in
             z = np.zeros(len(node), np.float32)
             for k in range(CONTEXTS):
                 if k < SHORT:
-                    inputs[k] = table[np.repeat(coded.slots[k][own] << 8, steps) + node]
+                    inputs[k] = np.take(table, np.repeat(bases[k][own], steps) + node)
                 else:
-                    inputs[k] = long_[k - SHORT][_long_slots(np.repeat(coded.hashes[k - SHORT][own], steps), marks)]
+                    slots = _long_slots(np.repeat(coded.hashes[k - SHORT][own], steps), marks)
+                    inputs[k] = np.take(long_[k - SHORT], slots.astype(np.int64))
                 z += np.repeat(weights[which, k], lengths) * inputs[k]
             z *= sign
             np.clip(z, -12, 12, out=z)
             odds = np.exp(-z)
-            cost += np.bincount(which // gates, np.add.reduceat(np.log(1 + odds), begin, dtype=np.float64), rows)
+            cost += np.bincount(which // gates, np.add.reduceat(np.log(1 + odds), begin), rows)
+            if c % 2:
+                continue
             odds /= 1 + odds
             odds *= sign
             weight[which] += lengths
             for k in range(CONTEXTS):
                 slope[k, which] += np.add.reduceat(odds * inputs[k], begin)
-        step = RATE / SCALE * slope / (weight + 200)
-        weights += np.clip(step, -0.1, 0.1).T.astype(np.float32) / np.float32(SCALE)
+        if c % 2:
+            step = RATE / SCALE * slope / (weight + 200)
+            weights += np.clip(step, -0.1, 0.1).T.astype(np.float32) / np.float32(SCALE)
+            slope[:], weight[:] = 0, 0
     return cost
 
 
@@ -356,7 +372,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         all_ = np.bincount(back, often, len(word)).astype(np.int64)
         to, at = table_["origin"].to_pylist(), np.r_[0, np.cumsum(sizes)]
         me = table_["to"][0].as_py()
-        rows = [(g, me, pack(all_[back[x:y]].astype(np.uint64))) for g, x, y in zip(to, at[:-1], at[1:], strict=True)]
+        rows = [(g, me, pack(h[x:y], all_[back[x:y]])) for g, x, y in zip(to, at[:-1], at[1:], strict=True)]
         return G.messages([*rows, (-1, me, pack(np.array([all_.sum(), (all_ > 0).sum()])))])
 
     answered = materialise(G.compare(G.send(texts, send), total), "word-counts")
@@ -368,13 +384,11 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     end_log = float(np.log10(ends + 0.5))
 
     def both(table_: pa.Table, answer: pa.Table) -> pa.Table:
-        h, _ = distinct(table_)
-        order = np.argsort(answer["origin"].to_numpy())
-        c = np.concatenate([np.zeros(0, np.uint64), *(unpack(answer["body"][int(i)].as_py())[0] for i in order)]).astype(np.int64)
+        (h, c), _ = unpack_all(answer["body"].take(np.argsort(answer["origin"].to_numpy())), [np.uint64, np.int64])
         logs = np.log10(c + 0.5)
         data, offsets = text_buffers(table_[G.TEXT])
         out = {k: [np.zeros(0, np.int64 if k[0] == "n" else float)] for k in names}
-        for a, b in slices(offsets, 1 << 18):
+        for a, b in slices(offsets, 1 << 19):
             words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
             at = np.searchsorted(h, words.hashes())
             coded = Coded(words)
