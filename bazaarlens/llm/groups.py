@@ -4,14 +4,14 @@ Operators that look for equal pieces of text all over the corpus work in rounds.
 their id, into groups, a few for each shuffle partition, and there are as many hash ranges. In each round a group sends one packed row of its distinct
 hashes to each hash range, a range compares what all groups sent, and sends back to each group only what that group has
 to know. A piece that a third of all documents hold is thus one entry a group, not one a document; texts are shuffled
-once, as the rounds of a query share the exchange.
+once, packed, as the rounds of a query share the exchange.
 
 Size ``spark.sql.shuffle.partitions`` so that a partition has some tens of MB of text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.llm.arrays import pack
+from bazaarlens.llm.arrays import group_edges, pack
 
 GROUP, ID, TEXT = "__group", "__id", "__text"
 #: Several groups share a task, so that tasks are even and a group is small.
 GROUPS_PER_TASK = 3
+#: Documents that a task gathers before it packs them.
+PACK_BYTES = 32 << 20
 #: A null id stands after all others.
 LAST_ID = 2**63 - 1
 MESSAGE = T.StructType(
@@ -38,16 +40,45 @@ def group_count(docs: DataFrame, per_task: int = GROUPS_PER_TASK) -> int:
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """The documents with their group, id (null: last) and text in columns of their own."""
+    """The documents by group, packed: in each row what one task has of a group, as a compressed Arrow table with group,
+    id (null: last) and text in columns of their own."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    return docs.select(
+    rows = docs.select(
         F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias(GROUP), key.alias(ID), F.col(text_col).cast("string").alias(TEXT),
         *[c for c in docs.columns if c != text_col],
     )
-
-
-def in_order(table: pa.Table) -> pa.Table:
+    return rows.mapInArrow(_packed, f"{GROUP} int, body binary")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= PACK_BYTES:
+            yield _pack_groups(waiting)
+            waiting = []
+    if waiting:
+        yield _pack_groups(waiting)
+
+
+def _pack_groups(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    order = np.argsort(table[GROUP].to_numpy(), kind="stable")
+    table = table.take(order)
+    group = table[GROUP].to_numpy()
+    first = group_edges(group)
+    bodies = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=False):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.slice(a, b - a).combine_chunks())
+        bodies.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(group[first], pa.int32()), pa.array(bodies, pa.binary())], names=[GROUP, "body"])
+
+
+def in_order(packed: pa.Table) -> pa.Table:
     """A group's documents by id: the same order in each round, whatever order a shuffle gave them."""
+    table = pa.concat_tables([pa.ipc.open_stream(body.as_buffer()).read_all() for body in packed["body"]])
     ids = table[ID].to_numpy()
     ties = len(np.unique(ids)) < len(ids)
     order = pc.sort_indices(table, [(ID, "ascending"), (TEXT, "ascending")]) if ties else np.argsort(ids)
