@@ -179,21 +179,26 @@ def tree_attributions(model: PipelineModel, features: DataFrame) -> DataFrame:
     ensemble = read_ensemble(model, spark)
     # Rows are few bytes but much work, so tasks are sized by rows.
     tasks = -(-features.count() // ROWS_PER_TASK) or 1
-    prepared = prepared_inputs(model, features).repartition(tasks, ID)
+    return ensemble_attributions(ensemble, prepared_inputs(model, features).repartition(tasks, ID))
+
+
+def ensemble_attributions(ensemble: Ensemble, df: DataFrame, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    """Attributions of an ensemble whose features are numbered as ``inputs``, columns of ``df`` beside the id."""
+    columns = list(inputs)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = shapley_values(ensemble, batch[list(INPUTS)].to_numpy(dtype=float))
-            out = pd.DataFrame(values, columns=list(INPUTS))
+            values = shapley_values(ensemble, batch[columns].to_numpy(dtype=float))
+            out = pd.DataFrame(values, columns=columns)
             out.insert(0, "base_value", ensemble.base_value)
             out.insert(0, ID, batch[ID].to_numpy())
             yield out
 
     schema = T.StructType(
-        [prepared.schema[ID], T.StructField("base_value", T.DoubleType())]
-        + [T.StructField(c, T.DoubleType()) for c in INPUTS]
+        [df.schema[ID], T.StructField("base_value", T.DoubleType())]
+        + [T.StructField(c, T.DoubleType()) for c in columns]
     )
-    return prepared.mapInPandas(attribute, schema)
+    return df.select(ID, *columns).mapInPandas(attribute, schema)
 
 
 def attributions(model: PipelineModel, features: DataFrame) -> DataFrame:

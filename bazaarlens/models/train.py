@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,19 @@ def add_models(
     return replace(result, models=result.models | models, scored=result.scored | scored)
 
 
+def logistic_gradient(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """``feature, gradient`` of the penalised loss at the fitted coefficients; zero at its minimum."""
+    classifier = model.stages[-1]
+    weights = class_weights(train).first().asDict()
+    scored = model.transform(add_balanced_weight(train, weights)).withColumn("p", vector_to_array("probability")[1])
+    error = F.col("weight") * (F.col("p") - F.col(LABEL))
+    slopes = [(F.sum(error * F.col(f"_in_{c}")) / F.sum("weight")).alias(c) for c in INPUTS]
+    penalty = dict(zip(INPUTS, classifier.coefficients.toArray().tolist(), strict=True))
+    regular = classifier.getRegParam()
+    total = scored.agg(*slopes).select(*[(F.col(c) + F.lit(regular * penalty[c])).alias(c) for c in INPUTS])
+    return total.unpivot([], list(INPUTS), "feature", "gradient")
+
+
 def metrics_row(comparison: DataFrame, name: str) -> DataFrame:
     """The stored metrics of one model."""
     return comparison.filter(F.col("model") == name).select(

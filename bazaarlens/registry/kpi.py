@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import display_number
 from bazaarlens.operators import kpi, product
-from bazaarlens.registry.core import register, settled
+from bazaarlens.registry.core import Source, register, settled
 from bazaarlens.registry.views import he, mean
 
 _INPUT = ("order_id", "customer_unique_id", "item_value", "review_score", "delivery_days", "is_delayed")
@@ -50,28 +51,48 @@ def _listed(name: str, key: str, value: str, order: str) -> str:
         SELECT {key}, {value} AS value FROM v_wide WHERE {key} IS NOT NULL GROUP BY {key} {order})"""
 
 
+_CONTEXT_SQL = " UNION ALL ".join(
+    [
+        _scalar("total_revenue_BRL", "SUM(item_value)"),
+        _scalar("total_orders", "COUNT(DISTINCT order_id)"),
+        _scalar("total_unique_customers", "COUNT(DISTINCT customer_unique_id)"),
+        _scalar("avg_order_value_BRL", _AOV),
+        _scalar("avg_review_score_out_of_5", _REVIEW),
+        _scalar("churn_rate_percent", _CHURN),
+        _scalar("repeat_customer_rate_percent", _REPEAT),
+        _scalar("avg_delivery_days", _TRAVEL),
+        _scalar("pct_orders_delayed", _LATE),
+        _listed("top_5_categories_by_revenue", "category", "SUM(item_value)", "ORDER BY 2 DESC, 1 LIMIT 5"),
+        _listed("bottom_5_categories_by_revenue", "category", "SUM(item_value)", "ORDER BY 2, 1 LIMIT 5"),
+        _listed("top_5_states_by_revenue", "state", "SUM(item_value)", "ORDER BY 2 DESC, 1 LIMIT 5"),
+        _listed("payment_method_order_share", "payment_type", "COUNT(DISTINCT order_id)", ""),
+    ]
+)
 register(
     "k03_business_context",
     lambda s: kpi.business_context_entries(s.items(*_CONTEXT_INPUT), s.features),
-    " UNION ALL ".join(
-        [
-            _scalar("total_revenue_BRL", "SUM(item_value)"),
-            _scalar("total_orders", "COUNT(DISTINCT order_id)"),
-            _scalar("total_unique_customers", "COUNT(DISTINCT customer_unique_id)"),
-            _scalar("avg_order_value_BRL", _AOV),
-            _scalar("avg_review_score_out_of_5", _REVIEW),
-            _scalar("churn_rate_percent", _CHURN),
-            _scalar("repeat_customer_rate_percent", _REPEAT),
-            _scalar("avg_delivery_days", _TRAVEL),
-            _scalar("pct_orders_delayed", _LATE),
-            _listed("top_5_categories_by_revenue", "category", "SUM(item_value)", "ORDER BY 2 DESC, 1 LIMIT 5"),
-            _listed("bottom_5_categories_by_revenue", "category", "SUM(item_value)", "ORDER BY 2, 1 LIMIT 5"),
-            _listed("top_5_states_by_revenue", "state", "SUM(item_value)", "ORDER BY 2 DESC, 1 LIMIT 5"),
-            _listed("payment_method_order_share", "payment_type", "COUNT(DISTINCT order_id)", ""),
-        ]
-    ),
+    _CONTEXT_SQL,
 )
 register("k03_business_context_row", lambda s: kpi.business_context(s.items(*_CONTEXT_INPUT), s.features))
+
+
+def _context_cells(s: Source) -> DataFrame:
+    """The row of scalars and maps, taken apart again."""
+    row = kpi.business_context(s.items(*_CONTEXT_INPUT), s.features)
+    scalars = [
+        F.struct(F.lit(c).alias("metric"), F.lit(None).cast("string").alias("key"), F.col(c).cast("double").alias("value"))
+        for c in kpi.CONTEXT_SCALARS
+    ]
+
+    def entries(name: str):
+        as_cell = lambda e: F.struct(F.lit(name).alias("metric"), e["key"].alias("key"), e["value"].alias("value"))
+        return F.transform(F.map_entries(name), as_cell)
+
+    listed = [entries(c) for c in kpi.CONTEXT_MAPS]
+    return row.select(F.inline(F.concat(F.array(*scalars), *listed)))
+
+
+register("k03_business_context_cells", _context_cells, _CONTEXT_SQL)
 register(
     "k04_best_and_worst_month",
     lambda s: kpi.best_and_worst_month(s.items("month", "item_value")),

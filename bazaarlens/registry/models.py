@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,28 @@ def _closed_form(s: Source) -> DataFrame:
     return materialise(scored, "scored")
 
 
+_HALF_POINTS = {"slow": 28.0, "middle": 14.0, "fast": 7.0}
+
+
+def scores(s: Source) -> dict[str, DataFrame]:
+    """The same kind of score with three half points, as if of three models."""
+    days = F.coalesce(F.col("avg_delivery_days"), F.lit(0.0))
+    features, out = s.stored_features, {}
+    for name, half in _HALF_POINTS.items():
+        value = half_even(days / (days + half), 2)
+        columns = [value.alias("score"), (value > 0.5).cast("int").alias("prediction")]
+        out[name] = features.select(prep.ID, F.col("churn").alias("label"), *columns)
+    return out
+
+
+def _scores_sql(half: float) -> str:
+    days = "COALESCE(avg_delivery_days, 0.0)"
+    return (
+        "(SELECT label, score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS prediction FROM "
+        f"(SELECT churn AS label, {he(f'{days} / ({days} + {half})', 2)} AS score FROM v_features))"
+    )
+
+
 _RATIO = "COALESCE(CAST({} AS DOUBLE) / NULLIF(CAST({} AS DOUBLE), 0), 0)"
 _CELLS = """(SELECT COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
                     COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
@@ -133,6 +156,15 @@ register(
                {he('SUM(p) OVER (ORDER BY score DESC) / CAST(SUM(p) OVER () AS DOUBLE)')} AS tpr
         FROM (SELECT score, SUM(label) AS p, SUM(1 - label) AS n FROM v_scored GROUP BY score)""",
 )
+register(
+    "m14_score_comparison",
+    lambda s: evaluate.compare_models(scores(s)),
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {he(_ACCURACY)} AS accuracy, {he(_CHURNED[0])} AS precision, {he(_CHURNED[1])} AS recall, "
+        f"{he(_CHURNED[2])} AS f1, {he(_AUC)} AS roc_auc FROM {_CELLS}".replace("v_scored", _scores_sql(half))
+        for name, half in _HALF_POINTS.items()
+    ),
+)
 register(
     "m13_confusion_matrix",
     lambda s: evaluate.confusion_matrix(_closed_form(s)),
@@ -203,11 +235,34 @@ register(
     ),
 )
 
+# One tree that both engines can compute: orders up to 1 give 0.2, others -0.1 or 0.4 by the share of delayed orders.
+_TREE = [
+    ({0: (float("-inf"), 1.0, 0.6)}, 0.2),
+    ({0: (1.0, float("inf"), 0.4), 1: (float("-inf"), 0.5, 0.7)}, -0.1),
+    ({0: (1.0, float("inf"), 0.4), 1: (0.5, float("inf"), 0.3)}, 0.4),
+]
+register(
+    "m20_small_tree_attributions",
+    lambda s: settled(
+        explain.ensemble_attributions(
+            explain.ensemble_from_leaves(_TREE),
+            s.features.select(prep.ID, F.col("num_orders").cast("double"), "pct_delayed").fillna(0.0),
+            ("num_orders", "pct_delayed"),
+        )
+    ),
+    f"""WITH k AS (SELECT customer_unique_id, num_orders <= 1 AS few, CASE WHEN COALESCE(pct_delayed, 0.0) <= 0.5 THEN -0.1 ELSE 0.4 END AS leaf
+                   FROM v_features),
+             v AS (SELECT customer_unique_id, 0.14::DOUBLE AS none, CASE WHEN few THEN 0.2 ELSE 0.05 END::DOUBLE AS orders,
+                   (0.12 + 0.4 * leaf)::DOUBLE AS late, CASE WHEN few THEN 0.2 ELSE leaf END::DOUBLE AS joint FROM k)
+        SELECT customer_unique_id, {he('none')} AS base_value, {he('((orders - none) + (joint - late)) / 2')} AS num_orders,
+               {he('((late - none) + (joint - orders)) / 2')} AS pct_delayed FROM v""",
+)
+
 # Fitted models have no SQL counterpart. A model is fitted once per application and data folder, like a saved one.
 _fitted: dict[tuple[str, str], train.TrainingResult] = {}
 
 
-def _training(s: Source, *names: str) -> train.TrainingResult:
+def trained(s: Source, *names: str) -> train.TrainingResult:
     application = s.spark.sparkContext.applicationId
     known = _fitted.get((application, s.folder))
     missing = [n for n in names if known is None or n not in known.models]
@@ -222,30 +277,30 @@ def _training(s: Source, *names: str) -> train.TrainingResult:
 
 
 def _scored(s: Source, name: str) -> DataFrame:
-    return _training(s, name).scored[name]
+    return trained(s, name).scored[name]
 
 
 register("m08_logistic_regression", lambda s: _scored(s, train.LOGISTIC))
 register("m09_random_forest", lambda s: _scored(s, train.FOREST))
 register("m10_boosted_trees", lambda s: _scored(s, train.BOOSTED))
-register("m12_roc_curves_of_models", lambda s: _training(s, *train.FITTERS).roc_curves())
-register("m14_model_comparison", lambda s: _training(s, *train.FITTERS).comparison())
+register("m12_roc_curves_of_models", lambda s: trained(s, *train.FITTERS).roc_curves())
+register("m14_model_comparison", lambda s: trained(s, *train.FITTERS).comparison())
 register(
     "m15_forest_importance",
-    lambda s: train.feature_importance(_training(s, train.FOREST).models[train.FOREST], s.spark),
+    lambda s: train.feature_importance(trained(s, train.FOREST).models[train.FOREST], s.spark),
 )
 register(
     "m15_boosted_importance",
-    lambda s: train.feature_importance(_training(s, train.BOOSTED).models[train.BOOSTED], s.spark, 15),
+    lambda s: train.feature_importance(trained(s, train.BOOSTED).models[train.BOOSTED], s.spark, 15),
 )
 register(
     "m17_scored_customers",
-    lambda s: score.add_risk(score.predict_churn(_training(s, train.FOREST).models[train.FOREST], s.features)),
+    lambda s: score.add_risk(score.predict_churn(trained(s, train.FOREST).models[train.FOREST], s.features)),
 )
 
 
 def _tree_attributions(s: Source, name: str) -> DataFrame:
-    return explain.tree_attributions(_training(s, name).models[name], s.features)
+    return explain.tree_attributions(trained(s, name).models[name], s.features)
 
 
 register("m20_forest_attributions", lambda s: _tree_attributions(s, train.FOREST))
@@ -255,8 +310,58 @@ register(
     "m22_global_tree_attributions",
     lambda s: explain.global_attributions(
         explain.tree_attributions(
-            _training(s, train.FOREST).models[train.FOREST],
-            explain.attribution_sample(_training(s, train.FOREST).test),
+            trained(s, train.FOREST).models[train.FOREST],
+            explain.attribution_sample(trained(s, train.FOREST).test),
         )
     ),
 )
+
+
+# What must hold for every row of a fitted model, whatever its numbers are.
+register(
+    "m08_gradient_is_zero",
+    lambda s: train.logistic_gradient(trained(s, train.LOGISTIC).models[train.LOGISTIC], trained(s, train.LOGISTIC).train).select(
+        "feature", (F.abs("gradient") < 1e-3).alias("is_zero")
+    ),
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, TRUE AS is_zero" for c in prep.INPUTS),
+)
+
+
+def _forest_importance(s: Source) -> DataFrame:
+    found = train.feature_importance(trained(s, train.FOREST).models[train.FOREST], s.spark)
+    return found.agg(
+        F.count("*").alias("features"),
+        (F.min("importance") >= 0).alias("none_negative"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"),
+    )
+
+
+register(
+    "m15_importance_is_a_share",
+    _forest_importance,
+    f"SELECT CAST({len(prep.INPUTS)} AS BIGINT) AS features, TRUE AS none_negative, TRUE AS sum_is_one",
+)
+register(
+    "m17_classes_follow_probabilities",
+    lambda s: score.predict_churn(trained(s, train.FOREST).models[train.FOREST], s.features).select(
+        prep.ID,
+        (
+            F.col("churn_probability").between(0, 1)
+            & ((F.col("predicted_class") == 1) == (F.col("label") == "Churned"))
+            # at exactly one half, rounded, either class may stand
+            & (((F.col("churn_probability") > 0.5) == (F.col("predicted_class") == 1)) | (F.col("churn_probability") == 0.5))
+        ).alias("agrees"),
+    ),
+    "SELECT customer_unique_id, TRUE AS agrees FROM v_features",
+)
+
+
+def _adds_up(s: Source) -> DataFrame:
+    model = trained(s, train.FOREST).models[train.FOREST]
+    parts = explain.tree_attributions(model, s.stored_features)
+    total = parts.select(prep.ID, sum((F.col(c) for c in prep.INPUTS), F.col("base_value")).alias("total"))
+    output = model.transform(s.stored_features).select(prep.ID, vector_to_array("probability")[1].alias("p"))
+    return total.join(output, prep.ID).select(prep.ID, (F.abs(F.col("total") - F.col("p")) < 1e-9).alias("adds_up"))
+
+
+register("m20_forest_attributions_add_up", _adds_up, "SELECT customer_unique_id, TRUE AS adds_up FROM v_features")

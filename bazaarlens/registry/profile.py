@@ -138,3 +138,22 @@ register(
     )
     + " FROM v_features",
 )
+
+
+# The same with limits that the test tables reach.
+register(
+    "e06_orders_distribution_short",
+    lambda s: profile.orders_distribution(s.features, 4),
+    "SELECT num_orders, COUNT(*) AS customers FROM v_features GROUP BY 1 ORDER BY 1 LIMIT 4",
+)
+register(
+    "e07_common_order_counts_short",
+    lambda s: profile.common_order_counts(s.features, 4),
+    "SELECT num_orders, COUNT(*) AS customers FROM v_features GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4",
+)
+register(
+    "e14_customer_sample_500",
+    lambda s: profile.spend_orders_sample(s.features, 500),
+    f"""SELECT customer_unique_id, total_spend, num_orders, {_LABEL} AS status FROM v_features
+        ORDER BY md5(concat_ws(':', 42, customer_unique_id)), customer_unique_id LIMIT 500""",
+)
