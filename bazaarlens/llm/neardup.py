@@ -155,21 +155,28 @@ def _linkable(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def spread_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Smallest label of each connected component. ``labels``: node, comp (a node of the same component)."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Smallest label of each connected component. ``labels``: node, comp (a node of the same component).
+
+    In each round every component that is linked to a smaller one takes over the smallest such label, and what that one takes
+    over in turn, four steps far, then 16, 64, ...: long chains of components take few rounds, stars one.
+    """
+    doublings = 0
     while True:
-        at = labels.withColumnsRenamed({"node": "b"})
-        offers = both.join(at, "b").select(F.col("a").alias("node"), "comp")
-        # what reaches a node is also offered to the node its label names, so whole trees move at once
-        root = both.join(at, "b").select("a", F.col("comp").alias("new")).join(at.withColumnRenamed("b", "a"), "a").select(F.col("comp").alias("node"), F.col("new").alias("comp"))
-        least = offers.unionByName(root).unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        jumped = least.alias("x").join(least.alias("y"), F.col("x.comp") == F.col("y.node"))
-        jumped = jumped.select("x.node", F.col("y.comp").alias("comp"))
-        before = labels.withColumnRenamed("comp", "old")
-        new = materialise(jumped.join(before, "node").select("node", "comp", (F.col("comp") != F.col("old")).alias("moved")), "labels")
-        labels = new.select("node", "comp")
-        if not new.filter("moved").limit(1).count():
+        ends = links.join(labels.withColumnsRenamed({"node": "a", "comp": "x"}), "a")
+        ends = ends.join(labels.withColumnsRenamed({"node": "b", "comp": "y"}), "b").filter("x <> y")
+        hooks = ends.groupBy(F.greatest("x", "y").alias("comp")).agg(F.min(F.least("x", "y")).alias("low"))
+        hooks = materialise(hooks, "hooks")
+        if hooks.isEmpty():
             return labels
+        for _ in range(doublings):
+            further = hooks.select(F.col("comp").alias("low"), F.col("low").alias("next"))
+            hooks = hooks.join(further, "low", "left").select("comp", F.coalesce("next", "low").alias("low"))
+            hooks = materialise(hooks, "hooks")
+        doublings += 2
+        out = labels
+        for _ in range(4):
+            out = out.join(hooks, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp"))
+        labels = materialise(out, "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -196,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.join(nodes, "node").select("node", "id", "sequence")
     texts = materialise(_texts_of(ids, wanted), "candidate-texts")
     odd = classes.join(nodes, "node", "left_semi").select("node", "odd")
-    links = tested = None
+    tested = None
     centres = 1
     while True:
         by_key = Window.partitionBy("key")
@@ -215,24 +222,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.join(odd.withColumnsRenamed({"node": "a", "odd": "odd_a"}), "a").join(odd.withColumnsRenamed({"node": "b", "odd": "odd_b"}), "b")
         pairs = pairs.withColumn("near", estimated_similarity(F.col("odd_a"), F.col("odd_b")))
         pairs = materialise(pairs.filter(F.col("near") >= percent / 100 - ESTIMATE_SLACK).drop("odd_a", "odd_b"), "pairs")
-        # most nodes find their component by the nearest centre alone; the others are compared with all
-        nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
-        nearest = materialise(nearest, "pairs")
-        found = materialise(confirm(nearest, texts, size, percent), "links")
-        # a linked node counts to its centre's component, a centre that was linked itself to the one before
-        moved = found.join(pairs.select("a", "b", "comp_a"), ["a", "b"]).select("b", F.col("comp_a").alias("moved"))
-        rest = pairs.join(nearest, ["a", "b"], "left_anti").join(moved, "b", "left")
-        rest = rest.join(moved.select(F.col("b").alias("a"), F.col("moved").alias("moved_a")), "a", "left")
-        rest = rest.filter(F.coalesce("moved", "comp") != F.coalesce("moved_a", "comp_a")).select("a", "b")
-        rest = materialise(rest, "pairs")
-        now = found.unionByName(confirm(rest, texts, size, percent))
-        tested = nearest.unionByName(rest) if tested is None else tested.unionByName(nearest).unionByName(rest)
-        now = materialise(now, "links")
-        if not now.isEmpty():
-            links = now if links is None else links.unionByName(now)
-            labels = spread_labels(labels, links)
+        now = pairs.select("a", "b")
+        if centres == 1:
+            # most nodes find their component by the nearest centre alone; only the others are compared with all
+            nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
+            found = materialise(confirm(nearest, texts, size, percent), "links")
+            labels = spread_labels(labels, found)
+            at = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+            now = now.join(nearest, ["a", "b"], "left_anti").join(at, "a")
+            now = now.join(at.withColumnsRenamed({"a": "b", "x": "y"}), "b").filter("x <> y").select("a", "b")
+        found = materialise(confirm(now, texts, size, percent), "links")
+        labels = spread_labels(labels, found)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         open_ = open_.filter(F.col("rank") > centres).select("key", "node")
-        centres *= 16 if now.isEmpty() else 4
+        centres *= 16
 
     of_class = classes.select("sequence", "node", F.col("id").alias("lowest")).join(labels, "node", "left")
     of_class = of_class.withColumn("comp", F.coalesce("comp", "node"))
