@@ -81,8 +81,9 @@ class LanguageModel:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """label, part and the subword counts of each text: at most 2**BUCKET_BITS pairs, however long it is."""
-    target = pa.schema([("label", pa.string()), ("part", pa.int64()), ("bucket", pa.list_(pa.int32())), ("share", pa.list_(pa.float32()))])
+    """label, part and the subword counts of each text, as bytes of int32 buckets and of float32 shares: at most
+    2**BUCKET_BITS pairs, however long it is."""
+    target = pa.schema([("label", pa.string()), ("part", pa.int64()), ("bucket", pa.binary()), ("share", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +92,12 @@ def _counted(rows: DataFrame) -> DataFrame:
             for d in range(batch.num_rows):
                 b, _, _ = subwords(data[offsets[d] : offsets[d + 1]], np.array([0, offsets[d + 1] - offsets[d]]))
                 own, n = np.unique(b, return_counts=True)
-                found.append(own.astype(np.int32))
-                shares.append((n / max(1, n.sum())).astype(np.float32))
-            arrays = [batch.column("label"), batch.column("part"), pa.array(found, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+                found.append(own.astype(np.int32).tobytes())
+                shares.append((n / max(1, n.sum())).astype(np.float32).tobytes())
+            arrays = [batch.column("label"), batch.column("part"), pa.array(found, pa.binary()), pa.array(shares, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    return rows.mapInArrow(work, "label string, part long, bucket array<int>, share array<float>")
+    return rows.mapInArrow(work, "label string, part long, bucket binary, share binary")
 
 
 def train(
@@ -114,7 +115,10 @@ def train(
     picked = rows.filter(draw < share[F.col(label_col)])
     sample = _counted(picked.select(F.col(label_col).alias("label"), F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.lit(10**9)).alias("part"), F.col(text_col).alias("text")))
     docs = sorted(sample.toLocalIterator(), key=lambda r: (r["part"], r["label"], len(r["bucket"])))
-    docs = [(np.array(r["bucket"], np.int64), np.array(r["share"], np.float32), labels.index(r["label"]), r["part"] % 5 == 0) for r in docs]
+    docs = [
+        (np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32), labels.index(r["label"]), r["part"] % 5 == 0)
+        for r in docs
+    ]
     random = np.random.default_rng(seed)
     embed = (random.random((1 << BUCKET_BITS, DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(labels)), np.float32), np.zeros(len(labels), np.float32)
