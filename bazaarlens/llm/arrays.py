@@ -44,7 +44,7 @@ def _power(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)], dtype=np.uint64)
             for x in (step, pow(step, -1, 2**64))
         )
-        if size <= 8 * SLICE_BYTES:  # what one very long text needs is not kept
+        if size <= 2 * SLICE_BYTES:  # what one very long text needs is not kept
             _powers[step] = kept
     return kept
 

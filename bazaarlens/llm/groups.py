@@ -35,8 +35,8 @@ MESSAGE = T.StructType(
 MESSAGE_ARROW = pa.schema([("to", pa.int32()), ("origin", pa.int32()), ("body", pa.binary())])
 
 
-def group_count(docs: DataFrame, per_task: int = GROUPS_PER_TASK) -> int:
-    return max(1, per_task * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def group_count(docs: DataFrame) -> int:
+    return max(1, GROUPS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
@@ -121,12 +121,18 @@ def answers(origin: np.ndarray, *arrays: np.ndarray) -> pa.Table:
     return messages(rows)
 
 
+def _returned(result: pa.Table) -> pa.Table:
+    """Gives what a group has used back to the system, as the worker will live on."""
+    pa.default_memory_pool().release_unused()
+    return result
+
+
 def send(texts: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return texts.groupBy(GROUP).applyInArrow(lambda t: work(in_order(t)), MESSAGE)
+    return texts.groupBy(GROUP).applyInArrow(lambda t: _returned(work(in_order(t))), MESSAGE)
 
 
 def compare(sent: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return sent.groupBy("to").applyInArrow(work, MESSAGE)
+    return sent.groupBy("to").applyInArrow(lambda t: _returned(work(t)), MESSAGE)
 
 
 def receive(
@@ -135,7 +141,7 @@ def receive(
     """Each group with what was answered to it."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(in_order(left), right) if len(left) else empty
+        return _returned(work(in_order(left), right)) if len(left) else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
