@@ -8,7 +8,8 @@ sets. Rounds with more centres follow until each bucket has been settled, after
 bounds have no link left, so no link is lost and a large group of copies costs a few comparisons a document, not all its
 pairs.
 
-A pair of similarity 0.85 shares none of 32 bands of 5 samples with a chance of 7e-9.
+There are as many bands of 5 samples as the threshold asks for: a pair at 0.85 shares none of 32 with a chance of 7e-9, a
+pair at 0.80 none of 48 with one of 5e-9.
 """
 
 from __future__ import annotations
@@ -29,11 +30,21 @@ from bazaarlens.llm.arrays import LOWER, WHITE, Words, group_edges, mix, slices,
 from bazaarlens.llm.groups import LAST_ID
 from bazaarlens.llm.substring import kept_words
 
-BANDS, ROWS, SKETCH_BITS = 32, 5, 1024
-SAMPLES = BANDS * ROWS
+ROWS, SKETCH_BITS = 5, 1024
+#: A pair at the threshold shares no band with at most this chance.
+MISSED = 7.2e-9
 #: Pairs whose odd sketches estimate less are not compared: about seven standard errors under the threshold.
 ESTIMATE_SLACK = 0.2
-_STEPS = np.random.default_rng(7).integers(0, 2**63, (3, SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_count(percent: int) -> int:
+    """How many bands a threshold takes."""
+    missed = 1 - (percent / 100) ** ROWS
+    return max(1, math.ceil(math.log(MISSED) / math.log(missed))) if 0 < missed < 1 else 1
+
+
+def _steps(samples: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(0, 2**63, (3, samples), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,17 +61,18 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.searchsorted(doc[first], np.arange(len(words.counts) + 1))
 
 
-def _samples(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _samples(h: np.ndarray, edges: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """MinHash values of the texts that have shingles, one row each."""
     full = edges[:-1][np.diff(edges) > 0]
-    return np.stack([np.minimum.reduceat(h * step, full) for step in _STEPS[0]], axis=1) if len(full) else np.zeros((0, SAMPLES), np.uint64)
+    return np.stack([np.minimum.reduceat(h * step, full) for step in steps], axis=1) if len(full) else np.zeros((0, len(steps)), np.uint64)
 
 
-def sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+def sketch(docs: DataFrame, text_col: str, size: int, n_bands: int) -> DataFrame:
     """Beside the other columns: n_shingles, sequence (digest of the words), bands and odd (the parity bitmap)."""
     keep = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string("n_shingles long, sequence binary, bands array<long>, odd array<long>")])
     target = to_arrow_schema(schema)
+    steps = _steps(n_bands * ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,11 +84,11 @@ def sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
                 h, edges = shingle_sets(words, size)
                 own = np.diff(edges)
                 counts.append(own)
-                low = _samples(h, edges)
+                low = _samples(h, edges, steps[0])
                 # one key a band, different for different bands
-                parts = (mix(low.copy()) * _STEPS[1]).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64)
-                keys = mix(parts + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                place = (mix(low + _STEPS[2]) >> np.uint64(54)).astype(np.int64)
+                parts = (mix(low.copy()) * steps[1]).reshape(-1, n_bands, ROWS).sum(axis=2, dtype=np.uint64)
+                keys = mix(parts + np.arange(n_bands, dtype=np.uint64)).view(np.int64)
+                place = (mix(low + steps[2]) >> np.uint64(54)).astype(np.int64)
                 flat = place + SKETCH_BITS * np.arange(len(place))[:, None]
                 odd = np.bincount(flat.ravel(), minlength=SKETCH_BITS * len(place)).reshape(-1, SKETCH_BITS) & 1
                 odd = np.packbits(odd.astype(bool), axis=1).view(np.int64)
@@ -93,11 +105,11 @@ def sketch(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
-def estimated_similarity(a: Column, b: Column) -> Column:
-    """From two odd sketches; below what they can tell apart: 0."""
+def estimated_similarity(a: Column, b: Column, samples: int) -> Column:
+    """From two odd sketches of so many samples; below what they can tell apart: 0."""
     differing = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     inside = 1 - 2.0 * differing / SKETCH_BITS
-    return F.when(inside > 0, 1 + SKETCH_BITS / (4.0 * SAMPLES) * F.log(inside)).otherwise(0.0)
+    return F.when(inside > 0, 1 + SKETCH_BITS / (4.0 * samples) * F.log(inside)).otherwise(0.0)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -189,7 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is kept. An empty table gives an empty result.
     """
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketched = materialise(sketch(ids, "text", size), "sketches")
+    n_bands = band_count(percent)
+    sketched = materialise(sketch(ids, "text", size, n_bands), "sketches")
     full = sketched.filter("n_shingles > 0")
     classes = full.groupBy("sequence").agg(F.min(F.struct("id", "bands", "odd")).alias("one"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "sequence", "one.*")
@@ -220,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(odd.withColumnsRenamed({"node": "a", "odd": "odd_a"}), "a").join(odd.withColumnsRenamed({"node": "b", "odd": "odd_b"}), "b")
-        pairs = pairs.withColumn("near", estimated_similarity(F.col("odd_a"), F.col("odd_b")))
+        pairs = pairs.withColumn("near", estimated_similarity(F.col("odd_a"), F.col("odd_b"), n_bands * ROWS))
         pairs = materialise(pairs.filter(F.col("near") >= percent / 100 - ESTIMATE_SLACK).drop("odd_a", "odd_b"), "pairs")
         now = pairs.select("a", "b")
         if centres == 1:

@@ -22,6 +22,9 @@ from bazaarlens.llm.queries import ranks_and_pattern
 from bazaarlens.llm.shipping import ship
 from bazaarlens.llm.substring import substring_dedup
 
+#: Near copies: so many per cent of their distinct shingles of so many words in common.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _ROW = "__row"
 
@@ -45,9 +48,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies, linked by five-word shingles of similarity 0.8 or more, the document with the smallest
+    id stays."""
     ship(spark)
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), size=NEAR_SIZE, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     joined = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     return joined.unionByName(docs.filter("doc_id IS NULL"))
 
