@@ -17,20 +17,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from bazaarlens.llm.arrays import WHITE, Words, byte_sums, group_edges, slices, text_buffers, word_sums
+from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, slices, text_buffers, word_sums
 
 SIGNALS = (
-    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capital_words n_letter_words n_shout_marks".split()
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capital_words n_letter_words n_shout_marks"
+    " n_symbol_words n_echo_words n_capitals n_letters n_unspaced".split()
 )
-#: The thresholds leave a wide margin in which a rule abstains: at most this share of good documents gets a vote against it.
-#: Without the bound, documents with a single symptom would be taken for good ones, as most rules see nothing in them.
-FALSE_ALARMS = 2e-4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NOT_LETTER = np.zeros(256, bool)
 _NOT_LETTER[[x for x in range(128) if not chr(x).isalpha()]] = True
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Which bytes begin a character of a script without spaces: Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese."""
+    after = np.r_[data[1:], np.zeros(min(1, len(data)), np.uint8)]
+    return (
+        ((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (after >= 0xB8))
+        | ((data == 0xE1) & ((after <= 0x82) | (after == 0x9E) | (after == 0x9F))) | ((data == 0xF0) & (after >= 0xA0) & (after <= 0xAF))
+    )
+
+
 def _repeats(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by (doc, h), and in it the first row of each group."""
     order = np.argsort(h, kind="stable")
@@ -51,9 +58,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return total[words.ends] - total[words.starts]
 
     repeat = np.zeros(len(words.starts), bool)
-    at = words.windows(3)
+    at, hashes = words.windows(3), words.hashes()
     if len(at):
-        h = word_sums(words.hashes()).windows(3)[at]
+        h = word_sums(hashes).windows(3)[at]
         order, first = _repeats(words.doc[at], h)
         size = np.diff(np.r_[first, len(order)])
         found = at[order[np.repeat(size > 1, size)]]
@@ -77,10 +84,16 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     capital = per_word((data >= 65) & (data <= 90))
     small = per_word((data >= 97) & (data <= 122) | (data >= 0xC3))
     letters = per_word(~_NOT_LETTER[data])
+    symbols = per_word(_SYMBOL[data])
+    echo = np.zeros(len(words.starts), bool)
+    if len(echo):
+        echo[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
     by_doc = lambda flags: np.bincount(words.doc[flags], minlength=rows)
     return np.stack([
         words.counts, per_text(words.inside & ((data & 0xC0) != 0x80)), per_text(_SYMBOL[data]), lines - distinct,
         by_doc(repeat), lines, by_doc((capital > 1) & (small == 0)), by_doc(letters > 0), per_text(data == ord("!")),
+        by_doc(symbols > 0), by_doc(echo), per_text((data >= 65) & (data <= 90)), per_text((LOWER[data] >= 97) & (LOWER[data] <= 122)),
+        per_text(_unspaced(data)),
     ], axis=1).astype(np.int64)
 
 
@@ -111,18 +124,27 @@ def _rule(share: Column, good_to: float, bad_from: float) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by rule; a document without words gets no vote but the first."""
+    """Votes by rule; a document without words gets no vote but the first.
+
+    Symptoms that one rule alone would tell have a second one that looks at them otherwise, so that votes corroborate each
+    other. Rules on words abstain where a script without spaces prevails, as its words cannot be told.
+    """
     n, lines = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("n_lines"), F.lit(0))
     length = F.col("word_chars") / n
+    spaced = 4 * F.col("n_unspaced") <= F.col("word_chars")
+    letters = F.when(F.col("n_letters") >= 20, F.col("n_letters"))
     return {
-        "length": F.when(F.col("n_words") < 20, 0).when(F.col("n_words") >= 50, 1),
+        "length": F.when(~spaced, None).when(F.col("n_words") < 20, 0).when(F.col("n_words") >= 50, 1),
         "symbols": _rule(F.col("n_symbols") / n, 0.05, 0.2),
         "repeats": _rule(F.col("n_repeat_words") / n, 0.15, 0.4),
         "lines": _rule(F.col("n_dup_lines") / lines, 0.1, 0.4),
-        "word_length": F.when((length < 2) | (length > 15), 0).when((length >= 3) & (length <= 10), 1),
+        "word_length": F.when(~spaced, None).when((length < 2) | (length > 15), 0).when((length >= 3) & (length <= 10), 1),
         "capitals": _rule(F.col("n_capital_words") / n, 0.1, 0.4),
         "letters": _rule(1 - F.col("n_letter_words") / n, 0.1, 0.4),
         "marks": _rule(F.col("n_shout_marks") / n, 0.1, 0.5),
+        "symbol_words": _rule(F.col("n_symbol_words") / n, 0.05, 0.2),
+        "echoes": _rule(F.col("n_echo_words") / n, 0.05, 0.2),
+        "upper_case": _rule(F.col("n_capitals") / letters, 0.2, 0.5),
     }
 
 
@@ -145,27 +167,32 @@ class VoteModel:
 
 
 def fit(measured: DataFrame, rounds: int = 100) -> VoteModel:
-    """Expectation-maximisation over the counts of vote patterns of all documents.
-
-    At most 3 ** rules patterns exist. Pseudo-counts and FALSE_ALARMS say that a rule seldom votes against a good document
-    and that about a third of the bad ones meet it, which also names the classes. Without documents they alone decide.
-    """
+    """Expectation-maximisation over the counts of vote patterns of all documents: at most 3 ** rules patterns exist."""
     votes = rules()
     counted = measured.select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
     counted.sort(key=lambda r: [-1 if r[k] is None else r[k] for k in votes])
     v = np.array([[-1 if r[k] is None else r[k] for k in votes] for r in counted]).reshape(-1, len(votes))
-    n = np.array([r["count"] for r in counted], float)
-    good = np.where((v == 0).any(axis=1), 0.02, 0.98)  # starts from all-must-pass
+    return estimate(v, np.array([r["count"] for r in counted], float), list(votes), rounds)
+
+
+def estimate(v: np.ndarray, n: np.ndarray, names: list[str], rounds: int = 100) -> VoteModel:
+    """The model of vote patterns (0, 1, or -1: abstains; one row each) that ``n`` documents have.
+
+    Pseudo-counts of a few documents say that a rule seldom votes against a good document and that about a third of the bad
+    ones meet it, which also names the classes; how often each rule is wrong is learned from the votes. Without documents
+    the pseudo-counts alone decide.
+    """
+    good = np.where((v == 0).sum(axis=1) > 1, 0.02, 0.98)  # starts from two votes that corroborate each other
     for _ in range(rounds):
         share = (n @ good + 8) / (n.sum() + 10)
         logit = np.full(len(n), np.log(share / (1 - share)))
         weights, right = {}, {}
-        for i, name in enumerate(votes):
+        for i, name in enumerate(names):
             bad_vote, good_vote = v[:, i] == 0, v[:, i] == 1
             g0, g1 = n[bad_vote] @ good[bad_vote] + 0.2, n[good_vote] @ good[good_vote] + 19.8
             b0, b1 = n[bad_vote] @ (1 - good[bad_vote]) + 6, n[good_vote] @ (1 - good[good_vote]) + 12
             # chance of a bad vote, in a good and in a bad document
-            p, q = min(g0 / (g0 + g1), FALSE_ALARMS), b0 / (b0 + b1)
+            p, q = g0 / (g0 + g1), b0 / (b0 + b1)
             weights[name] = (float(np.log(p / q)), float(np.log((1 - p) / (1 - q))))
             right[name] = float((g1 + b0) / (g0 + g1 + b0 + b1))
             logit = logit + np.where(bad_vote, weights[name][0], 0) + np.where(good_vote, weights[name][1], 0)

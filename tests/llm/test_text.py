@@ -172,3 +172,37 @@ def test_quality_verdicts(spark):
     assert seen <= {(0, True, False), (0, False, False), (1, True, False), (1, False, True)}
     nothing = quality.signals(R.empty(spark))
     assert quality.judge(nothing, quality.fit(nothing)).collect() == []
+
+
+def fitted(patterns):
+    """Posterior of good for each vote pattern, and the model of patterns with their counts."""
+    names = [*quality.rules()]
+    v = np.array([[p.get(k, 1) for k in names] for p, _ in patterns])
+    model = quality.estimate(v, np.array([n for _, n in patterns], float), names)
+    total = model.prior + sum(np.array([model.weights[k][1 - (x == 0)] if x >= 0 else 0 for x in v[:, i]]) for i, k in enumerate(names))
+    return [g < 1 for g in np.exp(-total)], model
+
+
+def test_one_bad_vote_of_an_inaccurate_rule_does_not_reject(spark):
+    junk = [({"symbols": 0, "symbol_words": 0}, 400), ({"repeats": 0, "echoes": 0}, 300), ({"capitals": 0, "upper_case": 0}, 200)]
+    kept, model = fitted([({}, 8000), ({"word_length": 0}, 80), ({"letters": 0}, 60), *junk])
+    assert kept == [True, True, True, False, False, False]
+    assert model.accuracy["word_length"] < model.accuracy["symbols"]
+
+
+def test_a_clean_document_with_one_quirk_is_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    quirk = " ".join(f"{w}unusuallylongword" for w in R.sentence(80, 5).split())
+    docs = docs.unionByName(spark.createDataFrame([(10**9 + i, f"{quirk} {i}") for i in range(10)], docs.schema))
+    measured = quality.signals(docs)
+    rows = quality.judge(measured, quality.fit(measured)).filter("doc_id >= 1000000000").select("*", *[v.alias(f"vote_{k}") for k, v in quality.rules().items()])
+    for r in rows.collect():
+        assert [k for k in quality.rules() if r[f"vote_{k}"] == 0] == ["word_length"]
+        assert r["kept"]
+
+
+def test_word_rules_abstain_on_scripts_without_spaces(spark):
+    texts = ["日本語の文章は単語の間に空白を入れないで書かれるものである。 " * 60, "ภาษาไทยไม่เว้นวรรคระหว่างคำในประโยคเดียวกัน " * 60, "한국어 문장은 띄어 씁니다 " * 20, "longlonglonglonglongword " * 60]
+    measured = quality.signals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    votes = measured.select("doc_id", quality.rules()["word_length"].alias("v")).collect()
+    assert {r["doc_id"]: r["v"] for r in votes} == {0: None, 1: None, 2: None, 3: 0}
