@@ -2,15 +2,15 @@
 
 A text is coded as its lower-cased words, a space after each, and an end sign. Each byte is a path of binary decisions
 down a Huffman tree of the corpus's bytes, so that a byte takes four to five decisions and not eight. Every decision is
-predicted from several contexts (the last three, four and six bytes, and the word so far). Short contexts are
-hashed to slots that count the next bytes, long ones are hashed together with the decision; the counts over all training
-documents give each slot's probability. The predictions are added in the
-logistic domain under weights that a gate selects, namely how many of the three longest contexts have been seen; the weights
-start alike for every document and are refined online as it is coded, after 64 bytes, then after each doubling.
-
-The counts cover all training documents: a task sends its counts by slot range, and ranges are summed for so many senders
-at a time until one is left. The table of predictions has a fixed size, however large the corpus. The base score needs the count of every word in training: groups of documents send their distinct words to
-hash ranges and get back the corpus's counts.
+predicted from several contexts (the last three, four and six bytes, and the word so far), by the counts of the
+bytes that follow the context in all training documents. The predictions are added in the logistic domain under weights that
+a gate selects, namely how many of the three longest contexts have been seen; the weights start alike for every document and
+are refined online as it is coded, after 64 bytes, then after each doubling.
+
+The model grows with the corpus: a context is known by a 64-bit hash, of which no two of the last bytes collide. Groups of
+documents send their distinct contexts, each with the bytes that follow it, to hash ranges and get back the log odds of
+these decisions in the corpus, and the counts of their words for the base score. No table of contexts goes through the
+driver or to all tasks.
 """
 
 from __future__ import annotations
@@ -26,24 +26,19 @@ from pyspark.sql import types as T
 
 from bazaarlens.functions.storage import materialise
 from bazaarlens.llm import groups as G
-from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack, unpack_all
-
-#: Bytes of the short contexts, and how many slots each has, as a power of two.
-ORDERS, SLOT_BITS = (3, 4), (15, 16)
-#: Bytes of the long context beside the word so far, and the slots of both.
-LONG_ORDER, LONG_BITS = 6, 22
-SHORT, CONTEXTS = len(ORDERS), len(ORDERS) + 2
-#: Where each short context's slots begin when all are numbered, and how many there are; counts by byte come first in the
-#: numbering of counters, then two counters for each slot of a long context.
-SLOTS = np.cumsum([0, *(1 << b for b in SLOT_BITS)])
-BY_BYTE = int(256 * SLOTS[-1])
-COUNTERS = BY_BYTE + (CONTEXTS - SHORT) * (2 << LONG_BITS)
-#: Counters that are sent and summed together, and senders that are summed at once.
-PART, FAN_IN = 1 << 16, 64
+from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
+
+#: Bytes of the contexts beside the word so far, which comes last.
+ORDERS = (3, 4, 6)
+CONTEXTS = len(ORDERS) + 1
+#: The gate counts which of so many last contexts have been seen.
+GATED = 3
+#: Bytes of text that are coded at once.
+CODED_BYTES = 1 << 19
 #: Predictions are kept in sixteenths of a natural-log odds unit.
 SCALE = 16.0
 END = 0xFF  # no byte of UTF-8
-PAD = LONG_ORDER
+PAD = max(ORDERS)
 #: Added to both counts of a decision.
 PRIOR = 0.1
 FIRST_BYTES = 64
@@ -52,12 +47,14 @@ RATE = 1.0
 START_WEIGHTS = np.array([[0.6, 0.3, 0.1, 0.0], [0.6, 0.3, 0.05, 0.0], [0.6, 0.4, 0.15, 0.0], [0.3, 0.35, 0.35, 0.2]], np.float32)
 
 
+_MARKS = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 class Coded:
     """Texts as bytes to predict.
 
     ``bytes``: every text's coded bytes behind PAD zeros; ``at``: places to predict; ``doc``: the text of each;
-    ``place``: its number within the text; ``symbols``: the bytes there; ``slots``: the short contexts' slot of each place,
-    one row a context; ``hashes``: the long contexts'.
+    ``place``: its number within the text; ``symbols``: the bytes there; ``hashes``: of each place's contexts, one row each.
     """
 
     def __init__(self, words: Words):
@@ -91,19 +88,18 @@ class Coded:
         heads[base] = base
         heads = np.maximum.accumulate(heads)[self.at]
         recent = np.zeros(total, np.uint64)
-        self.slots = np.empty((SHORT, len(self.at)), np.int32)
-        self.hashes = np.empty((CONTEXTS - SHORT, len(self.at)), np.uint32)
+        self.hashes = np.empty((CONTEXTS, len(self.at)), np.uint64)
         for k in range(1, PAD + 1):
             recent[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
-            own = recent[self.at]
             if k in ORDERS:
-                i = ORDERS.index(k)
-                own = mix(own + np.uint64(k)) >> np.uint64(64 - SLOT_BITS[i])
-                self.slots[i] = SLOTS[i] + own.astype(np.int32)
-        self.hashes[0] = mix(own + np.uint64(PAD)) >> np.uint64(32)
-        self.hashes[1] = byte_sums(out).runs(heads, self.at) >> np.uint64(32)
+                self.hashes[ORDERS.index(k)] = mix(recent[self.at] + (np.uint64(k) << np.uint64(56)))
+        self.hashes[-1] = byte_sums(out).runs(heads, self.at)
         self.symbols = out[self.at]
 
+    def pairs(self, k: int) -> np.ndarray:
+        """A hash of each place's k-th context with the byte there."""
+        return self.hashes[k] ^ _MARKS[self.symbols]
+
 
 def _coded(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, Coded]]:
     for a, b in slices(offsets, limit):
@@ -125,21 +121,10 @@ class Tree:
                     paths[s].append((node, bit))
             node += 1
             heapq.heappush(heap, (n0 + n1, min(s0, s1), left + right))
-        self.root = node - 1
         self.lengths = np.array([len(p) for p in paths], np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         self.nodes = np.array([n for p in paths for n, _ in reversed(p)], np.int64)
         self.signs = np.array([2 * b - 1 for p in paths for _, b in reversed(p)], np.float32)
-        self.marks = self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
-        self.root_mark = self.root * 0x9E3779B1 & 0xFFFFFFFF
-        #: Symbols under each node's branches: counts by node are a product with these.
-        self.ones, self.both = np.zeros((256, 256), np.float32), np.zeros((256, 256), np.float32)
-        for s, p in enumerate(paths):
-            for n, b in p:
-                self.both[s, n] = 1
-                self.ones[s, n] = b
-
-
     def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many decisions each symbol takes, and where each decision stands among the paths."""
         steps = self.lengths[symbols]
@@ -147,13 +132,6 @@ class Tree:
         return steps, np.arange(int(steps.sum()), dtype=np.int32) + np.repeat(self.starts[symbols] - before, steps)
 
 
-def _long_slots(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    x = (hashes ^ marks) * np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0xC2B2AE35)
-    return x >> np.uint32(32 - LONG_BITS)
-
-
 def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """How often each coded byte stands in the texts."""
 
@@ -174,159 +152,125 @@ def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each occurs."""
-    keys = np.sort(keys)
-    first = group_edges(keys)
-    return keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)
-
-
-def _add_contexts(total: np.ndarray, coded: Coded, tree: Tree) -> None:
-    for k in range(SHORT):
-        keys, n = _counted((coded.slots[k] << 8) | coded.symbols)
-        total[keys] += n
-    for k in range(CONTEXTS - SHORT):
-        # a byte that follows a context again takes the same decisions again
-        keys, n = _counted((coded.hashes[k].astype(np.uint64) << np.uint64(8)) | coded.symbols)
-        steps, inner = tree.steps((keys & np.uint64(255)).astype(np.uint8))
-        slot = _long_slots(np.repeat((keys >> np.uint64(8)).astype(np.uint32), steps), tree.marks[inner]).astype(np.int64)
-        slot += slot
-        slot += (BY_BYTE + k * (2 << LONG_BITS)) + (tree.signs[inner] > 0)
-        np.add.at(total, slot, np.repeat(n, steps))
+def pair_counts(parts: Iterator[tuple[Coded, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context, byte, count in training, and hash of the distinct pairs of some texts, by context and byte.
 
-
-def context_counts(docs: DataFrame, text_col: str, tree: Tree) -> DataFrame:
-    """part, body: the counters of all ``docs``, by part of their numbering, those above 0 with their value."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        tree, total = shared.value, np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for _, _, coded in _coded(*text_buffers(batch.column(0)), 1 << 20):
-                _add_contexts(total, coded, tree)
-        rows = []
-        for part in range(0, COUNTERS // PART):
-            own = total[part * PART : (part + 1) * PART]
-            seen = np.flatnonzero(own)
-            if len(seen):
-                rows.append((part, pack(seen.astype(np.uint64), own[seen].astype(np.int64))))
-        sender = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([sender] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
-            names=["part", "sender", "body"],
-        )
-
-    def merged(table: pa.Table) -> pa.Table:
-        own = _part(table["body"])
-        seen = np.flatnonzero(own)
-        body = pack(seen.astype(np.uint64), own[seen])
-        return pa.table({"part": table["part"][:1], "sender": table["sender"][:1], "body": pa.array([body], pa.binary())})
-
-    shape = "part int, sender int, body binary"
-    rows = docs.select(text_col)
-    senders = rows.rdd.getNumPartitions()
-    counts = rows.mapInArrow(work, shape)
-    while senders > 1:
-        counts = counts.withColumn("sender", (F.col("sender") / FAN_IN).cast("int")).groupBy("part", "sender").applyInArrow(merged, shape)
-        senders = -(-senders // FAN_IN)
-    return counts.select("part", "body")
-
-
-def _part(bodies: pa.ChunkedArray) -> np.ndarray:
-    out = np.zeros(PART, np.int64)
-    for body in bodies:
-        seen, n = unpack(body.as_py())
-        out[seen.astype(np.int64)] += n
-    return out
-
-
-def predictions(docs: DataFrame, text_col: str) -> tuple[Tree, np.ndarray]:
-    """The tree, and the log odds of branch 1 in steps of 1 / SCALE (0: never seen): of the short contexts' slots by node,
-    then of the long contexts' slots."""
-    tree = Tree(byte_counts(docs, text_col))
-
-    def rounded(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        z = np.log((ones + PRIOR) / (zeros + PRIOR)) * SCALE
-        z = np.where(z >= 0, np.maximum(z, 1), np.minimum(z, -1))
-        return np.clip(np.rint(np.where(ones + zeros > 0, z, 0)), -127, 127).astype(np.int8)
-
-    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for part, body in zip(batch.column("part").to_pylist(), batch.column("body"), strict=True):
-                n = _part([body])
-                if part * PART < BY_BYTE:
-                    n = n.reshape(-1, 256).astype(np.float32)
-                    ones = n @ tree.ones
-                    out.append(rounded(n @ tree.both - ones, ones).tobytes())
-                else:
-                    out.append(rounded(n[::2], n[1::2]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], names=["part", "body"])
-
-    table = np.zeros(BY_BYTE + (COUNTERS - BY_BYTE) // 2, np.int8)
-    for r in context_counts(docs, text_col, tree).mapInArrow(odds, "part int, body binary").toLocalIterator():
-        begin = r["part"] * PART
-        begin = begin if begin < BY_BYTE else BY_BYTE + (begin - BY_BYTE) // 2
-        table[begin : begin + len(r["body"])] = np.frombuffer(r["body"], np.int8)
-    return tree, table
-
-
-def mixed_cost(coded: Coded, rows: int, tree: Tree, table: np.ndarray, block: int = 50_000) -> np.ndarray:
+    ``parts``: coded texts, and which of them are for training.
+    """
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))]
+    for coded, train in parts:
+        learned = train[coded.doc].astype(np.int64)
+        for k in range(CONTEXTS):
+            pair = coded.pairs(k)
+            order = np.argsort(pair)
+            pair = pair[order]
+            first = group_edges(pair)
+            one = order[first]
+            n = np.add.reduceat(learned[order], first) if len(first) else first
+            found.append((pair[first], coded.hashes[k][one], coded.symbols[one], n))
+    pair, context, symbol, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(pair, kind="stable")
+    first = group_edges(pair[order])
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    one = order[first]
+    pair, context, symbol = pair[one], context[one], symbol[one]
+    order = np.lexsort((symbol, context))
+    return context[order], symbol[order], n[order].astype(np.uint32), pair[order]
+
+
+def corpus_odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
+    """Log odds of branch 1 in steps of 1 / SCALE (0: never seen), of each decision of each row's byte.
+
+    A row says that the byte follows the context n times; rows of all that sent the context are summed.
+    """
+    order = np.argsort(symbol, kind="stable")
+    order = order[np.argsort(context[order], kind="stable")]
+    c, s = context[order], symbol[order]
+    first = group_edges(c, s)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    total = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    c, s = c[first], s[first]
+    number = np.cumsum(np.r_[False, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
+    steps, inner = tree.steps(s)
+    key = np.repeat(number << 8, steps) + tree.nodes[inner]
+    by_key = np.argsort(key)
+    edges = group_edges(key[by_key])
+    if not len(edges):
+        return np.zeros(0, np.int8)
+    times = np.repeat(total, steps)[by_key]
+    both = np.add.reduceat(times, edges)
+    ones = np.add.reduceat(np.where(tree.signs[inner[by_key]] > 0, times, 0), edges)
+    z = np.log((ones + PRIOR) / (both - ones + PRIOR)) * SCALE
+    z = np.where(z >= 0, np.maximum(z, 1), np.minimum(z, -1))
+    z = np.clip(np.rint(np.where(both > 0, z, 0)), -127, 127).astype(np.int8)
+    odds = np.empty(len(key), np.int8)
+    odds[by_key] = np.repeat(z, np.diff(np.r_[edges, len(key)]))
+    return odds[_runs(np.cumsum(steps, dtype=np.int64)[back] - steps[back], steps[back])]
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after the other."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Answers:
+    """The odds of a group's pairs, as the hash ranges have answered them."""
+
+    def __init__(self, symbol: np.ndarray, pair: np.ndarray, odds: np.ndarray, tree: Tree):
+        lengths = tree.lengths[symbol].astype(np.int64)
+        order = np.argsort(pair)
+        self.pair, self.start, self.odds = pair[order], (np.cumsum(lengths) - lengths)[order], odds
+
+    def starts(self, pair: np.ndarray) -> np.ndarray:
+        """Where the odds of each pair begin."""
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = group_edges(pair)
+        found = self.start[np.searchsorted(self.pair, pair[first])]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(found, np.diff(np.r_[first, len(order)]))
+        return out
+
+
+def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers) -> np.ndarray:
     """Natural-log cost of each text."""
-    gates = len(START_WEIGHTS)
-    weights = np.tile(START_WEIGHTS / np.float32(SCALE), (rows, 1))
+    gates = GATED + 1
+    weights = np.tile(START_WEIGHTS, (rows, 1))
     cost = np.zeros(rows)
-    root = np.int32(tree.root)
-    long_ = [table[BY_BYTE + (k << LONG_BITS) :][: 1 << LONG_BITS] for k in range(CONTEXTS - SHORT)]
-    gate = (table[(coded.slots[-1] << 8) + root] != 0).astype(np.int32)
-    for k in range(CONTEXTS - SHORT):
-        gate += long_[k][_long_slots(coded.hashes[k], np.uint32(tree.root_mark))] != 0
-    stage = np.frexp(coded.place // FIRST_BYTES)[1].astype(np.int32)  # 0, then one more after each doubling
-    group = coded.doc.astype(np.int32) * gates + gate
-    # what a text's last stage would teach is of no use: it is the second half of each stage's places
-    final = np.zeros(rows, np.int32)
-    final[coded.doc] = stage
-    half = 2 * stage + (stage == final[coded.doc])
-    order = np.lexsort((group, half))
-    cuts = np.searchsorted(half[order], np.arange(half.max(initial=0) + 3))
-    slope, weight = np.zeros((CONTEXTS, rows * gates)), np.zeros(rows * gates)
-    bases = (coded.slots.astype(np.int64) << 8)
-    for c in range(len(cuts) - 1):
-        for i in range(cuts[c], cuts[c + 1], block):
-            own = order[i : min(i + block, cuts[c + 1])]
-            symbol, groups = coded.symbols[own], group[own]
-            steps, inner = tree.steps(symbol)
-            node, sign, marks = tree.nodes[inner], tree.signs[inner], tree.marks[inner]
-            # places of a group stand together: its weights and sums are those of a run of decisions
-            first = group_edges(groups)
-            lengths = np.add.reduceat(steps, first)
-            begin, which = np.cumsum(lengths) - lengths, groups[first]
-            inputs = np.empty((CONTEXTS, len(node)), np.float32)
-            z = np.zeros(len(node), np.float32)
-            for k in range(CONTEXTS):
-                if k < SHORT:
-                    inputs[k] = np.take(table, np.repeat(bases[k][own], steps) + node)
-                else:
-                    slots = _long_slots(np.repeat(coded.hashes[k - SHORT][own], steps), marks)
-                    inputs[k] = np.take(long_[k - SHORT], slots.astype(np.int64))
-                z += np.repeat(weights[which, k], lengths) * inputs[k]
-            z *= sign
-            np.clip(z, -12, 12, out=z)
-            odds = np.exp(-z)
-            cost += np.bincount(which // gates, np.add.reduceat(np.log(1 + odds), begin), rows)
-            if c % 2:
-                continue
-            odds /= 1 + odds
-            odds *= sign
-            weight[which] += lengths
-            for k in range(CONTEXTS):
-                slope[k, which] += np.add.reduceat(odds * inputs[k], begin)
-        if c % 2:
-            step = RATE / SCALE * slope / (weight + 200)
-            weights += np.clip(step, -0.1, 0.1).T.astype(np.float32) / np.float32(SCALE)
-            slope[:], weight[:] = 0, 0
+    if not len(coded.at):
+        return cost
+    starts = np.stack([answers.starts(coded.pairs(k)) for k in range(CONTEXTS)])
+    # every path begins at the root: a context that has been seen has odds there
+    gate = (answers.odds[starts[-GATED:]] != 0).sum(axis=0)
+    group, chunk = coded.doc * gates + gate, np.frexp(coded.place // FIRST_BYTES)[1]
+    order = np.lexsort((group, chunk))
+    group, chunk, starts = group[order], chunk[order], starts[:, order]
+    # places of a text and gate in a chunk stand together: they share their weights
+    first = group_edges(chunk, group)
+    which = group[first]
+    steps, inner = tree.steps(coded.symbols[order])
+    begin = np.cumsum(steps, dtype=np.int64) - steps
+    inputs = np.empty((len(inner), CONTEXTS), np.int8)
+    for k in range(CONTEXTS):
+        inputs[:, k] = answers.odds[_runs(starts[k], steps)]
+    sign = tree.signs[inner]
+    begin = np.r_[begin[first], len(inner)]
+    cuts = np.searchsorted(chunk[first], np.arange(int(chunk[-1]) + 2))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        i, j = begin[a], begin[b]
+        own, lengths, at = which[a:b], np.diff(begin[a : b + 1]), begin[a:b] - i
+        x = inputs[i:j] * np.float32(1 / SCALE)
+        z = np.einsum("ij,ij->i", x, np.repeat(weights[own], lengths, axis=0))
+        z *= sign[i:j]
+        np.clip(z, -12, 12, out=z)
+        odds = np.exp(-z)
+        np.add.at(cost, own // gates, np.add.reduceat(np.log1p(odds), at))
+        odds /= 1 + odds
+        odds *= sign[i:j]
+        x *= odds[:, None]
+        weights[own] += np.clip(RATE * np.add.reduceat(x, at, axis=0) / (lengths[:, None] + 200), -0.1, 0.1)
     return cost
 
 
@@ -337,10 +281,8 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     bytes, for bits per byte) to the columns but the text's. A null text is empty and costs its end. A null id does no
     harm; repeated rows count each. Without training rows every context is unseen and each decision costs one bit.
     """
-    spark = docs.sparkSession
     marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)))
-    tree, table = predictions(marked.filter("__train").select(F.col(text_col).cast("string").alias("__t")), "__t")
-    shared = spark.sparkContext.broadcast((tree, table))
+    tree = Tree(byte_counts(marked.filter("__train"), text_col))
     n = G.group_count(docs)
     texts = G.in_groups(marked, id_col, text_col, n)
     added = "n_tokens long, n_known long, base_log double, score double, n_bytes long"
@@ -362,20 +304,36 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         first = group_edges(h)
         return h[first], (np.add.reduceat(often, first) if len(first) else often)
 
+    def contexts(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        train = table_["__train"].to_numpy()
+        return pair_counts((coded, train[a:b]) for a, b, coded in _coded(*text_buffers(table_[G.TEXT]), CODED_BYTES))
+
     def send(table_: pa.Table) -> pa.Table:
         h, often = distinct(table_)
-        return G.to_ranges(table_[G.GROUP][0].as_py(), n, 64, h, often.astype(np.uint32))
+        context, symbol, times, _ = contexts(table_)
+        words_at, pairs_at = G.ranges(h, n, 64).tolist(), G.ranges(context, n, 64).tolist()
+        origin, rows = table_[G.GROUP][0].as_py(), []
+        for i in range(n):
+            a, b, x, y = *words_at[i : i + 2], *pairs_at[i : i + 2]
+            if b > a or y > x:
+                rows.append((i, origin, pack(h[a:b], often[a:b].astype(np.uint32), context[x:y], symbol[x:y], times[x:y])))
+        return G.messages(rows)
 
     def total(table_: pa.Table) -> pa.Table:
-        (h, often), sizes = unpack_all(table_["body"], [np.uint64, np.uint32])
+        parts = [unpack(x.as_py()) for x in table_["body"]]
+        h, often, context, symbol, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at, pair_at = (np.r_[0, np.cumsum([len(p[i]) for p in parts])] for i in (0, 2))
         word, back = np.unique(h, return_inverse=True)
         all_ = np.bincount(back, often, len(word)).astype(np.int64)
-        to, at = table_["origin"].to_pylist(), np.r_[0, np.cumsum(sizes)]
-        me = table_["to"][0].as_py()
-        rows = [(g, me, pack(h[x:y], all_[back[x:y]])) for g, x, y in zip(to, at[:-1], at[1:], strict=True)]
+        odds = corpus_odds(context, symbol, times, tree)
+        odds_at = np.r_[0, np.cumsum(tree.lengths[symbol], dtype=np.int64)][pair_at]
+        me, rows = table_["to"][0].as_py(), []
+        for i, g in enumerate(table_["origin"].to_pylist()):
+            x, y = at[i], at[i + 1]
+            rows.append((g, me, pack(h[x:y], all_[back[x:y]], odds[odds_at[i] : odds_at[i + 1]])))
         return G.messages([*rows, (-1, me, pack(np.array([all_.sum(), (all_ > 0).sum()])))])
 
-    answered = materialise(G.compare(G.send(texts, send), total), "word-counts")
+    answered = materialise(G.compare(G.send(texts, send), total), "answers")
     sums = np.zeros(2, np.int64)
     for r in answered.filter("to = -1").select("body").toLocalIterator():
         sums += unpack(bytes(r["body"]))[0]
@@ -384,18 +342,21 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     end_log = float(np.log10(ends + 0.5))
 
     def both(table_: pa.Table, answer: pa.Table) -> pa.Table:
-        (h, c), _ = unpack_all(answer["body"].take(np.argsort(answer["origin"].to_numpy())), [np.uint64, np.int64])
+        parts = [unpack(x.as_py()) for x in answer["body"].take(np.argsort(answer["origin"].to_numpy()))]
+        h, c, odds = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, np.int64, np.int8)))
+        _, symbol, _, pair = contexts(table_)
+        answers = Answers(symbol, pair, odds, tree)
         logs = np.log10(c + 0.5)
         data, offsets = text_buffers(table_[G.TEXT])
         out = {k: [np.zeros(0, np.int64 if k[0] == "n" else float)] for k in names}
-        for a, b in slices(offsets, 1 << 19):
+        for a, b in slices(offsets, CODED_BYTES):
             words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
             at = np.searchsorted(h, words.hashes())
             coded = Coded(words)
             out["n_tokens"].append(words.counts + 1)
             out["n_known"].append(np.bincount(words.doc[c[at] > 0], minlength=b - a) + (ends > 0))
             out["base_log"].append(np.bincount(words.doc, logs[at], b - a) + end_log)
-            out["score"].append(-mixed_cost(coded, b - a, *shared.value) / np.log(10))
+            out["score"].append(-mixed_cost(coded, b - a, tree, answers) / np.log(10))
             out["n_bytes"].append(np.bincount(coded.doc, minlength=b - a))
         arrays = [table_[f.name] for f in columns] + [pa.array(np.concatenate(out[k])) for k in names]
         return pa.table(arrays, names=[*(f.name for f in columns), *names])
