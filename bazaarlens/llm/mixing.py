@@ -2,10 +2,10 @@
 
 A text is coded as its lower-cased words, a space after each, and an end sign. Each byte is a path of binary decisions
 down a Huffman tree of the corpus's bytes, so that a byte takes four to five decisions and not eight. Every decision is
-predicted from several contexts (the last three, four and six bytes, and the word so far), by the counts of the
+predicted from several contexts (the last one, two, three, four and six bytes, and the word so far), by the counts of the
 bytes that follow the context in all training documents. The predictions are added in the logistic domain under weights that
 a gate selects, namely how many of the three longest contexts have been seen; the weights start alike for every document and
-are refined online as it is coded, after 64 bytes, then after each doubling.
+are refined online after every few bytes of it, to its end.
 
 The model grows with the corpus: a context is known by a 64-bit hash, of which no two of the last bytes collide. Groups of
 documents send their distinct contexts, each with the bytes that follow it, to hash ranges and get back the log odds of
@@ -29,7 +29,7 @@ from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
 
 #: Bytes of the contexts beside the word so far, which comes last.
-ORDERS = (3, 4, 6)
+ORDERS = (1, 2, 3, 4, 6)
 CONTEXTS = len(ORDERS) + 1
 #: The gate counts which of so many last contexts have been seen.
 GATED = 3
@@ -41,10 +41,13 @@ END = 0xFF  # no byte of UTF-8
 PAD = max(ORDERS)
 #: Added to both counts of a decision.
 PRIOR = 0.1
-FIRST_BYTES = 64
-RATE = 1.0
+#: Weights are updated after so many bytes, by so much for each decision's slope.
+UPDATE_BYTES = 32
+RATE = 0.003
 #: Weights by gate (none to all of the three longest contexts seen) and context, before a document has said anything.
-START_WEIGHTS = np.array([[0.6, 0.3, 0.1, 0.0], [0.6, 0.3, 0.05, 0.0], [0.6, 0.4, 0.15, 0.0], [0.3, 0.35, 0.35, 0.2]], np.float32)
+START_WEIGHTS = np.array(
+    [[0.1, 0.2, 0.5, 0.2, 0.1, 0.0], [0.05, 0.1, 0.5, 0.3, 0.1, 0.0], [0.0, 0.1, 0.4, 0.4, 0.15, 0.0], [0.0, 0.0, 0.25, 0.35, 0.35, 0.2]], np.float32
+)
 
 
 _MARKS = mix(np.arange(1, 257, dtype=np.uint64))
@@ -244,7 +247,7 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers) -> np.ndar
     starts = np.stack([answers.starts(coded.pairs(k)) for k in range(CONTEXTS)])
     # every path begins at the root: a context that has been seen has odds there
     gate = (answers.odds[starts[-GATED:]] != 0).sum(axis=0)
-    group, chunk = coded.doc * gates + gate, np.frexp(coded.place // FIRST_BYTES)[1]
+    group, chunk = coded.doc * gates + gate, coded.place // UPDATE_BYTES
     order = np.lexsort((group, chunk))
     group, chunk, starts = group[order], chunk[order], starts[:, order]
     # places of a text and gate in a chunk stand together: they share their weights
@@ -270,7 +273,7 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers) -> np.ndar
         odds /= 1 + odds
         odds *= sign[i:j]
         x *= odds[:, None]
-        weights[own] += np.clip(RATE * np.add.reduceat(x, at, axis=0) / (lengths[:, None] + 200), -0.1, 0.1)
+        weights[own] += np.float32(RATE) * np.add.reduceat(x, at, axis=0)
     return cost
 
 

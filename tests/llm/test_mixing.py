@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
+import pytest
+import rows as R
 
 from bazaarlens.llm import mixing as M
 
@@ -11,6 +16,43 @@ def coded_bytes(text: str) -> bytes:
     return b"".join(w.encode() + b" " for w in text.lower().split()) + bytes([M.END])
 
 
+def slow_contexts(coded: bytes):
+    """The contexts of each byte: the last ones, and the word so far."""
+    for i, symbol in enumerate(coded):
+        before = bytes(M.PAD) + coded[:i]
+        begin = coded.rfind(b" ", 0, i) + 1
+        yield symbol, [*((k, before[-k:]) for k in M.ORDERS), (0, b"" if symbol == M.END else coded[begin:i])]
+
+
+def slow_odds(train: list[str]) -> dict:
+    counts = defaultdict(Counter)
+    for text in train:
+        for symbol, contexts in slow_contexts(coded_bytes(text)):
+            for c in contexts:
+                counts[c][symbol] += 1
+    return counts
+
+
+def slow_cost(text: str, counts: dict, tree: M.Tree) -> float:
+    weights, cost, slope = M.START_WEIGHTS.astype(float).copy(), 0.0, np.zeros(M.START_WEIGHTS.shape)
+    paths = [dict(zip(tree.nodes[a : a + n].tolist(), tree.signs[a : a + n].tolist(), strict=True)) for a, n in zip(tree.starts, tree.lengths, strict=True)]
+    for i, (symbol, contexts) in enumerate(slow_contexts(coded_bytes(text))):
+        if i % M.UPDATE_BYTES == 0:
+            weights, slope = weights + M.RATE * slope, np.zeros(slope.shape)
+        gate = sum(c in counts for c in contexts[-M.GATED :])
+        for node, sign in paths[symbol].items():
+            x = np.zeros(M.CONTEXTS)
+            for k, c in enumerate(contexts):
+                sides = [sum(n for s, n in counts.get(c, {}).items() if paths[s].get(node) == side) for side in (-1, 1)]
+                z = math.log((sides[1] + M.PRIOR) / (sides[0] + M.PRIOR)) * M.SCALE
+                z = max(z, 1) if z >= 0 else min(z, -1)
+                x[k] = np.clip(np.rint(z), -127, 127) / M.SCALE if sum(sides) else 0
+            odds = math.exp(-np.clip(sign * (weights[gate] @ x), -12, 12))
+            cost += math.log1p(odds)
+            slope[gate] += odds / (1 + odds) * sign * x
+    return cost
+
+
 def model(texts: list[str], train: int):
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
@@ -23,6 +65,14 @@ def model(texts: list[str], train: int):
     return tree, coded, M.Answers(symbol, pair, M.corpus_odds(context, symbol, n, tree), tree)
 
 
+def test_costs_are_those_of_online_mixing_with_exact_counts():
+    texts = [R.sentence(40, i) for i in range(6)] + ["ab ab ab", R.sentence(25, 3), "日本 " + R.sentence(12, 9), "", R.sentence(5, 77)]
+    tree, coded, answers = model(texts, 8)
+    counts = slow_odds(texts[:8])
+    got = M.mixed_cost(coded, len(texts), tree, answers)
+    assert got == pytest.approx([slow_cost(t, counts, tree) for t in texts], rel=1e-4)
+
+
 def test_every_context_has_counts_of_its_own_however_many_there_are():
     pick = np.random.default_rng(5)
     texts = ["".join(chr(97 + c) for c in pick.integers(0, 26, 40_000)) for _ in range(8)] + ["zqxjkvzqxjkv"]
@@ -32,3 +82,11 @@ def test_every_context_has_counts_of_its_own_however_many_there_are():
     held = np.flatnonzero(coded.doc == 8)[6:]
     seen = [coded_bytes(texts[8])[i : i + 6] in counts for i in range(len(held))]
     assert (answers.odds[starts[held]] != 0).tolist() == seen
+
+
+def test_a_place_with_unseen_long_contexts_is_still_predicted():
+    tree, coded, answers = model([*["abababab cdcdcdcd"] * 5, "ba dc xa"], 5)
+    starts = np.stack([answers.starts(coded.pairs(k)) for k in range(M.CONTEXTS)])
+    own = np.flatnonzero(coded.doc == 5)[1:2]  # the second letter of a word that training has not
+    seen = (answers.odds[starts[:, own]] != 0).ravel().tolist()
+    assert seen[0] and not any(seen[2:])
