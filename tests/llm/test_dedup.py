@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import rows as R
+import corpora as R
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

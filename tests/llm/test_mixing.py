@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import rows as R
+import corpora as R
 
 from bazaarlens.llm import mixing as M
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-import rows as R
+import corpora as R
 
 import corpus_pipeline
 from bazaarlens.llm.neardup import ROWS, band_count

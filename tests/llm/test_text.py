@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import rows as R
+import corpora as R
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import bpe, langid, quality
