@@ -11,7 +11,10 @@ from bazaarlens.functions.storage import materialise
 from bazaarlens.llm.bpe import encode, read_ranks
 from bazaarlens.llm.chat import format_chats, read_loss, read_turns, threads
 from bazaarlens.llm.decontaminate import contamination
+from bazaarlens.llm.divergence import divergence
+from bazaarlens.llm.interactions import filter_audit
 from bazaarlens.llm.langid import held_out, predict, train
+from bazaarlens.llm.licenses import license_scan
 from bazaarlens.llm.mixing import score
 from bazaarlens.llm.neardup import near_duplicates
 from bazaarlens.llm.quality import fit, judge, signals
@@ -234,3 +237,79 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text").withColumn("held_out", held_out("doc_id", 5))
     scored = score(docs, ~F.col("held_out"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
+_LETTERS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op11_source_divergence",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS w FROM documents),
+    o AS (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+    t AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM o GROUP BY lang, term HAVING count(*) >= 10),
+    l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT g.lang, g.source, t.term, t.n AS lang_n, CAST(coalesce(x.n, 0) AS HUGEINT) AS n
+          FROM g JOIN t USING (lang)
+          LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM o GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = t.term),
+    s AS (SELECT c.lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY c.lang, source) + 2 * v) AS p,
+            1 + 1000000000 * (lang_n + 2) // (total + 2 * v) AS q
+          FROM c JOIN l USING (lang)),
+    f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+          FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+      CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+    FROM r QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(table(spark, folder, "documents", "lang", "source", "text"))
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents", "doc_id", "text")).drop("detections")
+
+
+@query(
+    "op13_filter_audit",
+    rf"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+    b AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+            + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+            + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+            + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+            + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS fails
+          FROM w),
+    m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id),
+    c AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM b LEFT JOIN m USING (doc_id) GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+    f AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM l a, l b, l c, l d, l e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    s AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+          FROM f, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, bit,
+            sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n * good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+          FROM c, s GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+      CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+      CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM r
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    return filter_audit(docs, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
