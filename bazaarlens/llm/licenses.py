@@ -137,7 +137,7 @@ NOTICES = [
     ("public-domain", "public domain", "public domain", 1),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 1),
     ("copyright", "copyright", "copyright by", 1),
-    ("license-mention", "licen", "(?:licen[cs]ed|released|distributed|available|published) under(?: the)?(?: terms of)?", 1),
+    ("license-mention", "under", "(?:licen[cs]ed|released|distributed|available|published) under(?: the)?(?: terms of)?", 1),
     ("license-mention", "see the", "see the license for", 1),
     ("license-mention", "subject to the", "subject to the terms (?:and conditions )?of", 1),
     ("copyleft", "copyleft", "copyleft", 1),
