@@ -37,6 +37,21 @@ def mean_of(total: Column, count: Column) -> Column:
     return F.try_divide(total.cast("double"), count.cast("double"))
 
 
+#: Decimals that a mean of whole numbers keeps where it is averaged again.
+MEAN_DIGITS = 8
+
+
+def exact_mean(total: Column, count: Column) -> Column:
+    """``total / count`` of whole numbers (none negative) as a decimal, half up at ``MEAN_DIGITS``; null without a count.
+
+    Sums of such means are whole-number sums: unlike those of doubles they do not depend on the order of the rows.
+    """
+    doubled = F.lit(2) * count.cast("bigint")
+    scaled = F.call_function("div", F.lit(2 * 10**MEAN_DIGITS) * total.cast("bigint") + count, doubled)
+    unit = F.lit(1).cast("decimal(1,0)") / F.lit(10**MEAN_DIGITS).cast("decimal(10,0)")
+    return F.when(count > 0, (scaled.cast("decimal(18,0)") * unit).cast(f"decimal(18,{MEAN_DIGITS})"))
+
+
 def not_below(value: Column, bound: float) -> Column:
     """Clip from below but keep null (``greatest`` alone would replace a null by the bound)."""
     return F.when(value < bound, F.lit(bound)).otherwise(value)

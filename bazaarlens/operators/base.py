@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.columns import flag, floor_days, month_key
+from bazaarlens.functions.columns import exact_mean, flag, floor_days, month_key
 from bazaarlens.sources.tables import CommerceTables
 
 DELIVERED = "delivered"
@@ -65,8 +65,12 @@ def primary_payments(payments: DataFrame) -> DataFrame:
 
 
 def review_scores(reviews: DataFrame) -> DataFrame:
-    """One averaged ``review_score`` per order, so that repeated reviews do not multiply its items."""
-    return reviews.groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
+    """One averaged ``review_score`` per order, so that repeated reviews do not multiply its items.
+
+    It is a decimal, so that what averages it over items, customers or categories sums whole numbers.
+    """
+    mean = exact_mean(F.sum("review_score"), F.count("review_score"))
+    return reviews.groupBy("order_id").agg(mean.alias("review_score"))
 
 
 def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.functions.columns import mean_of
 from bazaarlens.operators import base, cleaning, filters
 from bazaarlens.operators.filters import Filters
 from bazaarlens.registry.core import Source, register, settled
-from bazaarlens.registry.views import days, he, late
+from bazaarlens.registry.views import days, he, late, mean
 
 _WIDE = ", ".join(he(c) + f" AS {c}" if c == "review_score" else c for c in base.WIDE_COLUMNS)
 _RAW = ", ".join(he(c) + f" AS {c}" if c == "review_score" else c for c in base.FEATURE_INPUT_COLUMNS)
@@ -23,7 +24,8 @@ def _plain(text: str) -> str:
 
 
 def _doubles(df: DataFrame) -> DataFrame:
-    return settled(df.withColumns({c: F.col(c).cast("double") for c in _MONEY if c in df.columns}))
+    exact = [c for c in (*_MONEY, "review_score") if c in df.columns]
+    return settled(df.withColumns({c: F.col(c).cast("double") for c in exact}))
 
 
 register("b01_order_items_wide", lambda s: _doubles(s.items()), f"SELECT {_plain(_WIDE + ',').rstrip(',')} FROM v_wide")
@@ -34,7 +36,7 @@ register(
 )
 register(
     "b03_review_score",
-    lambda s: settled(base.review_scores(s.tables.reviews)),
+    lambda s: _doubles(base.review_scores(s.tables.reviews)),
     f"SELECT order_id, {he('review_score')} AS review_score FROM v_scores",
 )
 register(
@@ -164,11 +166,11 @@ register(
         s.clean.groupBy("category").agg(
             F.count("*").alias("items"),
             F.count("review_score").alias("reviewed"),
-            F.avg("review_score").alias("avg_review"),
+            mean_of(F.sum("review_score"), F.count("review_score")).alias("avg_review"),
         )
     ),
     "SELECT category, COUNT(*) AS items, COUNT(review_score) AS reviewed, "
-    f"{he('AVG(review_score)')} AS avg_review FROM v_clean GROUP BY category",
+    f"{he(mean('SUM(review_score)', 'COUNT(review_score)'))} AS avg_review FROM v_clean GROUP BY category",
 )
 register(
     "c09_cleaning_audit",

@@ -24,7 +24,7 @@ register(
     f"""SELECT CAST(SUM(item_value) AS DOUBLE) AS total_revenue, COUNT(DISTINCT order_id) AS total_orders,
                COUNT(DISTINCT customer_unique_id) AS customers, {he(_AOV)} AS avg_order_value,
                {he(_REVIEW)} AS avg_review_item_weighted,
-               {he('(SELECT AVG(r) FROM (SELECT MAX(review_score) AS r FROM v_wide GROUP BY order_id))')}
+               {he(f"(SELECT {mean('SUM(r)', 'COUNT(r)')} FROM (SELECT MAX(review_score) AS r FROM v_wide GROUP BY order_id))")}
                    AS avg_review_per_order,
                {he(_CHURN)} AS churn_rate_pct
         FROM v_wide""",

@@ -78,7 +78,11 @@ VIEWS: dict[str, str] = {
         SELECT product_id, COALESCE(product_category_name_english, p.product_category_name, 'unknown') AS category
         FROM v_products p LEFT JOIN v_translation t ON p.product_category_name = t.product_category_name""",
     "v_primary": "SELECT order_id, payment_type FROM v_payments WHERE payment_sequential = 1",
-    "v_scores": "SELECT order_id, AVG(review_score) AS review_score FROM v_reviews GROUP BY order_id",
+    "v_scores": """
+        SELECT order_id, CAST((2 * SUM(review_score) * 100000000 + COUNT(review_score)) // (2 * COUNT(review_score))
+                              AS DECIMAL(18,0)) * CAST(0.00000001 AS DECIMAL(9,8)) AS review_score
+        FROM v_reviews GROUP BY order_id HAVING COUNT(review_score) > 0
+        UNION ALL SELECT order_id, NULL FROM v_reviews GROUP BY order_id HAVING COUNT(review_score) = 0""",
     "v_paid": "SELECT order_id, SUM(payment_value) AS order_total FROM v_payments GROUP BY order_id",
     "v_raw": """
         SELECT c.customer_unique_id, c.customer_state, c.customer_city, o.order_id, o.order_purchase_timestamp,
