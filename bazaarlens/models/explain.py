@@ -30,8 +30,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Customers that one task explains.
 ROWS_PER_TASK = 2_000
 
-# Elements of the (rows, leaves, depth) work arrays of one step.
-WORK_SIZE = 2_000_000
+# Bytes of the work arrays and of the pattern tables of one step.
+WORK_SIZE = 16_000_000
+# Rows whose patterns are looked up together.
+ROW_BLOCK = 4_096
+# Inputs on a path from which on a table over all their patterns would outgrow a step.
+PATTERN_INPUTS = 10
 
 
 def linear_attributions(
@@ -141,31 +145,68 @@ def ensemble_from_leaves(leaves: Sequence[tuple[dict, float]]) -> Ensemble:
     return Ensemble(tuple(groups), float(base))
 
 
-def shapley_values(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
-    """Exact path-dependent Shapley values for the rows of ``x``.
+def _weights_of(known: np.ndarray, group: LeafGroup, part: slice) -> np.ndarray:
+    """Shapley values of the leaves of ``part`` for 0/1 arrays ``known`` whose last two axes are leaf and input.
 
     In a leaf's game a known feature contributes 1 or 0 (the row stays on the path or leaves it) and an unknown one
     its share. The Shapley weight k!(d-1-k)!/d! is the integral of t^k (1-t)^(d-1-k), so a feature's value is
     (known - share) times the integral over t of the product of the other features' mixes; that integrand has degree
     d-1, which Gauss-Legendre quadrature with d/2 points integrates exactly.
     """
-    out = np.zeros_like(x, dtype=float)
+    share = group.share[part]
+    points, weights = np.polynomial.legendre.leggauss((share.shape[1] + 1) // 2)
+    integral = np.zeros(np.broadcast_shapes(known.shape, share.shape))
+    for t, weight in zip((points + 1) / 2, weights / 2, strict=True):
+        mix = share * (1 - t) + known * t
+        integral += weight * mix.prod(axis=-1, keepdims=True) / mix
+    return (known - share) * integral * group.value[part, None]
+
+
+def _pattern_tables(group: LeafGroup, part: slice, width: int) -> np.ndarray:
+    """The values of all inputs for every pattern of known ones, by (leaf, pattern, input)."""
+    leaves, size = group.feature[part].shape
+    known = (np.arange(1 << size)[:, None, None] >> np.arange(size) & 1).astype(float)
+    values = _weights_of(known, group, part)
+    tables = np.zeros((leaves, 1 << size, width))
+    tables[np.arange(leaves)[:, None, None], np.arange(1 << size)[None, :, None], group.feature[part][:, None, :]] = values.transpose(1, 0, 2)
+    return tables
+
+
+def _on_path(columns: np.ndarray, group: LeafGroup, part: slice) -> np.ndarray:
+    """Whether each row (last axis) stays on the path at the splits of each input, by (leaf, input, row)."""
+    values = columns[group.feature[part]]
+    return (values > group.low[part][:, :, None]) & (values <= group.high[part][:, :, None])
+
+
+def shapley_values(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
+    """Exact path-dependent Shapley values for the rows of ``x``.
+
+    What a row gets from a leaf depends only on which inputs of its path keep it there. With few inputs on the path that
+    is a number of ``d`` bits, so the values of all patterns are worked out once for each leaf and rows look theirs up.
+    """
+    rows, width = x.shape
+    out = np.zeros((rows, width))
+    columns = np.ascontiguousarray(x.T, dtype=float)
     for group in ensemble.groups:
         leaves, size = group.feature.shape
-        points, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
-        points, weights = (points + 1) / 2, weights / 2
-        to_feature = np.zeros((leaves * size, x.shape[1]))
-        to_feature[np.arange(leaves * size), group.feature.ravel()] = 1.0
-        step = max(1, WORK_SIZE // (leaves * size))
-        for start in range(0, len(x), step):
-            values = x[start : start + step][:, group.feature]
-            known = ((values > group.low) & (values <= group.high)).astype(float)
-            integral = np.zeros_like(known)
-            for t, weight in zip(points, weights, strict=True):
-                mix = group.share * (1 - t) + known * t
-                integral += weight * mix.prod(axis=2, keepdims=True) / mix
-            parts = (known - group.share) * integral * group.value[:, None]
-            out[start : start + step] += parts.reshape(len(values), -1) @ to_feature
+        patterned = size < PATTERN_INPUTS and rows >= 1 << size
+        block = ROW_BLOCK if patterned else max(1, WORK_SIZE // (64 * leaves * size))
+        step = max(1, WORK_SIZE // (8 * max(width << size, size * ROW_BLOCK))) if patterned else leaves
+        for first in range(0, leaves, step):
+            part = slice(first, min(first + step, leaves))
+            tables = _pattern_tables(group, part, width) if patterned else None
+            for a in range(0, rows, block):
+                known = _on_path(columns[:, a : a + block], group, part)
+                if tables is None:
+                    values = _weights_of(known.transpose(2, 0, 1).astype(float), group, part)
+                    for j in range(size):
+                        np.add.at(out[a : a + block].T, group.feature[part][:, j], values[:, :, j].T)
+                    continue
+                pattern = np.zeros((known.shape[0], known.shape[2]), np.intp)
+                for j in range(size):
+                    pattern |= known[:, j].astype(np.intp) << j
+                for table, own in zip(tables, pattern, strict=True):
+                    out[a : a + block] += table.take(own, axis=0)
     return out
 
 

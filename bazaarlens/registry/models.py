@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import half_even
 from bazaarlens.functions.storage import materialise
-from bazaarlens.models import evaluate, explain, prep, score, train
+from bazaarlens.models import boosting, evaluate, explain, prep, score, train
 from bazaarlens.registry.core import Source, register, settled
 from bazaarlens.registry.views import he, mean
 
@@ -365,3 +365,94 @@ def _adds_up(s: Source) -> DataFrame:
 
 
 register("m20_forest_attributions_add_up", _adds_up, "SELECT customer_unique_id, TRUE AS adds_up FROM v_features")
+
+
+_boosted: dict[tuple[str, str], boosting.BoostedModel] = {}
+
+
+def second_order(s: Source) -> tuple[boosting.BoostedModel, train.TrainingResult]:
+    """The second-order model of the same training rows, fitted once like the others."""
+    result = trained(s)
+    key = (s.spark.sparkContext.applicationId, s.folder)
+    if key not in _boosted:
+        _boosted[key] = train.fit_second_order(result.train, result.preparation)
+    return _boosted[key], result
+
+
+def _second_order_scores(s: Source) -> DataFrame:
+    model, result = second_order(s)
+    return train.score_second_order(model, result.preparation, result.test)
+
+
+register("m10_second_order_trees", _second_order_scores)
+register(
+    "m14_boosters_compared",
+    lambda s: evaluate.compare_models(
+        {train.BOOSTED: _scored(s, train.BOOSTED), train.SECOND_ORDER: materialise(_second_order_scores(s), "scored")}
+    ),
+)
+
+
+def _second_order_adds_up(s: Source) -> DataFrame:
+    model, result = second_order(s)
+    inputs = prep.apply_preparation(s.stored_features, result.preparation)
+    parts = explain.ensemble_attributions(model.ensemble(), inputs.repartition(8, prep.ID))
+    total = parts.select(prep.ID, sum((F.col(c) for c in prep.INPUTS), F.col("base_value")).alias("total"))
+    output = model.score(inputs)
+    return total.join(output, prep.ID).select(prep.ID, (F.abs(F.col("total") - F.col("margin")) < 1e-9).alias("adds_up"))
+
+
+register("m20_second_order_attributions_add_up", _second_order_adds_up, "SELECT customer_unique_id, TRUE AS adds_up FROM v_features")
+
+# A first tree that both engines can grow: given cut points, all rows and inputs, two levels.
+_CUTS = {
+    "num_orders": (1.0, 2.0, 3.0, 5.0, 8.0, 13.0),
+    "total_spend": (20_000.0, 50_000.0, 100_000.0, 200_000.0, 400_000.0, 800_000.0),
+    "pct_delayed": (0.1, 0.3, 0.5, 0.7, 0.9),
+    "avg_basket_size": (1.5, 2.5, 3.5, 4.5, 5.5),
+}
+_FIRST_TREE = boosting.BoostingSettings(rounds=1, depth=2, learning_rate=0.1, row_share=1.0, column_share=1.0, max_bins=16)
+
+
+def _first_tree(s: Source) -> DataFrame:
+    rows = s.stored_features.select(prep.ID, prep.LABEL, *[F.col(c).cast("double").alias(c) for c in _CUTS])
+    weight = prep.class_weights(rows).first()["scale_pos_weight"]
+    model = boosting.fit(rows, weight, _FIRST_TREE, inputs=tuple(_CUTS), cuts=_CUTS)
+    return settled(model.nodes(s.spark).select("node", "feature", "cut", "cover", "value"))
+
+
+def _tree_level(rows: str) -> str:
+    """The best split of each node of ``rows`` (id, node, g, h), from its sums on both sides of each cut point."""
+    strength = "pow({0} / {2}, 2) / ({1} / {2} + 1.0)"
+    left, right, whole = (strength.format(g, h, f"{boosting.GRAIN}.0") for g, h in (("lg", "lh"), ("(tg - lg)", "(th - lh)"), ("tg", "th")))
+    return f"""(SELECT node, input, feature, cut, tg, th, lg, lh FROM
+        (SELECT *, round(({left} + {right} - {whole}) / 2, 9) AS gain FROM
+          (SELECT r.node, c.input, c.feature, c.cut, SUM(g) AS tg, SUM(h) AS th,
+                  SUM(CASE WHEN x.value <= c.cut THEN g ELSE 0 END) AS lg, SUM(CASE WHEN x.value <= c.cut THEN h ELSE 0 END) AS lh
+           FROM {rows} r JOIN x USING (customer_unique_id) JOIN c USING (feature) GROUP BY ALL))
+        WHERE lh >= {boosting.GRAIN} AND th - lh >= {boosting.GRAIN} AND gain > 1e-9
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, input, cut) = 1)"""
+
+
+_cut_rows = ", ".join(f"({i}, '{name}', CAST({cut} AS DOUBLE))" for i, (name, cuts) in enumerate(_CUTS.items()) for cut in cuts)
+_weighted = "CAST(floor({} * CASE WHEN churn = 1 THEN w ELSE 1.0::DOUBLE END * " + f"{boosting.GRAIN}.0 + 0.5) AS BIGINT)"
+_node_value = he(f"-0.1::DOUBLE * (g / {boosting.GRAIN}.0::DOUBLE) / (h / {boosting.GRAIN}.0::DOUBLE + 1.0)")
+register(
+    "m10_second_order_first_tree",
+    _first_tree,
+    f"""WITH c(input, feature, cut) AS (VALUES {_cut_rows}),
+    x AS (SELECT customer_unique_id, feature, value FROM
+          (UNPIVOT (SELECT customer_unique_id, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _CUTS)} FROM v_features)
+           ON {', '.join(_CUTS)} INTO NAME feature VALUE value)),
+    r0 AS (SELECT customer_unique_id, 0 AS node, {_weighted.format('(0.5::DOUBLE - churn)')} AS g, {_weighted.format('0.25::DOUBLE')} AS h
+           FROM v_features, (SELECT {mean('COUNT(*) FILTER (WHERE churn = 0)', 'COUNT(*) FILTER (WHERE churn = 1)')} AS w FROM v_features)),
+    b0 AS {_tree_level('r0')},
+    r1 AS (SELECT customer_unique_id, 2 * r.node + CASE WHEN x.value <= b.cut THEN 1 ELSE 2 END AS node, g, h
+           FROM r0 r JOIN b0 b USING (node) JOIN x USING (customer_unique_id) WHERE x.feature = b.feature),
+    b1 AS {_tree_level('r1')},
+    r2 AS (SELECT customer_unique_id, 2 * r.node + CASE WHEN x.value <= b.cut THEN 1 ELSE 2 END AS node, g, h
+           FROM r1 r JOIN b1 b USING (node) JOIN x USING (customer_unique_id) WHERE x.feature = b.feature),
+    n AS (SELECT node, SUM(g) AS g, SUM(h) AS h FROM (FROM r0 UNION ALL FROM r1 UNION ALL FROM r2) GROUP BY node)
+    SELECT CAST(n.node AS INTEGER) AS node, feature, {he('COALESCE(cut, 0)')} AS cut, {he(f'h / {boosting.GRAIN}.0::DOUBLE')} AS cover, {_node_value} AS value
+    FROM n LEFT JOIN (SELECT node, feature, cut FROM b0 UNION ALL SELECT node, feature, cut FROM b1) USING (node)""",
+)

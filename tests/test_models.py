@@ -239,6 +239,10 @@ def test_shapley_values_against_the_definition():
     found = explain.shapley_values(explain.ensemble_from_leaves(leaves), x)
     for row, values in zip(x, found, strict=True):
         assert values == pytest.approx(brute_force_shapley(leaves, row), abs=1e-12)
+    # with many rows the values come from tables by pattern
+    many = np.repeat(x, 60, axis=0)
+    looked_up = explain.shapley_values(explain.ensemble_from_leaves(leaves), many)
+    assert looked_up == pytest.approx(np.repeat(found, 60, axis=0), abs=1e-12)
 
 
 @pytest.mark.parametrize("name", [train.FOREST, train.BOOSTED, train.LOGISTIC])
