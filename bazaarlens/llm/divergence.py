@@ -30,7 +30,7 @@ FIRST_LEVEL = 4
 #: Bytes of text whose terms are counted together before they are sent on.
 SLICE = 4 << 20
 #: Cells (kept term x source) of a block, and of what is compared at once.
-BLOCK_CELLS, PANEL_CELLS = 1 << 20, 1 << 18
+BLOCK_CELLS, PANEL_CELLS = 1 << 16, 1 << 16
 SCALE = 1_000_000_000
 
 #: Bytes between terms: all ASCII but letters.

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from bazaarlens.functions.storage import materialise
 from bazaarlens.llm.arrays import WHITE, Words, group_edges, slices, text_buffers
 
-RANGE_IDS = 1 << 16
+RANGE_IDS = 1 << 13
 #: Needles of a galloping search that share one bracket.
 STRIDE = 512
 FILTERS = "ABCDE"

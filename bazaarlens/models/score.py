@@ -11,22 +11,10 @@ from bazaarlens.functions.columns import half_even
 from bazaarlens.models.prep import ID, LABEL, model_inputs
 from bazaarlens.operators.profile import churn_label
 
-# Risk tiers by lower bound (exclusive) and the action for each.
+# Risk tiers by lower bound (exclusive). Each tier has a code for what to do with its customers.
 HIGH_RISK = 0.6
 MEDIUM_RISK = 0.35
-ACTIONS = {
-    "High Risk": (
-        "Immediate action recommended. Send a personalised discount or loyalty-points offer within 48 hours. "
-        "Highlight new arrivals in their most-purchased category."
-    ),
-    "Medium Risk": (
-        "Monitor and nudge. Trigger a re-engagement email with product recommendations. "
-        "Consider a small free-shipping voucher for next order."
-    ),
-    "Low Risk": (
-        "Customer appears healthy. No immediate action needed. Focus retention budget on higher-risk segments."
-    ),
-}
+ACTIONS = {"High Risk": "win_back", "Medium Risk": "remind", "Low Risk": "leave"}
 
 
 def scored_labels(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -141,32 +141,27 @@ def churn_by_state(features: DataFrame, limit: int = 15) -> DataFrame:
     return rates.orderBy(F.desc("churn_rate_pct"), "state").limit(limit)
 
 
-def correlation_matrix(
-    features: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS, block: int = 16
-) -> DataFrame:
+def correlation_matrix(features: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair of ``columns``, in long form and both directions.
 
-    Rows with a null in either column are skipped for that pair alone. Pairs are aggregated in blocks, since one
-    aggregate over all pairs is too wide for generated code and several times slower; each block reads only its own
-    columns, so hand in a stored table.
+    Rows with a null in either column are skipped for that pair alone. The table is read once: a row's values become its
+    pairs, which each task merges to one set of moments a pair before anything is shuffled. So the aggregate stays narrow
+    enough for generated code, which one over all pairs at once does not.
     """
-    pairs = list(combinations_with_replacement(columns, 2))
-    return reduce(
-        DataFrame.unionByName,
-        [_correlations(features, pairs[start : start + block]) for start in range(0, len(pairs), block)],
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    pair = F.explode(F.lit([f"{i} {j}" for i, j in pairs]))
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = features.select(values.alias("values"), pair.alias("pair"))
+    place = [F.split_part("pair", F.lit(" "), F.lit(k)).cast("int") for k in (1, 2)]
+    found = (
+        rows.select("pair", F.get("values", place[0]).alias("a"), F.get("values", place[1]).alias("b"))
+        .groupBy("pair")
+        .agg(half_even(F.corr("a", "b"), 2).alias("r"))
     )
-
-
-def _correlations(features: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    def cell(a: str, b: str, i: int) -> Column:
-        return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("r"))
-
-    row = features.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    )
-    cells = [cell(a, b, i) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
-    return row.select(F.inline(F.array(*cells))).withColumn("r", half_even(F.col("r"), 2))
+    names = F.lit(list(columns))
+    cell = lambda a, b: F.struct(F.get(names, a).alias("column_a"), F.get(names, b).alias("column_b"), F.col("r"))
+    both = F.when(place[0] == place[1], F.array(cell(*place))).otherwise(F.array(cell(*place), cell(*place[::-1])))
+    return found.select(F.inline(both))
 
 
 def buyer_types(features: DataFrame) -> DataFrame:
