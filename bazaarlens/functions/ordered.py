@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlens.functions.storage import materialise
+
 # A remaining interval with at most this many values is finished by one bounded sort; the result is the same either way.
 FINISH_SIZE = 10_000
 # percentile_approx with this accuracy is off by at most 1/ACCURACY of the rank range.
@@ -16,6 +17,8 @@ ACCURACY = 10_000
 PIVOT_SPREAD = 3.0 / ACCURACY
 # Keys of one range of running totals.
 KEYS_PER_RANGE = 50_000
+# Children of a node in the tree over these ranges.
+RANGES_PER_NODE = 1_000
 
 
 @dataclass
@@ -117,32 +120,40 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     return {c: sum(v) / len(v) if v else None for c, v in found.items()}
 
 
+def _offsets(totals: DataFrame, sums: Sequence[str], ranges: int) -> DataFrame:
+    """``range`` with ``before_<name>``: totals of ``sums`` over all ranges above each one, of ``ranges`` in all.
+
+    Ranges are leaves of a tree with RANGES_PER_NODE children a node: a range's offset is its node's, from the level above,
+    and the totals of its later siblings, so no window holds more than RANGES_PER_NODE rows.
+    """
+    node = F.floor(F.col("range") / F.lit(RANGES_PER_NODE)).cast("int")
+    later = Window.partitionBy("node").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = totals.withColumn("node", node)
+    own = marked.select("range", "node", *[F.coalesce(F.sum(s).over(later), F.lit(0)).alias(f"before_{s}") for s in sums])
+    if ranges <= RANGES_PER_NODE:
+        return own.drop("node")
+    above = marked.groupBy("node").agg(*[F.sum(s).alias(s) for s in sums]).withColumnRenamed("node", "range")
+    above = _offsets(above, sums, -(-ranges // RANGES_PER_NODE))
+    above = above.select(F.col("range").alias("node"), *[F.col(f"before_{s}").alias(f"above_{s}") for s in sums])
+    joined = own.join(above, "node")
+    return joined.select("range", *[(F.col(f"before_{s}") + F.col(f"above_{s}")).alias(f"before_{s}") for s in sums])
+
+
 def running_totals(df: DataFrame, key: str, sums: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Add ``cum_<name>`` columns: totals of ``sums`` over all rows with a key greater than or equal to this one.
 
-    ``df`` holds one row per key. Rows go to ``buckets`` key ranges (by default as many as the keys need) whose edges are
-    fixed on the driver first, so that a re-run task puts every row in the same range; windows run inside a range and
-    the range totals, at most ``buckets`` rows, carry the offset.
+    ``df`` holds one row per key (null keys drop out). Rows are dealt into ``buckets`` ranges of keys, by default as many as
+    the keys need, and stored with the number of their range, so that a task that is run again finds the same ranges.
+    Windows run inside a range, and a tree over the ranges carries the offsets.
     """
-    buckets = buckets or -(-df.count() // KEYS_PER_RANGE)
-    fractions = [i / buckets for i in range(1, buckets)]
-    accuracy = max(ACCURACY, 10 * buckets)
-    edges = df.agg(F.percentile_approx(F.col(key).cast("double"), fractions, accuracy).alias("e")).first()["e"] if fractions else []
-    splits = [float("-inf"), *(sorted(set(edges or [])) or [0.0]), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
-        df.withColumn("_key", F.col(key).cast("double"))
-    )
-    later_buckets = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_bucket")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select("_bucket", *[F.coalesce(F.sum(s).over(later_buckets), F.lit(0)).alias(f"_before_{s}") for s in sums])
-    )
-    within = Window.partitionBy("_bucket").orderBy(F.col(key).desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    buckets = buckets or -(-df.count() // KEYS_PER_RANGE) or 1
+    dealt = df.filter(F.col(key).isNotNull()).repartitionByRange(buckets, key).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(dealt, "key-ranges")
+    totals = ranged.groupBy(F.col("_range").alias("range")).agg(*[F.sum(s).alias(s) for s in sums])
+    offsets = _offsets(totals, sums, buckets).withColumnRenamed("range", "_range")
+    within = Window.partitionBy("_range").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.join(offsets, "_bucket")
-        .withColumns({f"cum_{s}": F.sum(s).over(within) + F.col(f"_before_{s}") for s in sums})
-        .drop("_bucket", "_key", *[f"_before_{s}" for s in sums])
+        ranged.join(offsets, "_range")
+        .withColumns({f"cum_{s}": F.sum(s).over(within) + F.col(f"before_{s}") for s in sums})
+        .drop("_range", *[f"before_{s}" for s in sums])
     )

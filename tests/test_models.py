@@ -84,6 +84,21 @@ def test_running_totals_across_buckets(spark):
     assert found == {i / 100: sum(range(i, 100)) for i in range(100)}
     one = spark.createDataFrame([(0.5, 3)], "score double, n bigint")
     assert running_totals(one, "score", ["n"]).first()["cum_n"] == 3
+    assert running_totals(one.limit(0), "score", ["n"]).collect() == []
+
+
+def test_running_totals_over_a_deep_tree_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGES_PER_NODE", 3)
+    df = spark.createDataFrame([((i * 37) % 500 / 4, i % 11, i) for i in range(500)], "score double, m int, n bigint")
+    got = running_totals(df, "score", ["m", "n"], buckets=40)
+    rows = df.collect()
+    for r in got.collect():
+        above = [x for x in rows if x["score"] >= r["score"]]
+        assert (r["cum_m"], r["cum_n"]) == (sum(x["m"] for x in above), sum(x["n"] for x in above))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Bucketizer" not in plan and "percentile" not in plan
+    windows = [line for line in plan.splitlines() if "windowspecdefinition(" in line and "Window [" in line]
+    assert windows and all("windowspecdefinition(node" in line or "windowspecdefinition(_range" in line for line in windows)
 
 
 def scored(spark, values):
