@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.sources.catalog import CATALOG, TableSpec
+from bazaarlens.sources.quoted_csv import read_quoted_csv
 
 log = logging.getLogger(__name__)
 
@@ -73,14 +74,13 @@ def _csv_text(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
         "header": True,
         # A doubled quote inside a quoted field stands for a quote.
         "escape": '"',
-        # Only free-text comments hold line breaks: such a file is read by one task, many files by many; every other
-        # file stays splittable.
-        "multiLine": spec.multi_line,
     }
     found = spark.read.options(**options).csv(path).columns
     absent = sorted(set(spec.columns) - set(found))
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
+    if spec.multi_line:  # only free-text comments hold line breaks
+        return read_quoted_csv(spark, path, found)
     text = ", ".join(f"`{c}` STRING" for c in found)
     return spark.read.schema(text).options(**options, enforceSchema=False).csv(path)
 
