@@ -134,7 +134,7 @@ def encode(
     an empty text, which has no tokens. Null and repeated ids do no harm. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    n = G.group_count(docs)
+    n = G.group_count(docs, text_col)
     texts = G.in_groups(docs, id_col, text_col, n)
     shared = spark.sparkContext.broadcast((ranks, TokenTable(ranks)))
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]

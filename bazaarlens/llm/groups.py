@@ -1,12 +1,14 @@
 """Groups of documents, and messages between them.
 
 Operators that look for equal pieces of text all over the corpus work in rounds. Documents are dealt once, by a hash of
-their id, into groups, a few for each shuffle partition, and there are as many hash ranges. In each round a group sends one packed row of its distinct
+their id, into groups, by the bytes of text there are, and there are as many hash ranges. In each round a group sends one packed row of its distinct
 hashes to each hash range, a range compares what all groups sent, and sends back to each group only what that group has
 to know. A piece that a third of all documents hold is thus one entry a group, not one a document; texts are shuffled
 once, packed, as the rounds of a query share the exchange.
 
-Size ``spark.sql.shuffle.partitions`` so that a partition has some tens of MB of text.
+So a group's memory is bounded whatever the number of shuffle partitions is. But a round has up to the square of the number
+of groups of messages: with groups of LARGEST bytes, one for each 1.3 KB of text at 200 GB. Beyond that messages outweigh
+texts; they would have to be merged on the way, over several hops, which is not built.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import types as T
 from bazaarlens.llm.arrays import group_edges, pack
 
 GROUP, ID, TEXT = "__group", "__id", "__text"
-#: Several groups share a task, so that tasks are even and a group is small.
+#: Several groups share a task, so that tasks are even and a group is small; but no group is split below SMALLEST bytes of
+#: text for that, nor has one, on average, more than LARGEST.
 GROUPS_PER_TASK = 3
+SMALLEST, LARGEST = 4 << 20, 16 << 20
 #: Documents that a task gathers before it packs them.
 PACK_BYTES = 32 << 20
 #: A null id stands after all others.
@@ -35,8 +39,10 @@ MESSAGE = T.StructType(
 MESSAGE_ARROW = pa.schema([("to", pa.int32()), ("origin", pa.int32()), ("body", pa.binary())])
 
 
-def group_count(docs: DataFrame) -> int:
-    return max(1, GROUPS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def group_count(docs: DataFrame, text_col: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    wanted = GROUPS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // LARGEST), min(wanted, -(-size // SMALLEST)))
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:

@@ -286,7 +286,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     """
     marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)))
     tree = Tree(byte_counts(marked.filter("__train"), text_col))
-    n = G.group_count(docs)
+    n = G.group_count(docs, text_col)
     texts = G.in_groups(marked, id_col, text_col, n)
     added = "n_tokens long, n_known long, base_log double, score double, n_bytes long"
     names = [x.split()[0] for x in added.split(", ")]

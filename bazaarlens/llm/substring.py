@@ -65,7 +65,7 @@ def substring_dedup(
     row repeated as a whole removes nothing of its twin. An empty table gives an empty result.
     """
     block = window // 2
-    n = G.group_count(docs)
+    n = G.group_count(docs, text_col)
     columns = [f for f in docs.schema.fields if f.name != text_col]
     texts = G.in_groups(docs, id_col, text_col, n)
 

@@ -146,7 +146,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     but the text's and adds n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256. A null id counts as the
     largest; rows with one id count as one document. An empty table gives an empty result.
     """
-    n = G.group_count(docs)
+    n = G.group_count(docs, text_col)
     texts = G.in_groups(docs, id_col, text_col, n)
     columns = [f for f in docs.schema.fields if f.name not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")]
 
