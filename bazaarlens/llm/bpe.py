@@ -1,6 +1,6 @@
 """Byte-level BPE with a global shuffle of distinct words.
 
-Documents are split into pre-tokens, whose places stay with the text. Each group of documents sends its distinct words to
+Documents are split into pre-tokens once; what travels are the distinct ones of some documents and their places. Each group of documents sends its distinct words to
 their hash ranges; a range merges each distinct word of the corpus once and sends its ids back; the group puts the ids
 together again by position. Words that are a token of their own need no shuffle. Decoding looks the bytes of each id up
 in the token table, which a vocabulary bounds.
@@ -11,19 +11,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlens.llm import groups as G
-from bazaarlens.llm.arrays import byte_sums, pack, slices, text_buffers, unpack
+from bazaarlens.llm.arrays import byte_sums, group_edges, pack, slices, text_buffers, unpack
 
 #: Longer words are merged with a heap.
 SHORT_WORD = 48
+#: Pre-tokens that are put together at once.
+PLACES = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,18 +108,58 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _texts(table: pa.Table):
-    """Slices of texts, decoded."""
-    data, offsets = text_buffers(table[G.TEXT])
-    for a, b in slices(offsets):
-        flat = data[offsets[a] : offsets[b]].tobytes()
-        at = (offsets[a : b + 1] - offsets[a]).tolist()
-        yield [flat[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:], strict=True)]
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
 
-def _unknown(words: set[str], ranks: dict[bytes, int], n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _split(texts: pa.ChunkedArray, split: regex.Pattern) -> tuple[bytes, bytes]:
+    """Texts as pre-tokens: the distinct ones, and for each text the numbers of its own in their order; both packed."""
+    numbers, counts, codes = _Numbers(), [], []
+    data, offsets = text_buffers(texts)
+    for a, b in slices(offsets):
+        flat, at = data[offsets[a] : offsets[b]].tobytes(), (offsets[a : b + 1] - offsets[a]).tolist()
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            found = split.findall(flat[x:y].decode("utf-8", "replace"))
+            counts.append(len(found))
+            codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+    words = [w.encode() for w in numbers]
+    lengths = np.fromiter(map(len, words), np.uint32, len(words))
+    places = np.concatenate([np.zeros(0, np.uint32), *codes])
+    return pack(lengths, np.frombuffer(b"".join(words), np.uint8)), pack(np.array(counts, np.uint32), places)
+
+
+def _words(body: bytes) -> list[bytes]:
+    lengths, flat = unpack(body)
+    ends, flat = np.cumsum(np.r_[0, lengths.astype(np.int64)]).tolist(), flat.tobytes()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_CODED = pa.schema([(G.GROUP, pa.int32()), ("rows", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+
+
+def _coded(table: pa.Table, split: regex.Pattern) -> pa.RecordBatch:
+    """Documents by group: the columns but the text, the distinct pre-tokens and where they stand."""
+    table = table.take(np.argsort(table[G.GROUP].to_numpy(), kind="stable"))
+    group = table[G.GROUP].to_numpy()
+    first = group_edges(group)
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=True):
+        part = table.slice(a, b - a)
+        sink = pa.BufferOutputStream()
+        rows = part.drop_columns([G.TEXT]).combine_chunks()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(rows)
+        out.append((int(group[a]), sink.getvalue().to_pybytes(), *_split(part[G.TEXT], split)))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _CODED, strict=True)], schema=_CODED)
+
+
+def _unknown(words: set[bytes], ranks: dict[bytes, int], n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The words without an id of their own in the order of their hash, their ends when joined, and where each range begins."""
-    open_ = [w for x in words if (w := x.encode()) not in ranks]
+    open_ = [w for w in words if w not in ranks]
     ends = np.cumsum([0, *map(len, open_)])
     h = byte_sums(np.frombuffer(b"".join(open_), np.uint8)).runs(ends[:-1], ends[1:])
     order = np.lexsort((np.diff(ends), h))
@@ -135,21 +180,29 @@ def encode(
     """
     spark = docs.sparkSession
     n = G.group_count(docs, text_col)
-    texts = G.in_groups(docs, id_col, text_col, n)
     shared = spark.sparkContext.broadcast((ranks, TokenTable(ranks)))
     new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     new += [("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
     columns = [f for f in docs.schema.fields if f.name not in {text_col, *dict(new)}]
 
-    def words_of(table: pa.Table) -> set[str]:
-        split, words = regex.compile(pattern), set()
-        for texts_ in _texts(table):
-            for text in texts_:
-                words.update(split.findall(text))
-        return words
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, waiting = regex.compile(pattern), []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.nbytes for b in waiting) >= G.PACK_BYTES:
+                yield _coded(pa.Table.from_batches(waiting), split)
+                waiting = []
+        if waiting:
+            yield _coded(pa.Table.from_batches(waiting), split)
+
+    # the pattern is matched here alone: what is shuffled are numbers of pre-tokens, with these
+    id_, text = F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.col(text_col).cast("string")
+    rows = docs.select(F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias(G.GROUP), text.alias(G.TEXT), *(F.col(f.name) for f in columns))
+    coded = rows.mapInArrow(code, f"{G.GROUP} int, rows binary, words binary, places binary")
 
     def send(table: pa.Table) -> pa.Table:
-        words, ends, edges = _unknown(words_of(table), shared.value[0], n)
+        distinct = set().union(*(_words(x.as_py()) for x in table["words"]))
+        words, ends, edges = _unknown(distinct, shared.value[0], n)
         rows = []
         for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             if b > a:
@@ -174,51 +227,57 @@ def encode(
         return G.messages(rows)
 
     def assemble(table: pa.Table, answer: pa.Table) -> pa.Table:
+        if not len(table):
+            return to_arrow_schema(schema).empty_table()
         ranks_, tokens = shared.value
-        words = words_of(table)
-        open_, _, _ = _unknown(words, ranks_, n)
-        single = [w for x in words if (w := x.encode()) in ranks_]
-        number = {w.decode(): i for i, w in enumerate([*open_, *single])}
-        del words
+        by_pack = [_words(x.as_py()) for x in table["words"]]
+        distinct = set().union(*by_pack)
+        open_, _, _ = _unknown(distinct, ranks_, n)
+        single = [w for w in distinct if w in ranks_]
+        number = {w: i for i, w in enumerate([*open_, *single])}
         order = np.argsort(answer["origin"].to_numpy())
         parts = [unpack(answer["body"][int(i)].as_py()) for i in order]
         lengths = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts), np.ones(len(single), np.uint32)]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *(p[1] for p in parts), np.array([ranks_[w] for w in single], np.uint32)])
         starts = np.cumsum(lengths) - lengths
-        split = regex.compile(pattern)
-        n_tokens, coded, decoded, all_ids = [], [], [], []
-        for texts_ in _texts(table):
-            found = [split.findall(t) for t in texts_]
-            places = np.fromiter((number[w] for f in found for w in f), np.int64, sum(map(len, found)))
-            ids = gather(flat, starts[places], lengths[places]).astype(np.int64)
-            by_word = np.r_[0, np.cumsum(lengths[places])]
-            cut = by_word[np.cumsum([0, *map(len, found)])]
-            raw, text = ids.astype("<u4").tobytes(), tokens.decode(ids).tobytes()
-            text_cut = np.r_[0, np.cumsum(tokens.lengths[ids])][cut].tolist()
-            n_tokens.append(np.diff(cut))
-            cut = cut.tolist()
-            for i in range(len(texts_)):
-                coded.append(hashlib.sha256(raw[4 * cut[i] : 4 * cut[i + 1]]).hexdigest())
-                decoded.append(hashlib.sha256(text[text_cut[i] : text_cut[i + 1]]).hexdigest())
-                if with_ids:
-                    all_ids.append(ids[cut[i] : cut[i + 1]].astype(np.int32))
-        out = {f.name: table[f.name] for f in columns}
-        out["n_tokens"] = pa.array(np.concatenate([np.zeros(0, np.int64), *n_tokens]).astype(np.int64))
-        out["ids_sha256"], out["decoded_sha256"] = pa.array(coded, pa.string()), pa.array(decoded, pa.string())
-        if with_ids:
-            out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
-        return pa.table(list(out.values()), names=list(out))
+        found = []
+        for words, body, rows in zip(by_pack, table["places"], table["rows"], strict=True):
+            counts, codes = unpack(body.as_py())
+            renumbered = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            documents = pa.ipc.open_stream(rows.as_buffer()).read_all()
+            at = np.r_[0, np.cumsum(counts.astype(np.int64))]
+            n_tokens, coded_, decoded, all_ids = [], [], [], []
+            for a, b in slices(at, PLACES):
+                places = renumbered[codes[at[a] : at[b]]]
+                ids = gather(flat, starts[places], lengths[places]).astype(np.int64)
+                cut = np.r_[0, np.cumsum(lengths[places])][at[a : b + 1] - at[a]]
+                raw, text = ids.astype("<u4").tobytes(), tokens.decode(ids).tobytes()
+                text_cut = np.r_[0, np.cumsum(tokens.lengths[ids])][cut].tolist()
+                n_tokens.append(np.diff(cut))
+                cut = cut.tolist()
+                for i in range(b - a):
+                    coded_.append(hashlib.sha256(raw[4 * cut[i] : 4 * cut[i + 1]]).hexdigest())
+                    decoded.append(hashlib.sha256(text[text_cut[i] : text_cut[i + 1]]).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids[cut[i] : cut[i + 1]].astype(np.int32))
+            out = {f.name: documents[f.name] for f in columns}
+            out["n_tokens"] = pa.array(np.concatenate([np.zeros(0, np.int64), *n_tokens]).astype(np.int64))
+            out["ids_sha256"], out["decoded_sha256"] = pa.array(coded_, pa.string()), pa.array(decoded, pa.string())
+            if with_ids:
+                out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            found.append(pa.table(list(out.values()), names=list(out)))
+        return pa.concat_tables(found)
 
     schema = T.StructType([*columns, *(T.StructField(k, v) for k, v in new)])
-    merged = G.compare(G.send(texts, send), merge_once)
-    return G.receive(texts, merged, assemble, schema)
+    # all columns, so that both rounds read one exchange
+    sent = coded.groupBy(G.GROUP).applyInArrow(lambda t: G.returned(send(t)), G.MESSAGE)
+    merged = G.compare(sent, merge_once)
+    return coded.groupBy(G.GROUP).cogroup(merged.groupBy("to")).applyInArrow(lambda t, answer: G.returned(assemble(t, answer)), schema)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Adds the text of each row's ids (bytes that are no UTF-8 are replaced); null ids give null."""
     shared = coded.sparkSession.sparkContext.broadcast(TokenTable(ranks))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     keep = [c for c in coded.columns if c != text_col]
     schema = T.StructType([*(coded.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
     target = to_arrow_schema(schema)

@@ -127,18 +127,18 @@ def answers(origin: np.ndarray, *arrays: np.ndarray) -> pa.Table:
     return messages(rows)
 
 
-def _returned(result: pa.Table) -> pa.Table:
+def returned(result: pa.Table) -> pa.Table:
     """Gives what a group has used back to the system, as the worker will live on."""
     pa.default_memory_pool().release_unused()
     return result
 
 
 def send(texts: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return texts.groupBy(GROUP).applyInArrow(lambda t: _returned(work(in_order(t))), MESSAGE)
+    return texts.groupBy(GROUP).applyInArrow(lambda t: returned(work(in_order(t))), MESSAGE)
 
 
 def compare(sent: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return sent.groupBy("to").applyInArrow(lambda t: _returned(work(t)), MESSAGE)
+    return sent.groupBy("to").applyInArrow(lambda t: returned(work(t)), MESSAGE)
 
 
 def receive(
@@ -147,7 +147,7 @@ def receive(
     """Each group with what was answered to it."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _returned(work(in_order(left), right)) if len(left) else empty
+        return returned(work(in_order(left), right)) if len(left) else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
