@@ -5,7 +5,7 @@ from decimal import Decimal
 import rows
 
 from bazaarlens.functions.columns import display_number
-from bazaarlens.operators import kpi, product, regional, reports, sales
+from bazaarlens.operators import base, kpi, product, regional, reports, sales
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,17 @@ def test_business_context_row(spark):
 def test_best_month_ties_go_to_the_earlier(spark):
     df = items(spark, [("a", "2020-02", "x", 5), ("b", "2020-01", "x", 5), ("c", "2020-03", "x", 1)])
     assert kpi.best_and_worst_month(df).first()[:3] == ("2020-01", 5.0, "2020-03")
+
+
+def test_means_of_reviews_do_not_depend_on_the_order_of_rows(spark):
+    scores = [(o, s) for o in range(300) for s in [(o * 7) % 5 + 1, (o * 3) % 5 + 1, (o * 11) % 4 + 1][: o % 3 + 1]] + [(999, None)]
+    found = set()
+    for seed in range(6):
+        reviews = spark.createDataFrame(scores, "order_id long, review_score int").orderBy(F.rand(seed)).repartition(5)
+        per_order = base.review_scores(reviews).orderBy(F.rand(seed)).repartition(4)
+        lines = per_order.select(F.lit("c").alias("category"), "order_id", "review_score", F.lit(Decimal(1)).alias("item_value"))
+        found.add(product.category_performance(lines).first()["avg_review"])
+        assert {r["review_score"] for r in per_order.filter("order_id = 999").collect()} == {None}
+    assert len(found) == 1
+    thirds = base.review_scores(spark.createDataFrame([(1, 5), (1, 4), (1, 4)], "order_id long, review_score int"))
+    assert thirds.first()["review_score"] == Decimal("4.33333333")

@@ -103,8 +103,10 @@ def test_correlation_is_pairwise_complete(spark):
     df = feature_rows(
         spark, [(1.0, 2.0, None), (2.0, 4.0, 5.0), (3.0, 6.0, 4.0), (4.0, 9.0, None)], "a double, b double, c double"
     )
-    cells = {(r["column_a"], r["column_b"]): r["r"] for r in profile.correlation_matrix(df, "abc", block=2).collect()}
+    found = profile.correlation_matrix(df, "abc")
+    cells = {(r["column_a"], r["column_b"]): r["r"] for r in found.collect()}
     assert cells["a", "a"] == 1.0 and cells["a", "c"] == -1.0 and cells["c", "a"] == -1.0 and len(cells) == 9
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
 
 
 def test_profile_text_keeps_nulls(spark):
