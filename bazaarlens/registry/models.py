@@ -266,7 +266,7 @@ def trained(s: Source, *names: str) -> train.TrainingResult:
     application = s.spark.sparkContext.applicationId
     known = _fitted.get((application, s.folder))
     missing = [n for n in names if known is None or n not in known.models]
-    if missing:
+    if missing or known is None:
         new = (
             train.train_models(s.stored_features, names=tuple(missing))
             if known is None
