@@ -2,11 +2,12 @@
 
 Every distinct word sequence is one node. Its MinHash samples make band keys, and are folded into an odd sketch: a bitmap
 of parities, of which the population count of the XOR of two estimates their similarity most precisely where it is high.
-Nodes that share a band key are candidates. Within a band's bucket, pairs are made only with a few centres, and only
-between nodes that are not yet in one component; what the odd sketches do not rule out is confirmed on the full shingle
-sets. Rounds with more centres follow until each bucket has been settled, after nodes have been cleared that by exact
-bounds have no link left, so no link is lost and a large group of copies costs a few comparisons a document, not all its
-pairs.
+Nodes that share a band key are candidates. First each band's bucket makes pairs with one centre; what the odd sketches do
+not rule out is confirmed on the full shingle sets. That joins nearly all copies to their components. Nodes of buckets that
+still hold several components are then compared by their rarest shingles: a link needs a common one among them, and sizes
+that exact bounds allow. Here, too, one centre a shingle comes first, then sixteen, then all pairs that are left, so no link
+is lost, a large group of copies costs a few comparisons a document, and nodes whose own changes fill their rarest shingles
+are compared with none.
 
 There are as many bands of 5 samples as the threshold asks for: a pair at 0.85 shares none of 32 with a chance of 7e-9, a
 pair at 0.80 none of 48 with one of 5e-9.
@@ -137,15 +138,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def _linkable(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows of ``open_`` (key, node, comp) whose node may still have a link to another component, by exact bounds.
+def _rare_shingles(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """h, node, comp, n, most: the shingles by which ``nodes`` (node, comp) can be linked to other components.
 
-    A shingle that no open node of another component has cannot be in the intersection of such a link. If f of a node's n
-    shingles are left, the other set has at least m (the smallest of the bucket), and the sets are linked, then
-    (100 + percent) * f >= percent * (n + m). This clears groups of copies with many changes of their own, in which no pair
-    is similar enough but all are candidates.
+    Shingles are ordered by the number of nodes that have them; those which no other component has are first, as they link
+    nothing. Of n shingles a link has ceil(percent * n / 100) or more in common, so its first common one is among the first
+    n - ceil(percent * n / 100) + 1 of both nodes. If f of the n are in other components, linked sets have
+    (100 + percent) * f >= percent * (n + m), m the size of the other: ``most`` is the largest such m.
     """
-    nodes = open_.select("node", "comp").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,13 +157,39 @@ def _linkable(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(node[of]), pa.array(comp[of]), pa.array(h.view(np.int64))], names=["node", "comp", "h"])
 
     shingles = texts.join(nodes, "node").select("node", "comp", "text").mapInArrow(work, "node long, comp long, h long")
-    shared = shingles.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("h")
-    useful = shingles.join(shared.withColumn("shared", F.lit(1)), "h", "left").groupBy("node").agg(F.count("*").alias("n"), F.count("shared").alias("f"))
-    rows = open_.join(useful, "node").withColumn("m", F.min("n").over(Window.partitionBy("key")))
-    rows = rows.filter((100 + percent) * F.col("f") >= percent * (F.col("n") + F.col("m")))
-    by_key = Window.partitionBy("key")
-    rows = rows.withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
-    return rows.filter("low < high").select("key", "node", "comp")
+    shingles = materialise(shingles, "shingles")
+    held = shingles.groupBy("h").agg(F.count("*").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    held = held.filter("low < high").select("h", "held")
+    sizes = shingles.groupBy("node").agg(F.count("*").alias("n"))
+    shared = materialise(shingles.join(held, "h"), "shared-shingles")
+    sizes = shared.groupBy("node").agg(F.count("*").alias("f")).join(sizes, "node")
+    sizes = sizes.withColumn("most", F.expr(f"{100 + percent} * f DIV {percent} - n"))
+    sizes = sizes.filter(f"100 * most >= {percent} * n").withColumn("length", F.expr(f"n - ({percent} * n + 99) DIV 100 + 1 - (n - f)"))
+    ranked = shared.join(sizes.filter("length > 0"), "node")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("held", "h")))
+    return ranked.filter("rank <= length").select("h", "node", "comp", "n", "most")
+
+
+def _rare_pairs(rare: DataFrame, percent: int, centres: int | None) -> DataFrame:
+    """Pairs (a, b) of different components with a common row of ``rare`` and sizes that allow a link.
+
+    The larger node probes the classes of sizes that its bounds allow, so nodes that only smaller ones can be linked to do
+    not meet their equals. With ``centres`` a shingle and class is met through at most so many nodes, which plain aggregates
+    find.
+    """
+    step = math.log(100 / min(percent, 96)) / 4
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
+    n, most = F.col("n"), F.col("most")
+    index = rare.filter("most >= n").withColumn("class", size_class(n)).withColumnRenamed("node", "a")
+    if centres:
+        one = index.groupBy("h", "class", F.pmod(F.xxhash64("a"), F.lit(centres)).alias("deal"))
+        index = one.agg(F.min(F.struct("a", "comp", "n", "most")).alias("one")).select("h", "class", "one.*")
+    lowest = F.expr(f"({percent} * n + 99) DIV 100")
+    probe = rare.filter(f"least(n, most) >= ({percent} * n + 99) DIV 100")
+    probe = probe.withColumn("class", F.explode(F.sequence(size_class(lowest), size_class(F.least(n, most)))))
+    probe = probe.withColumnsRenamed({"node": "b", "comp": "comp_b", "n": "n_b", "most": "most_b"})
+    pairs = index.join(probe, ["h", "class"]).filter("comp <> comp_b AND n <= most_b AND n_b <= most AND (n < n_b OR n = n_b AND a < b)")
+    return pairs.select("a", "b").distinct()
 
 
 def spread_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,92 +217,79 @@ def spread_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = materialise(out, "labels")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, row_col: str | None = None
+) -> DataFrame:
     """Adds n_shingles, component_id and kept to each document's id.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its distinct ``size``-word shingles, or
     its whole word sequence if that is shorter. Documents are linked if 100 * intersection >= percent * union; component_id
     is the smallest id reachable. Texts without words (also null) are linked with nothing: component_id is their own id.
     A null id stands after all others and stays null. Repeated rows are in one component, and each row with the smallest
-    id is kept. An empty table gives an empty result.
+    id is kept; with ``row_col``, a column of different whole numbers, only the one with the smallest number of these, and
+    the column is returned, too. An empty table gives an empty result. Memory follows the longest text.
     """
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    row = F.lit(0).cast("long") if row_col is None else F.col(row_col).cast("long")
+    ids = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), row.alias("row"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("digest", F.xxhash64("text"))
     n_bands = band_count(percent)
     sketched = materialise(sketch(ids, "text", size, n_bands), "sketches")
     full = sketched.filter("n_shingles > 0")
-    classes = full.groupBy("sequence").agg(F.min(F.struct("id", "bands", "odd")).alias("one"))
+    classes = full.groupBy("sequence").agg(F.min(F.struct("id", "row", "digest", "bands", "odd")).alias("one"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "sequence", "one.*")
     classes = materialise(classes, "sequences")
 
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    open_ = materialise(counted.filter("n > 1").select("key", "node"), "buckets")
-    nodes = open_.select("node").distinct()
+    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
+    buckets = materialise(keyed.join(first.select("key", "a"), "key"), "buckets")
+    nodes = buckets.select("node").distinct()
     labels = materialise(nodes.withColumn("comp", F.col("node")), "labels")
-    wanted = classes.join(nodes, "node").select("node", "id", "sequence")
-    texts = materialise(_texts_of(ids, wanted), "candidate-texts")
+    wanted = classes.join(nodes, "node").select("node", "id", "row", "digest")
+    # rows of one id are told apart by their texts; equal ones give equal nodes
+    texts = ids.join(wanted, ["id", "row", "digest"]).select("node", "text").dropDuplicates(["node"])
+    texts = materialise(texts, "candidate-texts")
     odd = classes.join(nodes, "node", "left_semi").select("node", "odd")
-    tested = None
-    centres = 1
-    while True:
-        by_key = Window.partitionBy("key")
-        rows = open_.join(labels, "node").withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
-        rows = rows.filter("low < high").select("key", "node", "comp")
-        if centres > 1:
-            rows = _linkable(materialise(rows, "buckets"), texts, size, percent)
-        rows = rows.withColumn("rank", F.row_number().over(by_key.orderBy("node")))
-        open_ = materialise(rows, "buckets")
-        if open_.isEmpty():
-            break
-        first = open_.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
-        pairs = first.join(open_, "key").filter("rank_a < rank AND comp_a <> comp").select("a", F.col("node").alias("b"), "comp_a", "comp").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+
+    def settle(pairs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that the odd sketches leave, and the labels after these have been confirmed or not."""
         pairs = pairs.join(odd.withColumnsRenamed({"node": "a", "odd": "odd_a"}), "a").join(odd.withColumnsRenamed({"node": "b", "odd": "odd_b"}), "b")
         pairs = pairs.withColumn("near", estimated_similarity(F.col("odd_a"), F.col("odd_b"), n_bands * ROWS))
         pairs = materialise(pairs.filter(F.col("near") >= percent / 100 - ESTIMATE_SLACK).drop("odd_a", "odd_b"), "pairs")
-        now = pairs.select("a", "b")
-        if centres == 1:
-            # most nodes find their component by the nearest centre alone; only the others are compared with all
-            nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
-            found = materialise(confirm(nearest, texts, size, percent), "links")
-            labels = spread_labels(labels, found)
-            at = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
-            now = now.join(nearest, ["a", "b"], "left_anti").join(at, "a")
-            now = now.join(at.withColumnsRenamed({"a": "b", "x": "y"}), "b").filter("x <> y").select("a", "b")
-        found = materialise(confirm(now, texts, size, percent), "links")
-        labels = spread_labels(labels, found)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        open_ = open_.filter(F.col("rank") > centres).select("key", "node")
-        centres *= 16
-
-    of_class = classes.select("sequence", "node", F.col("id").alias("lowest")).join(labels, "node", "left")
+        # most nodes find their component by the nearest partner alone; only the others are compared with all
+        nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("near", -F.col("a"))).alias("a")).select("a", "b")
+        labels = spread_labels(labels, materialise(confirm(nearest, texts, size, percent), "links"))
+        at = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
+        others = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(at, "a")
+        others = others.join(at.withColumnsRenamed({"a": "b", "x": "y"}), "b").filter("x <> y").select("a", "b")
+        return pairs.select("a", "b"), spread_labels(labels, materialise(confirm(others, texts, size, percent), "links"))
+
+    tested, labels = settle(buckets.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), labels)
+    for centres in (1, 16, None):
+        rows = buckets.select("key", "node").join(labels, "node")
+        several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        open_ = materialise(rows.join(several.select("key"), "key", "left_semi").select("node", "comp").distinct(), "open")
+        if open_.isEmpty():
+            break
+        rare = materialise(_rare_shingles(open_, texts, size, percent), "rare-shingles")
+        pairs = _rare_pairs(rare, percent, centres)
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
+        found, labels = settle(pairs, labels)
+        tested = tested.unionByName(found)
+
+    of_class = classes.select("sequence", "node", F.struct("id", "row").alias("lowest")).join(labels, "node", "left")
     of_class = of_class.withColumn("comp", F.coalesce("comp", "node"))
-    smallest = of_class.groupBy("comp").agg(F.min("lowest").alias("component"))
-    of_class = of_class.join(smallest, "comp").select("sequence", "component")
-    out = sketched.select("id", "n_shingles", "sequence").join(of_class, "sequence", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    smallest = of_class.groupBy("comp").agg(F.min("lowest").alias("first"))
+    of_class = of_class.join(smallest, "comp").select("sequence", "first")
+    out = sketched.select("id", "row", "n_shingles", "sequence").join(of_class, "sequence", "left")
+    own = F.struct("id", "row")
+    first = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(own)
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(
-        real(F.col("id")).alias(id_col), "n_shingles", real(component).alias("component_id"), (F.col("id") == component).alias("kept")
-    )
-
-
-def _texts_of(ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: the text of each node's document. Rows of one id with other words are told apart by the digest."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            digests = []
-            for a, b in slices(offsets):
-                words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
-                digests += [hashlib.blake2b(x, digest_size=16).digest() for x in kept_words(words, np.ones(len(words.starts), bool))]
-            same = pa.array([d == s.as_py() for d, s in zip(digests, batch.column("sequence"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(same), batch.column("text").filter(same)], names=["node", "text"])
-
-    joined = ids.join(wanted, "id").select("node", "sequence", "text").mapInArrow(work, "node long, text string")
-    return joined.dropDuplicates(["node"])
+        real(F.col("id")).alias(id_col), *([] if row_col is None else [F.col("row").alias(row_col)]), "n_shingles",
+        real(first["id"]).alias("component_id"), (own == first).alias("kept"),
+    )
 
 
 assert math.log2(SKETCH_BITS) == 10  # the ten bits that place a sample

@@ -49,11 +49,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near copies, linked by five-word shingles of similarity 0.8 or more, the document with the smallest
-    id stays."""
-    ship(spark)
-    kept = near_duplicates(docs.select("doc_id", "text"), size=NEAR_SIZE, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return joined.unionByName(docs.filter("doc_id IS NULL"))
+    id stays, a null one standing last; of several rows with that id one. Documents without a word all stay."""
+    rows = materialise(_carried(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    judged = near_duplicates(rows, size=NEAR_SIZE, percent=NEAR_PERCENT, row_col="row")
+    return _unpacked(rows.join(judged.filter("kept").select("row"), "row", "left_semi"), docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

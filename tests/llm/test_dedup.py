@@ -12,9 +12,10 @@ import pytest
 import corpora as R
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bazaarlens.llm.arrays import pack, unpack
-from bazaarlens.llm.neardup import near_duplicates, spread_labels
+from bazaarlens.llm.neardup import _rare_pairs, _rare_shingles, near_duplicates, spread_labels
 from bazaarlens.llm.substring import substring_dedup
 from bazaarlens.llm.suffixes import repeated_windows, suffix_dedup
 
@@ -161,3 +162,38 @@ def test_packed_arrays_come_back():
     arrays = [np.arange(5, dtype=np.uint64) ** 3, np.array([3, -1, 2], np.int32), np.zeros(0, np.int64), np.array([5, 1], np.uint64)]
     for a, b in zip(arrays, unpack(pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def unlinked_copies(n: int, changes: int) -> list[tuple]:
+    """Copies of one text with changes of their own, of which no two are similar enough; the text itself is not there."""
+    pick, words = random.Random(5), R.sentence(150, 11).split()
+    rows = []
+    for i in range(n):
+        own = list(words[: 150 - i % 4])
+        for k in range(changes):
+            own[pick.randrange(len(own))] = f"own{i}x{k}"
+        rows.append((i, " ".join(own), None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("changes", [1, 2, 3, 5])
+def test_copies_with_changes_of_their_own(spark, changes):
+    rows = unlinked_copies(40, changes)
+    assert rows_of(near_duplicates(R.documents(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == slow_near(rows, 3, 85)
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    rows = unlinked_copies(30, 2) + [(100 + i, " ".join(R.sentence(150, 11).split()[i : 140 - i]), None, None, None) for i in range(8)]
+    texts = R.documents(spark, rows).select(F.col("doc_id").alias("node"), "text")
+    rare = _rare_shingles(texts.select("node", F.col("node").alias("comp")), texts, 3, 85)
+    got = {(min(r), max(r)) for r in _rare_pairs(rare, 85, None).collect()}
+    sets = {r[0]: {tuple(w) for w in zip(*(r[1].split()[k:] for k in range(3)), strict=False)} for r in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked and linked <= got
+
+
+def test_texts_of_own_changes_have_no_candidates(spark):
+    rows = unlinked_copies(40, 9)
+    texts = R.documents(spark, rows).select(F.col("doc_id").alias("node"), "text")
+    rare = _rare_shingles(texts.select("node", F.col("node").alias("comp")), texts, 3, 85)
+    assert _rare_pairs(rare, 85, None).count() == 0

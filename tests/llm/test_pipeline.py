@@ -49,3 +49,16 @@ def test_bands_follow_the_threshold():
     for percent in (80, 85):
         assert (1 - (percent / 100) ** ROWS) ** band_count(percent) < 7.2e-9
     assert (band_count(85), band_count(80)) == (32, 48)
+
+
+def test_near_dedup_keeps_one_row_of_copies_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text, lang, None, None) for i, lang in ((2, "a"), (None, "b"), (1, "c"), (1, "d"), (None, "e"))]
+    rows += [(None, text.replace("w", "v"), "f", None, None), (None, None, "g", None, None), (3, "", "h", None, None)]
+    rows += [(None, text.replace("w", "v"), "i", None, None)]
+    docs = R.documents(spark, rows)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    langs = [r["lang"] for r in got.collect()]
+    assert len(langs) == 4 and {"g", "h"} < set(langs)
+    assert len({"c", "d"} & set(langs)) == len({"f", "i"} & set(langs)) == 1
