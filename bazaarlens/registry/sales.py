@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import product, regional, sales
-from bazaarlens.registry.core import register, settled
+from bazaarlens.functions.storage import materialise
+from bazaarlens.operators import product, regional, sales, sketches
+from bazaarlens.registry.core import Source, register, settled
 from bazaarlens.registry.views import he, mean
 
 _REVENUE = "CAST(SUM(item_value) AS DOUBLE) AS revenue"
@@ -147,3 +149,32 @@ register(
     lambda s: sales.payment_order_counts(s.items("order_id", "payment_type")),
     f"SELECT payment_type, {_ORDERS} FROM v_wide WHERE payment_type IS NOT NULL GROUP BY payment_type",
 )
+
+
+def _monthly_orders_by_sketch(source: Source) -> DataFrame:
+    items = source.items("month", "order_id", "order_purchase_timestamp")
+    stored = materialise(sketches.day_sketches(items, ["order_id"]), "day-sketches")
+    about = sketches.distinct_counts(stored, ["order_id"], [F.date_format(sketches.DAY, "yyyy-MM").alias("month")])
+    about = about.withColumnRenamed("order_id", "orders")
+    return sketches.compared(sales.monthly_orders(items), about, "month", ["orders"])
+
+
+def _states_by_sketch(source: Source) -> DataFrame:
+    values = ["order_id", "customer_unique_id"]
+    items = source.items("state", "order_purchase_timestamp", *values)
+    stored = materialise(sketches.day_sketches(items, values, ["state"]), "day-sketches")
+    exact = items.groupBy("state").agg(*[F.countDistinct(v).alias(v) for v in values])
+    return sketches.compared(exact, sketches.distinct_counts(stored, values, ["state"]), "state", values)
+
+
+register(
+    "a02_monthly_orders_by_sketch",
+    _monthly_orders_by_sketch,
+    f"SELECT month, {_ORDERS}, TRUE AS orders_within FROM v_wide WHERE month IS NOT NULL GROUP BY month",
+)
+register(
+    "a15_states_by_sketch",
+    _states_by_sketch,
+    """SELECT state, COUNT(DISTINCT order_id) AS order_id, COUNT(DISTINCT customer_unique_id) AS customer_unique_id,
+              TRUE AS order_id_within, TRUE AS customer_unique_id_within FROM v_wide GROUP BY state""",
+)
