@@ -23,6 +23,8 @@ class Filters:
 
 
 def apply_filters(items: DataFrame, filters: Filters) -> DataFrame:
+    """The items within the filters. Where there is a ``month``, it is the month key of the purchase, and the months of the
+    date range are chosen as well: items stored by month are then read from these folders alone."""
     if len(filters.date_range) == 2:
         first, last = (F.lit(day) for day in filters.date_range)
         # Compared as timestamps, and not through to_date, so that the bounds reach the Parquet scan.
@@ -30,6 +32,8 @@ def apply_filters(items: DataFrame, filters: Filters) -> DataFrame:
         items = items.filter(
             (purchased >= first.cast("timestamp_ntz")) & (purchased < F.date_add(last, 1).cast("timestamp_ntz"))
         )
+        if "month" in items.columns:
+            items = items.filter(F.col("month").between(*(f"{day:%Y-%m}" for day in filters.date_range)))
     for column, chosen in (
         ("state", filters.states),
         ("category", filters.categories),

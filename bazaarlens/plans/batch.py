@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlens.functions.storage import materialise
 from bazaarlens.models import evaluate, explain, train
 from bazaarlens.operators import features, profile, quality
-from bazaarlens.sources import artifacts
+from bazaarlens.operators.base import order_items_wide
+from bazaarlens.sources import artifacts, clustered
 from bazaarlens.sources.tables import CommerceTables, read_csv_tables, read_tables, write_tables
 
+ITEMS_TABLE = "shop_items"
+
 
 def load(spark: SparkSession, csv_folder: str, table_folder: str, files=None) -> CommerceTables:
     """CSV files to typed Parquet tables; files that are missing are skipped."""
@@ -93,11 +96,19 @@ def train_and_store(
     )
 
 
-def run(spark: SparkSession, csv_folder: str, out_folder: str, files=None) -> ModelReport:
-    """Everything in order, from CSV files to the stored model, with the reports of the checks and of the features."""
+def run(
+    spark: SparkSession, csv_folder: str, out_folder: str, files=None, items_table: str = ITEMS_TABLE, buckets: int | None = None
+) -> ModelReport:
+    """Everything in order, from CSV files to the stored model, with the reports of the checks and of the features.
+
+    The item rows that the pages read are left as ``items_table``, by month and in ``buckets`` buckets of orders (as many as
+    the session has shuffle partitions, if none are named).
+    """
     tables = load(spark, csv_folder, f"{out_folder}/tables", files)
     for name, report in validate(tables).items():
         artifacts.write_report(report, f"{out_folder}/checks/{name}")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clustered.store_items(order_items_wide(tables), items_table, f"{out_folder}/items", buckets)
     table = build_features(tables, out_folder)
     for name, report in describe(table).items():
         artifacts.write_report(report, f"{out_folder}/description/{name}")

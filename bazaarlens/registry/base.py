@@ -201,27 +201,27 @@ register(
         WHERE price > 0""",
 )
 
-_CHOSEN = Filters(
+CHOSEN = Filters(
     date_range=(date(1996, 3, 1), date(1998, 2, 28)),
     states=("NATION_1", "NATION_3", "NATION_7", "NATION_11", "NATION_19"),
     payment_types=("boleto", "credit_card"),
 )
-_FILTERED = ("order_id", "product_id", *filters.FILTER_COLUMNS)
-_FILTERED_SQL = f"SELECT {', '.join(_FILTERED)} FROM v_wide WHERE "
+FILTERED = ("order_id", "product_id", *filters.FILTER_COLUMNS)
+_FILTERED_SQL = f"SELECT {', '.join(FILTERED)} FROM v_wide WHERE "
 _DATES_SQL = "CAST(order_purchase_timestamp AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1998-02-28'"
 
 register(
     "c10_date_filter",
-    lambda s: filters.apply_filters(s.items(*_FILTERED), Filters(date_range=_CHOSEN.date_range)),
+    lambda s: filters.apply_filters(s.items(*FILTERED), Filters(date_range=CHOSEN.date_range)),
     _FILTERED_SQL + _DATES_SQL,
 )
 register(
     "c11_membership_filter",
-    lambda s: filters.apply_filters(s.items(*_FILTERED), _CHOSEN),
+    lambda s: filters.apply_filters(s.items(*FILTERED), CHOSEN),
     _FILTERED_SQL
     + _DATES_SQL
-    + f" AND state IN ({', '.join(repr(x) for x in _CHOSEN.states)})"
-    + f" AND payment_type IN ({', '.join(repr(x) for x in _CHOSEN.payment_types)})",
+    + f" AND state IN ({', '.join(repr(x) for x in CHOSEN.states)})"
+    + f" AND payment_type IN ({', '.join(repr(x) for x in CHOSEN.payment_types)})",
 )
 register(
     "c12_date_bounds",

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.storage import scratch_path
 from bazaarlens.models import evaluate, score, train
-from bazaarlens.operators import reports
+from bazaarlens.operators import filters, reports
 from bazaarlens.operators.features import FEATURE_COLUMNS
+from bazaarlens.operators.filters import Filters
+from bazaarlens.registry.base import CHOSEN, FILTERED
 from bazaarlens.registry.core import ORACLE, Source, register
 from bazaarlens.registry.models import scores, trained
-from bazaarlens.sources import artifacts
+from bazaarlens.sources import artifacts, clustered
 from bazaarlens.sources.catalog import CATALOG
 from bazaarlens.sources.tables import CommerceTables, read_csv_table, read_tables, write_tables
 
@@ -57,6 +59,25 @@ register(
 )
 
 
+def _clustered(s: Source) -> DataFrame:
+    """All item rows by way of the table that the dashboard's date filter reads."""
+    path = scratch_path(s.spark, "items")
+    table = f"clustered_{path.rsplit('-', 1)[1]}"
+    return clustered.store_items(s.items(), table, path, 8)
+
+
+register(
+    "b01_clustered_months",
+    lambda s: _clustered(s).groupBy("month").agg(F.count("*").alias("items"), F.countDistinct("order_id").alias("orders")),
+    "SELECT month, COUNT(*) AS items, COUNT(DISTINCT order_id) AS orders FROM v_wide GROUP BY month",
+)
+register(
+    "c10_clustered_date_filter",
+    lambda s: filters.apply_filters(_clustered(s), Filters(date_range=CHOSEN.date_range)).select(*FILTERED),
+)
+ORACLE["c10_clustered_date_filter"] = ORACLE["c10_date_filter"]
+
+
 def _features(s: Source) -> DataFrame:
     folder = scratch_path(s.spark, "features")
     artifacts.write_features(s.features, folder)
