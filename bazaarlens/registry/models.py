@@ -5,9 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import half_even
-from bazaarlens.functions.storage import materialise
-from bazaarlens.models import boosting, evaluate, explain, prep, score, train
-from bazaarlens.registry.core import Source, register, settled
+from bazaarlens.functions.storage import materialise, scratch_path
+from bazaarlens.models import boosting, encoding, evaluate, explain, prep, score, train
+from bazaarlens.registry.core import ORACLE, Source, register, settled
 from bazaarlens.registry.views import he, mean
 
 _SCALED_INPUTS = ("total_spend", "num_orders", "avg_delivery_days", "pct_delayed", "avg_basket_size")
@@ -67,6 +67,19 @@ register(
     + ", ".join(f"CAST(DENSE_RANK() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}" for c in prep.CATEGORICAL_INPUTS)
     + " FROM v_features",
 )
+
+
+def _joined_codes(s: Source) -> DataFrame:
+    """The same codes by a stored table and joins."""
+    folder = scratch_path(s.spark, "codes")
+    fills = prep.modes(s.stored_features)
+    encoding.write_codes(encoding.category_tables(s.stored_features, fills), folder)
+    wanted = s.stored_features.select(prep.ID, *prep.CATEGORICAL_INPUTS)
+    return encoding.encode(wanted, encoding.read_codes(s.spark, folder), fills)
+
+
+register("m04_codes_by_join", _joined_codes)
+ORACLE["m04_codes_by_join"] = ORACLE["m04_category_codes"]
 register(
     "m05_scaled_inputs",
     lambda s: settled(_prepared(s, scale=True).select(prep.ID, *_SCALED_INPUTS)),
