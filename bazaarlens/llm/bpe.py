@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import byte_sums, group_edges, pack, slices, text_buffers, unpack
+from bazaarlens.llm.naming import names_apart
 
 #: Longer words are merged with a heap.
 SHORT_WORD = 48
@@ -169,6 +170,7 @@ def _unknown(words: set[bytes], ranks: dict[bytes, int], n: int) -> tuple[list[b
     return ranked, np.cumsum([0, *map(len, ranked)]), G.ranges(h[order], n, 64)
 
 
+@names_apart
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:

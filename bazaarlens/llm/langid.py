@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlens.llm.arrays import slices, text_buffers
+from bazaarlens.llm.naming import names_apart
 
 BUCKET_BITS, DIMENSIONS = 16, 16
 #: Documents of each language that training looks at; the whole model sees no more than so many times the languages.
@@ -158,6 +159,7 @@ def train(
     return LanguageModel(labels, model.table, bias, model.temperature, threshold)
 
 
+@names_apart
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """Adds lang_pred, score (calibrated probability) and accepted (score reaches the rejection threshold).
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlens.llm.arrays import LOWER, PLAIN, Words, slices, text_buffers
+from bazaarlens.llm.naming import names_apart
 
 #: How sure a detection of each priority is: 1 a hint, 2 a name, 3 a name with its version or a notice, 4 a tag or a link.
 CERTAINTY = {1: 0.4, 2: 0.8, 3: 0.95, 4: 0.99}
@@ -286,6 +287,7 @@ def _judge(scanner: Scanner, text: bytes, words: np.ndarray) -> tuple:
     return n_base, *ends, ",".join(sorted(base_labels)), ",".join(sorted(labels)), CERTAINTY[int(priority.max())], detections
 
 
+@names_apart
 def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """n_words; n_base, first_word, last_word, base_labels (places of the base phrases, the smallest and largest start, and
     their labels); labels (those and the ones of standing detections); score (how sure the strongest detection is, 0 without

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from bazaarlens.functions.storage import materialise
 from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
+from bazaarlens.llm.naming import names_apart
 
 #: Bytes of the contexts beside the word so far, which comes last.
 ORDERS = (1, 2, 3, 4, 6)
@@ -277,6 +278,7 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers) -> np.ndar
     return cost
 
 
+@names_apart
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document by the base model and by context mixing, both learned from the rows where ``training`` holds.
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, slices, text_buffers, word_sums
+from bazaarlens.llm.naming import names_apart
 
 SIGNALS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capital_words n_letter_words n_shout_marks"
@@ -97,6 +98,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ], axis=1).astype(np.int64)
 
 
+@names_apart
 def signals(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
     """SIGNALS of each text beside the columns of ``docs`` (the text only ``with_text``); null or empty: all zero."""
     keep = [c for c in docs.columns if c not in SIGNALS and (with_text or c != text_col)]

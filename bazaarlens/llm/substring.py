@@ -30,6 +30,7 @@ from bazaarlens.llm.arrays import (
     unpack_all,
     word_sums,
 )
+from bazaarlens.llm.naming import names_apart
 
 ANCHOR_BITS = 48
 
@@ -53,6 +54,7 @@ def _window_hashes(words: Words, hashes: np.ndarray, window: int) -> tuple[np.nd
     return at, word_sums(hashes).windows(window)[at], check.astype(np.uint32)
 
 
+@names_apart
 def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, with_text: bool = False
 ) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import byte_sums, covered, group_edges, member, mix, pack, slices, text_buffers, unpack, unpack_all
+from bazaarlens.llm.naming import names_apart
 
 SEED_BYTES = 24
 #: A hash range is sorted in so many parts, one after the other, each with all runs of its seeds.
@@ -139,6 +140,7 @@ def _smaller_ids(
     return entry, begin[piece], end[piece], value[piece]
 
 
+@names_apart
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """Remove each byte covered by a string of ``window`` bytes that also starts in a document with a smaller id.
 
