@@ -4,7 +4,7 @@ from bazaarlens.operators import quality
 from bazaarlens.registry.core import register
 from bazaarlens.sources.catalog import CATALOG
 
-_VIEW_OF = {
+VIEW_OF = {
     "customers": "v_customers",
     "sellers": "v_sellers",
     "product_category_translation": "v_translation",
@@ -25,7 +25,7 @@ def _union(parts) -> str:
 register(
     "s03_row_counts",
     lambda s: quality.row_counts(s.tables),
-    _union(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {v}" for t, v in _VIEW_OF.items()),
+    _union(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {v}" for t, v in VIEW_OF.items()),
 )
 register(
     "s04_duplicate_keys",
@@ -34,7 +34,7 @@ register(
         f"SELECT '{t}' AS table_name, COUNT(*) AS duplicate_keys, "
         f"CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS surplus_rows FROM "
         f"(SELECT COUNT(*) AS n FROM {v} GROUP BY {', '.join(CATALOG[t].key)} HAVING COUNT(*) > 1)"
-        for t, v in _VIEW_OF.items()
+        for t, v in VIEW_OF.items()
     ),
 )
 register(
@@ -48,8 +48,8 @@ register(
     _union(
         f"SELECT '{t}' AS table_name, '{r.parent}' AS parent_table, COUNT(*) AS orphan_rows, 'checked' AS status FROM {v} c "
         f"WHERE c.{r.columns[0]} IS NOT NULL AND NOT EXISTS "
-        f"(SELECT 1 FROM {_VIEW_OF[r.parent]} p WHERE p.{r.columns[0]} = c.{r.columns[0]})"
-        for t, v in _VIEW_OF.items()
+        f"(SELECT 1 FROM {VIEW_OF[r.parent]} p WHERE p.{r.columns[0]} = c.{r.columns[0]})"
+        for t, v in VIEW_OF.items()
         for r in CATALOG[t].references
     ),
 )
@@ -69,7 +69,7 @@ register(
         if c in _ABSENT
         else f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, "
         f"'checked' AS status FROM {v}"
-        for t, v in _VIEW_OF.items()
+        for t, v in VIEW_OF.items()
         for c in CATALOG[t].mandatory
     ),
 )

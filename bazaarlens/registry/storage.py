@@ -13,6 +13,7 @@ from bazaarlens.operators.filters import Filters
 from bazaarlens.registry.base import CHOSEN, FILTERED
 from bazaarlens.registry.core import ORACLE, Source, register
 from bazaarlens.registry.models import scores, trained
+from bazaarlens.registry.quality import VIEW_OF
 from bazaarlens.sources import artifacts, clustered
 from bazaarlens.sources.catalog import CATALOG
 from bazaarlens.sources.tables import CommerceTables, read_csv_table, read_tables, write_tables
@@ -59,6 +60,38 @@ register(
 )
 
 
+_SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP"}
+
+
+def _stored(s: Source, name: str) -> DataFrame:
+    """One table under its declared types, by way of the stored catalog; money as doubles."""
+    folder, table, spec = scratch_path(s.spark, "tables"), getattr(s.tables, name), CATALOG[name]
+    there = [f for f in spec.schema.fields if f.name in table.columns]
+    write_tables(CommerceTables(**{name: table.select(*[F.col(f.name).cast(f.dataType) for f in there])}), folder)
+    stored = getattr(read_tables(s.spark, folder), name).select(*[f.name for f in there])
+    return stored.select(*[F.col(c).cast("double") if kind.startswith("decimal") else F.col(c) for c, kind in stored.dtypes])
+
+
+def _stored_sql(name: str, columns: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in CATALOG[name].schema.fields}
+    casts = [f"CAST({c} AS {_SQL_TYPES.get(kinds[c], 'DOUBLE')}) AS {c}" for c in columns.split()]
+    return f"SELECT {', '.join(casts)} FROM {VIEW_OF[name]}"
+
+
+# the columns that the test tables have
+for _name, _columns in {
+    "customers": "customer_id customer_unique_id customer_zip_code_prefix customer_city customer_state",
+    "sellers": "seller_id seller_zip_code_prefix seller_city seller_state",
+    "product_category_translation": "product_category_name product_category_name_english",
+    "products": "product_id product_category_name",
+    "orders": "order_id customer_id order_status order_purchase_timestamp order_delivered_customer_date "
+    "order_estimated_delivery_date",
+    "order_items": "order_id order_item_id product_id seller_id price freight_value",
+    "reviews": "review_id order_id review_score",
+}.items():
+    register(f"s02_stored_{_name}", lambda s, n=_name: _stored(s, n), _stored_sql(_name, _columns))
+
+
 def _clustered(s: Source) -> DataFrame:
     """All item rows by way of the table that the dashboard's date filter reads."""
     path = scratch_path(s.spark, "items")
