@@ -102,3 +102,29 @@ def test_nothing_to_learn(spark, rows):
 def test_too_many_bins(rows):
     with pytest.raises(ValueError, match="256"):
         boosting.fit(rows, 1.0, boosting.BoostingSettings(max_bins=300), INPUTS)
+
+
+def test_one_job_a_level_and_each_tree_is_added_once(spark, rows, monkeypatch):
+    """The work of a round does not grow with the trees since the margins were last written."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 200)
+    jobs, walks = [], spark.sparkContext.accumulator(0)
+    grow, node_of = boosting._grow, boosting.Tree.node_of
+
+    def counted(tree, values, by_bin, depth):
+        walks.add(int(depth == 3))
+        return node_of(tree, values, by_bin, depth)
+
+    def grown(number, *rest):
+        spark.sparkContext.setJobGroup(f"round-{number}", "")
+        tree = grow(number, *rest)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"round-{number}")))
+        return tree
+
+    monkeypatch.setattr(boosting.Tree, "node_of", counted)
+    monkeypatch.setattr(boosting, "_grow", grown)
+    settings = boosting.BoostingSettings(rounds=6, depth=3, max_bins=32)
+    boosting.fit(rows.repartition(4), 1.0, settings, INPUTS)
+    spark.sparkContext.setJobGroup("others", "")
+    blocks = 5  # one in each of the five tasks of 200 rows
+    assert len(jobs) == 6 and max(jobs) <= settings.depth
+    assert walks.value <= blocks * (settings.rounds - 1)
