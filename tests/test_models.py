@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -313,3 +314,35 @@ def test_a_model_stored_again_is_the_one_loaded(spark, trained, tmp_path):
     assert artifacts.load_model(spark, str(tmp_path)).stages[-1].uid == trained.models[train.FOREST].stages[-1].uid
     with pytest.raises(FileNotFoundError):
         artifacts.load_model(spark, str(tmp_path / "none"))
+
+
+def test_more_training_rows_make_more_parts_and_not_larger_ones(features):
+    few = train.train_models(features, replace(SMALL, part_rows=1_000), names=()).train
+    many = train.train_models(features, replace(SMALL, part_rows=50), names=()).train
+    assert few.rdd.getNumPartitions() == SMALL.parts and many.rdd.getNumPartitions() == 13
+    assert sorted(r[0] for r in few.select(prep.ID).collect()) == sorted(r[0] for r in many.select(prep.ID).collect())
+
+
+def test_tables_over_patterns_are_made_once_for_the_rows_of_a_task(spark, monkeypatch):
+    """And not again for each batch; the values are those of rows by themselves."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2)).round(1)
+    leaves = [({0: (-np.inf, 0.5, 0.6), 1: (-0.5, 0.5, 0.3)}, 1.0), ({0: (0.5, np.inf, 0.4)}, -2.0)]
+    ensemble, made, make = explain.ensemble_from_leaves(leaves), spark.sparkContext.accumulator(0), explain._pattern_tables
+
+    def counted(*args):
+        made.add(1)
+        return make(*args)
+
+    monkeypatch.setattr(explain, "_pattern_tables", counted)
+    monkeypatch.setattr(explain, "ROW_BLOCK", 64)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], f"{prep.ID} long, a double, b double").coalesce(1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = explain.ensemble_attributions(ensemble, df, ("a", "b")).orderBy(prep.ID).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert made.value == 2  # leaves with one input and with two
+    alone = [explain.shapley_values(ensemble, row[None])[0] for row in x]
+    assert got[["a", "b"]].to_numpy() == pytest.approx(np.array(alone), abs=1e-12)
