@@ -6,7 +6,8 @@ Nodes that share a band key are candidates. Within a band's bucket, pairs are ma
 between nodes that are not yet in one component; what the odd sketches do not rule out is confirmed on the full shingle
 sets. Rounds with more centres follow until each bucket has been settled, after nodes have been cleared that by exact
 bounds have no link left, so no link is lost and a large group of copies costs a few comparisons a document, not all its
-pairs.
+pairs. Large buckets that the first round leaves open are dealt anew, by the rare differences of their nodes from one of
+them: copies with changes of their own, mutually near but not linked, then meet only where they may be linked.
 
 There are as many bands of 5 samples as the threshold asks for: a pair at 0.85 shares none of 32 with a chance of 7e-9, a
 pair at 0.80 none of 48 with one of 5e-9.
@@ -33,6 +34,8 @@ from bazaarlens.llm.substring import kept_words
 ROWS, SKETCH_BITS = 5, 1024
 #: A pair at the threshold shares no band with at most this chance.
 MISSED = 7.2e-9
+#: Centres of the second round, and so many times more in each further one. Buckets of more nodes are dealt anew.
+CENTRES = 16
 #: Pairs whose odd sketches estimate less are not compared: about seven standard errors under the threshold.
 ESTIMATE_SLACK = 0.2
 
@@ -112,6 +115,21 @@ def estimated_similarity(a: Column, b: Column, samples: int) -> Column:
     return F.when(inside > 0, 1 + SKETCH_BITS / (4.0 * samples) * F.log(inside)).otherwise(0.0)
 
 
+def _both_sets(left: pa.Array, right: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows x to y with a text on the left and on the right: x, y, sizes of the left and of the right sets; and for each
+    element of either its row from x, the element, and in how many of the two sets it is, by row."""
+    (left, at), (right, bt) = text_buffers(left), text_buffers(right)
+    for x, y in slices(at + bt):
+        ha, ea = shingle_sets(Words(LOWER[left[at[x] : at[y]]], at[x : y + 1] - at[x], WHITE), size)
+        hb, eb = shingle_sets(Words(LOWER[right[bt[x] : bt[y]]], bt[x : y + 1] - bt[x], WHITE), size)
+        pair = np.r_[np.repeat(np.arange(y - x), np.diff(ea)), np.repeat(np.arange(y - x), np.diff(eb))]
+        h = np.r_[ha, hb]
+        order = np.argsort(h, kind="stable")
+        order = order[np.argsort(pair[order], kind="stable")]
+        first = group_edges(pair[order], h[order])
+        yield x, y, np.diff(ea), np.diff(eb), pair[order][first], h[order][first], np.diff(np.r_[first, len(h)])
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of the full sets. ``texts``: node, text."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -119,24 +137,89 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (left, at), (right, bt) = text_buffers(batch.column("text_a")), text_buffers(batch.column("text_b"))
             good = np.zeros(batch.num_rows, bool)
-            for x, y in slices(at + bt):
-                ha, ea = shingle_sets(Words(LOWER[left[at[x] : at[y]]], at[x : y + 1] - at[x], WHITE), size)
-                hb, eb = shingle_sets(Words(LOWER[right[bt[x] : bt[y]]], bt[x : y + 1] - bt[x], WHITE), size)
-                pair = np.r_[np.repeat(np.arange(y - x), np.diff(ea)), np.repeat(np.arange(y - x), np.diff(eb))]
-                h = np.r_[ha, hb]
-                order = np.argsort(h, kind="stable")
-                order = order[np.argsort(pair[order], kind="stable")]
-                first = group_edges(pair[order], h[order])
-                union = np.bincount(pair[order][first], minlength=y - x)
-                common = np.diff(ea) + np.diff(eb) - union
+            for x, y, na, nb, pair, _, _ in _both_sets(batch.column("text_a"), batch.column("text_b"), size):
+                union = np.bincount(pair, minlength=y - x)
+                common = na + nb - union
                 good[x:y] = (100 * common >= percent * union) & (union > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
+def _differences(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the nodes of each bucket in ``rows`` (key, node) the differences from one of them, c: c, node, delta (the elements
+    that are in one of the two sets only) and far = (100 + percent) * (size of delta) - (100 - percent) * (size of the set).
+
+    Two sets are linked if (100 + percent) * (size of their symmetric difference) <= (100 - percent) * (sum of their sizes).
+    The symmetric difference is that of the deltas from any c, so with o elements common to both deltas they are linked if
+    far + far' <= 2 * (100 + percent) * o. As c each bucket takes its node with the most neighbours in all its buckets, so
+    that buckets of the same copies have the same c.
+    """
+    by_key = Window.partitionBy("key")
+    rows = rows.select("key", "node", F.count("*").over(by_key).alias("met"))
+    weights = rows.groupBy("node").agg(F.sum("met").alias("weight"))
+    leader = F.max(F.struct("weight", "node")).over(by_key)["node"]
+    pairs = rows.join(weights, "node").select(leader.alias("c"), "node").distinct()
+    left = pairs.join(texts.select(F.col("node").alias("c"), F.col("text").alias("text_c")), "c")
+    both = left.join(texts.select("node", "text"), "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, _, n, pair, h, held in _both_sets(batch.column("text_c"), batch.column("text"), size):
+                pair, h = pair[held == 1], h[held == 1]
+                differing = np.bincount(pair, minlength=y - x)
+                ends = np.r_[0, np.cumsum(differing)].astype(np.int32)
+                far = (100 + percent) * differing - (100 - percent) * n
+                delta = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("c").slice(x, y - x), batch.column("node").slice(x, y - x), pa.array(far, pa.int64()), delta], names=["c", "node", "far", "delta"]
+                )
+
+    return both.select("c", "node", "text_c", "text").mapInArrow(work, "c long, node long, far long, delta array<long>")
+
+
+def _certain_links(differences: DataFrame) -> DataFrame:
+    """Links (a, b) that need no common difference. Of two nodes with far + far' <= 0 each has that with the nearest one."""
+    nearest = differences.groupBy("c").agg(F.min(F.struct("far", "node")).alias("near"))
+    linked = differences.join(nearest, "c").filter("far + near.far <= 0 AND node <> near.node")
+    return linked.select(F.col("near.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _by_rare_differences(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, node) in which all nodes meet that share a c and may be linked but are not yet in one component, once
+    the certain links are in ``labels``.
+
+    With s of a node's differences found in other components, too, two nodes have at most min(s, s') in common, so they are
+    linked only if far + far' <= most * min(s, s'), most = 2 * (100 + percent). For a node, ``low`` is the least far' with
+    which that can hold. It then has at least need = (far + low) / most differences in common with the other, so one of
+    them is among the s - need + 1 rarest of both (ties in one order): these are the keys.
+    """
+    most = 2 * (100 + percent)
+    rows = differences.join(labels, "node")
+    # the component of the node nearest to c has most nodes, which need not meet each other
+    homes = rows.groupBy("c").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by("comp", F.struct("far", "node")).alias("home"))
+    rows = rows.join(homes.filter("first < last").select("c", "home"), "c")
+    rows = rows.select("c", "node", "far", "comp", (F.col("comp") == F.col("home")).alias("at_home"), F.explode("delta").alias("h"))
+    often = rows.groupBy("c", "h").agg(F.count("*").alias("often"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    shared = rows.join(often.filter("first < last").select("c", "h", "often"), ["c", "h"])
+    nodes = shared.groupBy("c", "node", "far", "at_home").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("held"))
+    nodes = nodes.withColumn("reach", most * F.size("held") - F.col("far"))
+    # in whole steps of ``most``, so that there are no more of them than a set has elements, however many nodes there are
+    step = lambda x: F.floor(F.col(x) / most)
+    nodes = materialise(nodes.withColumns({"from": step("far"), "to": step("reach")}), "differences")
+    away = F.when(~F.col("at_home"), F.col("far"))
+    ends = nodes.groupBy("c", F.col("to").alias("at")).agg(F.min("far").alias("low"), F.min(away).alias("low_away"))
+    asked = nodes.select("c", F.col("from").alias("at"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("low_away"))
+    ends = ends.unionByName(asked).groupBy("c", "at").agg(F.min("low").alias("low"), F.min("low_away").alias("low_away"))
+    beyond = Window.partitionBy("c").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("c", F.col("at").alias("from"), F.min("low").over(beyond).alias("low"), F.min("low_away").over(beyond).alias("low_away"))
+    nodes = nodes.join(ends, ["c", "from"]).withColumn("low", F.when(F.col("at_home"), F.col("low_away")).otherwise(F.col("low")))
+    nodes = nodes.filter("low <= reach").withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("low")) / most)))
+    keys = nodes.filter("need <= size(held)").select("c", "node", F.explode(F.expr("slice(held, 1, int(size(held) - need + 1))")).alias("one"))
+    return keys.select(F.xxhash64("c", "one.h").alias("key"), "node").distinct()
+
+
 def _linkable(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The rows of ``open_`` (key, node, comp) whose node may still have a link to another component, by exact bounds.
 
@@ -225,20 +308,39 @@ def near_duplicates(
     texts = ids.join(wanted, ["id", "row", "digest"]).select("node", "text").dropDuplicates(["node"])
     texts = materialise(texts, "candidate-texts")
     odd = classes.join(nodes, "node", "left_semi").select("node", "odd")
+    by_key = Window.partitionBy("key")
+
+    def apart(buckets: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with their component."""
+        rows = buckets.join(labels, "node").withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
+        return rows.filter("low < high").select("key", "node", "comp")
+
     tested = None
     centres = 1
     while True:
-        by_key = Window.partitionBy("key")
-        rows = open_.join(labels, "node").withColumns({"low": F.min("comp").over(by_key), "high": F.max("comp").over(by_key)})
-        rows = rows.filter("low < high").select("key", "node", "comp")
+        rows = apart(open_)
         if centres > 1:
             rows = _linkable(materialise(rows, "buckets"), texts, size, percent)
-        rows = rows.withColumn("rank", F.row_number().over(by_key.orderBy("node")))
+        if centres == CENTRES:
+            rows = materialise(rows.withColumn("met", F.count("*").over(by_key)), "buckets")
+            large = materialise(_differences(rows.filter(F.col("met") > CENTRES + 1), texts, size, percent), "differences")
+            labels = spread_labels(labels, _certain_links(large))
+            small = rows.filter(F.col("met") <= CENTRES + 1).select("key", "node")
+            rows = apart(materialise(small.unionByName(_by_rare_differences(large, labels, percent)), "buckets"))
+        # the smaller components of a bucket come first: when all but the largest have been centres, it is settled
+        rows = rows.withColumn("of", F.count("*").over(Window.partitionBy("key", "comp")))
+        rows = rows.withColumn("rank", F.row_number().over(by_key.orderBy("of", "comp", "node"))).drop("of")
+        if centres == 1:
+            rows = rows.withColumn("first", F.min_by(F.struct("node", "comp"), "rank").over(by_key))
         open_ = materialise(rows, "buckets")
         if open_.isEmpty():
             break
-        first = open_.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
-        pairs = first.join(open_, "key").filter("rank_a < rank AND comp_a <> comp").select("a", F.col("node").alias("b"), "comp_a", "comp").distinct()
+        if centres == 1:
+            pairs = open_.filter("rank > 1").select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.comp").alias("comp_a"), "comp")
+        else:
+            first = open_.filter(F.col("rank") <= centres).select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
+            pairs = first.join(open_, "key").filter("rank_a < rank AND comp_a <> comp").select("a", F.col("node").alias("b"), "comp_a", "comp")
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(odd.withColumnsRenamed({"node": "a", "odd": "odd_a"}), "a").join(odd.withColumnsRenamed({"node": "b", "odd": "odd_b"}), "b")
@@ -257,7 +359,7 @@ def near_duplicates(
         labels = spread_labels(labels, found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         open_ = open_.filter(F.col("rank") > centres).select("key", "node")
-        centres *= 16
+        centres *= CENTRES
 
     of_class = classes.select("sequence", "node", F.struct("id", "row").alias("lowest")).join(labels, "node", "left")
     of_class = of_class.withColumn("comp", F.coalesce("comp", "node"))

@@ -13,6 +13,8 @@ import corpora as R
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from bazaarlens.functions.storage import materialise
+from bazaarlens.llm import neardup
 from bazaarlens.llm.arrays import pack, unpack
 from bazaarlens.llm.neardup import near_duplicates, spread_labels
 from bazaarlens.llm.substring import substring_dedup
@@ -179,3 +181,25 @@ def unlinked_copies(n: int, changes: int) -> list[tuple]:
 def test_copies_with_changes_of_their_own(spark, changes):
     rows = unlinked_copies(40, changes)
     assert rows_of(near_duplicates(R.documents(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == slow_near(rows, 3, 85)
+
+
+def test_copies_with_many_changes_of_their_own_are_not_all_compared(spark, monkeypatch):
+    pick, words = random.Random(8), R.sentence(150, 12).split()
+    rows = []
+    for i in range(240):  # some are linked to the text or to each other, and most to none, though each is near to most others
+        own = list(words[: 150 - 4 * (i % 3)])
+        for k in range(i % 9):
+            own[pick.randrange(len(own))] = f"own{i}x{k}" if i % 4 else f"same{k % 3}"
+        rows.append((i, " ".join(own), None, None, None))
+    pairs = []
+
+    def counted(df, name):
+        out = materialise(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    got = rows_of(near_duplicates(R.documents(spark, rows)), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == slow_near(rows, 3, 85)
+    assert sum(pairs) < 10 * len(rows)
