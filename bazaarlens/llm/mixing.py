@@ -36,6 +36,8 @@ CONTEXTS = len(ORDERS) + 1
 GATED = 3
 #: Bytes of text that are coded at once.
 CODED_BYTES = 1 << 19
+#: Rows of contexts whose odds are computed at once.
+ODDS_ROWS = 1 << 17
 #: Predictions are kept in sixteenths of a natural-log odds unit.
 SCALE = 16.0
 END = 0xFF  # no byte of UTF-8
@@ -161,32 +163,57 @@ def pair_counts(parts: Iterator[tuple[Coded, np.ndarray]]) -> tuple[np.ndarray,
 
     ``parts``: coded texts, and which of them are for training.
     """
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))]
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
     for coded, train in parts:
-        learned = train[coded.doc].astype(np.int64)
+        learned = train[coded.doc].astype(np.uint32)
         for k in range(CONTEXTS):
             pair = coded.pairs(k)
             order = np.argsort(pair)
-            pair = pair[order]
-            first = group_edges(pair)
+            first = group_edges(pair[order])
             one = order[first]
-            n = np.add.reduceat(learned[order], first) if len(first) else first
-            found.append((pair[first], coded.hashes[k][one], coded.symbols[one], n))
-    pair, context, symbol, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(pair, kind="stable")
-    first = group_edges(pair[order])
-    n = np.add.reduceat(n[order], first) if len(first) else n
-    one = order[first]
-    pair, context, symbol = pair[one], context[one], symbol[one]
+            n = np.add.reduceat(learned[order], first, dtype=np.uint32) if len(first) else first.astype(np.uint32)
+            found[k].append((coded.hashes[k][one], coded.symbols[one], n))
+    # one context after the other, so that what several texts share is held twice for one of them only
+    distinct = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))]
+    while found:
+        if own := found.pop():
+            context, symbol, n = (np.concatenate(x) for x in zip(*own, strict=True))
+            del own
+            pair = context ^ _MARKS[symbol]
+            order = np.argsort(pair, kind="stable")
+            first = group_edges(pair[order])
+            n = np.add.reduceat(n[order], first, dtype=np.uint32) if len(first) else n
+            one = order[first]
+            distinct.append((context[one], symbol[one], n))
+    context, symbol, n = (np.concatenate(x) for x in zip(*distinct, strict=True))
+    del distinct
     order = np.lexsort((symbol, context))
-    return context[order], symbol[order], n[order].astype(np.uint32), pair[order]
+    context, symbol, n = context[order], symbol[order], n[order]
+    return context, symbol, n, context ^ _MARKS[symbol]
 
 
 def corpus_odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
     """Log odds of branch 1 in steps of 1 / SCALE (0: never seen), of each decision of each row's byte.
 
-    A row says that the byte follows the context n times; rows of all that sent the context are summed.
+    A row says that the byte follows the context n times; rows of all that sent the context are summed. So many rows are
+    worked on at once, those of a context together.
     """
+    lengths = tree.lengths[symbol]
+    begin = np.cumsum(lengths, dtype=np.int64) - lengths
+    odds = np.empty(int(lengths.sum()), np.int8)
+    order = np.argsort(context, kind="stable")
+    a = 0
+    while a < len(order):
+        b = min(a + ODDS_ROWS, len(order))
+        # to the end of the last context
+        b = int(np.searchsorted(context, context[order[b - 1]], "right", sorter=order))
+        part = order[a:b]
+        odds[_runs(begin[part], lengths[part])] = _odds(context[part], symbol[part], n[part], tree)
+        a = b
+    return odds
+
+
+def _odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
     order = np.argsort(symbol, kind="stable")
     order = order[np.argsort(context[order], kind="stable")]
     c, s = context[order], symbol[order]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -90,3 +91,38 @@ def test_a_place_with_unseen_long_contexts_is_still_predicted():
     own = np.flatnonzero(coded.doc == 5)[1:2]  # the second letter of a word that training has not
     seen = (answers.odds[starts[:, own]] != 0).ravel().tolist()
     assert seen[0] and not any(seen[2:])
+
+
+def peak_bytes(work) -> int:
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_counts_and_odds_of_a_group_take_little_memory():
+    letters = np.random.default_rng(6)
+    pool = [" ".join("".join(map(chr, letters.integers(97, 123, 6))) for _ in range(2000)) for _ in range(20)]
+    texts = [f"{pool[i % 20]} {pool[(3 * i + 1) % 20]}" for i in range(60)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    train = np.arange(len(texts)) % 5 > 0
+    counts = lambda: M.pair_counts((c, train[a:b]) for a, b, c in M._coded(data, offsets, 1 << 17))
+    assert peak_bytes(counts) < 140 * len(data)
+    pick = np.random.default_rng(3)
+    context, symbol = pick.integers(0, 1 << 18, 1_000_000).astype(np.uint64), pick.integers(97, 107, 1_000_000).astype(np.uint8)
+    n = pick.integers(0, 9, len(context)).astype(np.uint32)
+    tree = M.Tree(np.bincount(data, minlength=256))
+    assert peak_bytes(lambda: M.corpus_odds(context, symbol, n, tree)) < 160 * len(context)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_odds_do_not_depend_on_the_rows_worked_on_at_once(monkeypatch, rows):
+    pick = np.random.default_rng(4)
+    context, symbol = pick.integers(0, 60, 500).astype(np.uint64), pick.integers(97, 107, 500).astype(np.uint8)
+    n = pick.integers(0, 9, 500).astype(np.uint32)
+    tree = M.Tree(np.bincount(symbol, minlength=256))
+    expected = M.corpus_odds(context, symbol, n, tree)
+    monkeypatch.setattr(M, "ODDS_ROWS", rows)
+    assert M.corpus_odds(context, symbol, n, tree).tolist() == expected.tolist()
