@@ -7,10 +7,13 @@ bytes that follow the context in all training documents. The predictions are add
 a gate selects, namely how many of the three longest contexts have been seen; the weights start alike for every document and
 are refined online after every few bytes of it, to its end.
 
-The model grows with the corpus: a context is known by a 64-bit hash, of which no two of the last bytes collide. Groups of
-documents send their distinct contexts, each with the bytes that follow it, to hash ranges and get back the log odds of
-these decisions in the corpus, and the counts of their words for the base score. No table of contexts goes through the
-driver or to all tasks.
+The model grows with the corpus: the last bytes are counted as numbers, without a hash, and the word so far by a 64-bit hash.
+Groups of documents send their distinct contexts, each with the bytes that follow it, to hash ranges and get back the log
+odds of these decisions in the corpus, and the counts of their words for the base score. No table of contexts goes through
+the driver or to all tasks, and none is written: a group works out the pairs it sent again when their odds come back.
+
+A group sorts each place's last six bytes and symbol once; the pairs of shorter contexts are those of the distinct longer
+ones, and the pairs of words those of its distinct words.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.functions.storage import materialise
 from bazaarlens.llm import groups as G
 from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
 from bazaarlens.llm.naming import names_apart
@@ -32,11 +35,14 @@ from bazaarlens.llm.naming import names_apart
 #: Bytes of the contexts beside the word so far, which comes last.
 ORDERS = (1, 2, 3, 4, 6)
 CONTEXTS = len(ORDERS) + 1
+#: A decision's odds of all contexts, its branch and what fills them up.
+WIDE = 8
 #: The gate counts which of so many last contexts have been seen.
 GATED = 3
 #: Bytes of text that are coded at once.
 CODED_BYTES = 1 << 19
-#: Rows of contexts whose odds are computed at once.
+#: Places whose pairs are sorted at once, and rows of contexts whose odds are computed or laid out at once.
+SORTED_PLACES = 1 << 25
 ODDS_ROWS = 1 << 17
 #: Predictions are kept in sixteenths of a natural-log odds unit.
 SCALE = 16.0
@@ -54,24 +60,31 @@ START_WEIGHTS = np.array(
 
 
 _MARKS = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE = np.uint64(8)
+_ORDER_AT = np.uint64(56)
+_GRAM = np.uint64((1 << 56) - 1)
 
 
 class Coded:
     """Texts as bytes to predict.
 
     ``bytes``: every text's coded bytes behind PAD zeros; ``at``: places to predict; ``doc``: the text of each;
-    ``place``: its number within the text; ``symbols``: the bytes there; ``hashes``: of each place's contexts, one row each.
+    ``symbols``: the bytes there; ``grams``: the PAD bytes before and the symbol, as one number. Units are words with their
+    space, and end signs: ``first``: their first places (numbers in ``at``); ``lengths``; ``unit_doc``; ``units``: hashes.
     """
 
     def __init__(self, words: Words):
         rows = len(words.counts)
         lengths = words.ends - words.starts
-        size = np.bincount(words.doc, lengths + 1, rows).astype(np.int64) + 1
+        self.size = size = np.bincount(words.doc, lengths + 1, rows).astype(np.int64) + 1
         base = np.cumsum(size + PAD) - size - PAD
         total = int((size + PAD).sum())
-        before = np.cumsum(lengths + 1) - (lengths + 1)
-        per_doc = np.r_[0, np.cumsum(size - 1)]
-        start = before - per_doc[words.doc] + base[words.doc] + PAD
+        unit = np.arange(len(lengths)) + words.doc
+        self.lengths = np.ones(len(lengths) + rows, np.int64)
+        self.lengths[unit] += lengths
+        self.unit_doc = np.repeat(np.arange(rows), words.counts + 1)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.begins = self.first + PAD * (self.unit_doc + 1)
         out = np.full(total, 32, np.uint8)
         coded = np.ones(total, bool)
         pads = (base[:, None] + np.arange(PAD)).ravel()
@@ -81,30 +94,46 @@ class Coded:
         out[ends] = END
         body = coded.copy()
         body[ends] = False
-        body[start + lengths] = False
+        body[self.begins[unit] + lengths] = False
         out[body] = words.data[words.inside]
         self.bytes = out
-        self.at = np.flatnonzero(coded)
-        self.doc = np.repeat(np.arange(rows), size)
-        self.place = np.arange(len(self.at)) - np.repeat(np.cumsum(size) - size, size)
-        # where the word of each place begins; the end sign is a word of its own
-        heads = np.zeros(total, np.int64)
-        heads[start] = start
-        heads[ends] = ends
-        heads[base] = base
-        heads = np.maximum.accumulate(heads)[self.at]
-        recent = np.zeros(total, np.uint64)
-        self.hashes = np.empty((CONTEXTS, len(self.at)), np.uint64)
-        for k in range(1, PAD + 1):
-            recent[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * (k - 1))
-            if k in ORDERS:
-                self.hashes[ORDERS.index(k)] = mix(recent[self.at] + (np.uint64(k) << np.uint64(56)))
-        self.hashes[-1] = byte_sums(out).runs(heads, self.at)
-        self.symbols = out[self.at]
+        self.coded = coded
+        self.symbols = out[coded]
+        self.sums = byte_sums(out)
+        self.units = self.sums.runs(self.begins, self.begins + self.lengths)
+        # the last byte, two, four and all, each from the one before
+        gram = out.astype(np.uint64)
+        for k in (1, 2, 4):
+            gram[k:] |= gram[:-k] << np.uint64(8 * k)
+        gram = gram[coded]
+        gram &= _GRAM
+        self.grams = gram
+
+    @property
+    def at(self) -> np.ndarray:
+        return np.flatnonzero(self.coded)
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
 
     def pairs(self, k: int) -> np.ndarray:
         """A hash of each place's k-th context with the byte there."""
-        return self.hashes[k] ^ _MARKS[self.symbols]
+        if k < len(ORDERS):
+            context = gram_contexts(tagged(self.grams, ORDERS[k]))
+        else:
+            context = self.sums.runs(np.repeat(self.begins, self.lengths), self.at)
+        return context ^ _MARKS[self.symbols]
+
+
+def tagged(grams: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes of the context and the symbol, under their number."""
+    return grams & np.uint64((1 << 8 * (order + 1)) - 1) | np.uint64(order) << _ORDER_AT
+
+
+def gram_contexts(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts of tagged grams, of which no two are alike."""
+    return mix(grams >> _BYTE)
 
 
 def _coded(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int, Coded]]:
@@ -147,9 +176,15 @@ def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
             data, offsets = text_buffers(batch.column(0))
             total[END] += batch.num_rows
             for a, b in slices(offsets):
-                words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
-                total += np.bincount(words.data[words.inside], minlength=256)
-                total[32] += len(words.starts)
+                part, at = data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
+                if len(part):
+                    inside = ~WHITE[part]
+                    begins = np.r_[True, ~inside[:-1]]
+                    begins[at[at < len(part)]] = True
+                    seen = np.bincount(part, minlength=256)
+                    seen[WHITE] = 0
+                    total += np.bincount(LOWER, seen, 256).astype(np.int64)
+                    total[32] += np.count_nonzero(inside & begins)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["s", "n"])
 
     out = np.zeros(256, np.int64)
@@ -158,38 +193,116 @@ def byte_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
+def _edges_of(first: np.ndarray, rows: int) -> np.ndarray:
+    """For each row of sorted keys, the number of the group it stands in."""
+    return np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, rows]))
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums, and where each key stands among them."""
+    order = np.argsort(key)
+    key = key[order]
+    first = group_edges(key)
+    back = np.empty(len(order), np.int32)
+    back[order] = _edges_of(first, len(order))
+    return key[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else n, back
+
+
+class Pairs:
+    """The distinct pairs of context and byte in some texts, with their counts in the training texts.
+
+    ``grams``: tagged, by order and number, and ``edges``: where each order begins; ``up``: for each order but the last,
+    where the grams of the next order have theirs. Then the pairs of the distinct units, by the context's hash: ``contexts``
+    and ``symbols``; ``units``: hashes of the distinct units, rising, ``often``: their counts, ``unit_first``: their first
+    places in ``unit_pairs``, the pair of each place of a unit. ``times``: counts of the grams, then of the units' pairs.
+    """
+
+    def __init__(self, parts: Iterator[tuple[Coded, np.ndarray]]):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[np.ndarray] = []
+        hashes, often, lengths, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+        for coded, train in parts:
+            places = coded.grams << np.uint64(1)
+            places |= np.repeat(train.astype(np.uint64), coded.size)
+            if sum(map(len, waiting)) + len(places) > SORTED_PLACES:
+                found.append(self._distinct(waiting))
+            waiting.append(places)
+            hashes.append(coded.units)
+            often.append(train[coded.unit_doc])
+            lengths.append(coded.lengths.astype(np.int32))
+            bodies.append(coded.bytes[coded.coded])
+        del parts
+        found.append(self._distinct(waiting))
+        hash_, bytes_ = np.concatenate(hashes), np.concatenate(bodies)
+        del hashes, bodies
+        order = np.argsort(hash_)
+        hash_ = hash_[order]
+        first = group_edges(hash_)
+        self.units = hash_[first]
+        del hash_
+        train = np.concatenate(often)[order]
+        self.often = np.add.reduceat(train, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
+        one, lengths = order[first], np.concatenate(lengths)
+        begins = np.cumsum(lengths, dtype=np.int64) - lengths
+        begins, lengths = begins[one], lengths[one].astype(np.int64)
+        bytes_ = bytes_[_runs(begins, lengths)]
+        del order, train, often, one, begins
+        self.unit_first = np.cumsum(lengths) - lengths
+        at = np.arange(len(bytes_))
+        context = byte_sums(bytes_).runs(np.repeat(self.unit_first, lengths), at)
+        pair, times, back = _summed(context ^ _MARKS[bytes_], np.repeat(self.often, lengths))
+        one = np.empty(len(pair), np.int64)
+        one[back] = at
+        del at, pair
+        order = np.argsort(context[one])
+        self.contexts, self.symbols, word_times = context[one][order], bytes_[one][order], times[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.unit_pairs = place[back]
+        del context, bytes_, back, one
+        key, n = found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))[:2]
+        del found
+        grams, counts, self.up = [tagged(key, ORDERS[-1])], [n], []
+        for k in ORDERS[-2::-1]:
+            key, n, back = _summed(tagged(grams[0], k), counts[0])
+            grams.insert(0, key)
+            counts.insert(0, n)
+            self.up.insert(0, back)
+        self.edges = np.cumsum([0, *map(len, grams)])
+        self.grams, self.times = np.concatenate(grams), np.concatenate([*counts, word_times])
+
+    @staticmethod
+    def _distinct(waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of the places that wait, marked by whether they train, and how many train."""
+        all_, end = np.empty(sum(map(len, waiting)), np.uint64), 0
+        while waiting:
+            part = waiting.pop()
+            all_[end : (end := end + len(part))] = part
+        all_.sort()
+        at = group_edges(all_)
+        n = np.diff(np.r_[at, len(all_)])
+        key = all_[at]
+        n = np.where(key & np.uint64(1), n, 0).astype(np.uint32)
+        key >>= np.uint64(1)
+        first = group_edges(key)
+        return key[first], np.add.reduceat(n, first, dtype=np.uint32) if len(first) else n
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Context and byte of all pairs, grams before those of the units."""
+        return (
+            np.concatenate([gram_contexts(self.grams), self.contexts]),
+            np.concatenate([self.grams.astype(np.uint8), self.symbols]),
+        )
+
+
 def pair_counts(parts: Iterator[tuple[Coded, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Context, byte, count in training, and hash of the distinct pairs of some texts, by context and byte.
+    """Context, byte, count in training, and hash of the distinct pairs of some texts.
 
     ``parts``: coded texts, and which of them are for training.
     """
-    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-    for coded, train in parts:
-        learned = train[coded.doc].astype(np.uint32)
-        for k in range(CONTEXTS):
-            pair = coded.pairs(k)
-            order = np.argsort(pair)
-            first = group_edges(pair[order])
-            one = order[first]
-            n = np.add.reduceat(learned[order], first, dtype=np.uint32) if len(first) else first.astype(np.uint32)
-            found[k].append((coded.hashes[k][one], coded.symbols[one], n))
-    # one context after the other, so that what several texts share is held twice for one of them only
-    distinct = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))]
-    while found:
-        if own := found.pop():
-            context, symbol, n = (np.concatenate(x) for x in zip(*own, strict=True))
-            del own
-            pair = context ^ _MARKS[symbol]
-            order = np.argsort(pair, kind="stable")
-            first = group_edges(pair[order])
-            n = np.add.reduceat(n[order], first, dtype=np.uint32) if len(first) else n
-            one = order[first]
-            distinct.append((context[one], symbol[one], n))
-    context, symbol, n = (np.concatenate(x) for x in zip(*distinct, strict=True))
-    del distinct
-    order = np.lexsort((symbol, context))
-    context, symbol, n = context[order], symbol[order], n[order]
-    return context, symbol, n, context ^ _MARKS[symbol]
+    pairs = Pairs(parts)
+    context, symbol = pairs.rows()
+    return context, symbol, pairs.times, context ^ _MARKS[symbol]
 
 
 def corpus_odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
@@ -198,37 +311,43 @@ def corpus_odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tr
     A row says that the byte follows the context n times; rows of all that sent the context are summed. So many rows are
     worked on at once, those of a context together.
     """
-    lengths = tree.lengths[symbol]
-    begin = np.cumsum(lengths, dtype=np.int64) - lengths
-    odds = np.empty(int(lengths.sum()), np.int8)
-    order = np.argsort(context, kind="stable")
-    a = 0
+    order = np.argsort(context)
+    start, parts, size, a = np.empty(len(order), np.int64), [np.zeros(0, np.int8)], 0, 0
     while a < len(order):
         b = min(a + ODDS_ROWS, len(order))
         # to the end of the last context
         b = int(np.searchsorted(context, context[order[b - 1]], "right", sorter=order))
         part = order[a:b]
-        odds[_runs(begin[part], lengths[part])] = _odds(context[part], symbol[part], n[part], tree)
+        odds, begin = _odds(context[part], symbol[part], n[part], tree)
+        start[part] = begin + size
+        parts.append(odds)
+        size += len(odds)
         a = b
-    return odds
+    del order
+    found, parts = np.concatenate(parts), []
+    for a in range(0, len(start), ODDS_ROWS):
+        parts.append(found.take(_runs(start[a : a + ODDS_ROWS], tree.lengths[symbol[a : a + ODDS_ROWS]]), mode="clip"))
+    return np.concatenate([np.zeros(0, np.int8), *parts])
+
 
+def _sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Small keys in order, and where each stood, those of equal ones rising."""
+    bits = np.uint64(max(1, int(len(key)).bit_length()))
+    both = np.sort(key.astype(np.uint64) << bits | np.arange(len(key), dtype=np.uint64))
+    return both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
-def _odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
-    order = np.argsort(symbol, kind="stable")
-    order = order[np.argsort(context[order], kind="stable")]
-    c, s = context[order], symbol[order]
-    first = group_edges(c, s)
+
+def _odds(c: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """The odds of the distinct pairs in rows sorted by context, and where those of each row begin."""
+    key, order = _sorted_places(np.cumsum(np.r_[False, c[1:] != c[:-1]]) << 8 | symbol)
+    first = group_edges(key)
     back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-    total = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    c, s = c[first], s[first]
-    number = np.cumsum(np.r_[False, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-    steps, inner = tree.steps(s)
-    key = np.repeat(number << 8, steps) + tree.nodes[inner]
-    by_key = np.argsort(key)
-    edges = group_edges(key[by_key])
-    if not len(edges):
-        return np.zeros(0, np.int8)
+    back[order] = _edges_of(first, len(order))
+    total = np.add.reduceat(n[order].astype(np.int64), first)
+    key = key[first]
+    steps, inner = tree.steps(key.astype(np.uint8))
+    key, by_key = _sorted_places(np.repeat(key >> _BYTE << _BYTE, steps) | tree.nodes[inner].astype(np.uint64))
+    edges = group_edges(key)
     times = np.repeat(total, steps)[by_key]
     both = np.add.reduceat(times, edges)
     ones = np.add.reduceat(np.where(tree.signs[inner[by_key]] > 0, times, 0), edges)
@@ -237,7 +356,7 @@ def _odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) ->
     z = np.clip(np.rint(np.where(both > 0, z, 0)), -127, 127).astype(np.int8)
     odds = np.empty(len(key), np.int8)
     odds[by_key] = np.repeat(z, np.diff(np.r_[edges, len(key)]))
-    return odds[_runs(np.cumsum(steps, dtype=np.int64)[back] - steps[back], steps[back])]
+    return odds, (np.cumsum(steps, dtype=np.int64) - steps)[back]
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -247,61 +366,142 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Answers:
-    """The odds of a group's pairs, as the hash ranges have answered them."""
+    """The odds of a group's pairs, as the hash ranges have answered them; ``start``: where those of each pair begin."""
 
     def __init__(self, symbol: np.ndarray, pair: np.ndarray, odds: np.ndarray, tree: Tree):
         lengths = tree.lengths[symbol].astype(np.int64)
-        order = np.argsort(pair)
-        self.pair, self.start, self.odds = pair[order], (np.cumsum(lengths) - lengths)[order], odds
+        self.pair, self.start, self.odds = pair, np.cumsum(lengths) - lengths, odds
 
     def starts(self, pair: np.ndarray) -> np.ndarray:
         """Where the odds of each pair begin."""
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = group_edges(pair)
-        found = self.start[np.searchsorted(self.pair, pair[first])]
-        out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(found, np.diff(np.r_[first, len(order)]))
-        return out
-
+        order = np.argsort(self.pair)
+        return self.start[order[np.searchsorted(self.pair, pair, sorter=order)]]
+
+
+class Places:
+    """Where numbers stand in an array of distinct ones, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.last = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        row, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(row):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = row[free]
+            lost = self.slots[at] != row
+            row, at = row[lost], (at[lost] + 1) & self.last
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, all of which must be there."""
+        at = self._home(keys)
+        found = self.slots.take(at, mode="clip")
+        wrong = np.flatnonzero(self.keys.take(found, mode="clip") != keys)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.last
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != keys[wrong]]
+        return found
+
+
+class Table:
+    """The answers by place: for each gram the odds of all orders side by side, for each place of a unit its odds.
+
+    ``rows``: WIDE bytes for each decision of each gram, namely the odds by order, a free one, the branch taken (1, -1), and
+    a free one; ``gram``: 4 * its first row + how many of the gated orders have been seen; ``word``: 2 * where the odds
+    begin + whether the context has been seen.
+    """
 
-def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers) -> np.ndarray:
+    def __init__(self, pairs: Pairs, start: np.ndarray, odds: np.ndarray, tree: Tree):
+        self.odds, self.unit_first = odds, pairs.unit_first
+        last, words = pairs.edges[-2], pairs.edges[-1]
+        self.grams, self.units = Places(pairs.grams[last:]), Places(pairs.units)
+        # every path begins at the root: a context that has been seen has odds there
+        word = start[words:]
+        self.word = (word << 1 | (odds[word] != 0))[pairs.unit_pairs]
+        symbol = pairs.grams[last:].astype(np.uint8)
+        steps = tree.lengths[symbol].astype(np.int64)
+        begin = np.cumsum(steps) - steps
+        self.rows = np.zeros(int(steps.sum()), np.uint64)
+        view = self.rows.view(np.int8).reshape(-1, WIDE)
+        seen = np.zeros(len(symbol), np.int64)
+        for a in range(0, len(symbol), ODDS_ROWS):
+            b = min(a + ODDS_ROWS, len(symbol))
+            own, row = steps[a:b], np.arange(a, b)
+            i, j = int(begin[a]), int(begin[b - 1] + own[-1])
+            step = np.arange(i, j) - np.repeat(begin[a:b], own)
+            view[i:j, CONTEXTS] = tree.signs[np.repeat(tree.starts[symbol[a:b]], own) + step]
+            for k in range(len(ORDERS) - 1, -1, -1):
+                row = row if k == len(ORDERS) - 1 else pairs.up[k][row]
+                from_ = start[pairs.edges[k] + row]
+                view[i:j, k] = odds[np.repeat(from_, own) + step]
+                if k >= CONTEXTS - GATED:
+                    seen[a:b] += odds[from_] != 0
+        self.gram = begin << 2 | seen
+
+
+def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers | Table) -> np.ndarray:
     """Natural-log cost of each text."""
     gates = GATED + 1
-    weights = np.tile(START_WEIGHTS, (rows, 1))
+    weights = np.zeros((rows * gates, WIDE), np.float32)
+    weights[:, :CONTEXTS] = np.tile(START_WEIGHTS / np.float32(SCALE), (rows, 1))
     cost = np.zeros(rows)
-    if not len(coded.at):
+    if not rows:
         return cost
-    starts = np.stack([answers.starts(coded.pairs(k)) for k in range(CONTEXTS)])
-    # every path begins at the root: a context that has been seen has odds there
-    gate = (answers.odds[starts[-GATED:]] != 0).sum(axis=0)
-    group, chunk = coded.doc * gates + gate, coded.place // UPDATE_BYTES
-    order = np.lexsort((group, chunk))
-    group, chunk, starts = group[order], chunk[order], starts[:, order]
+    if isinstance(answers, Answers):
+        pairs = Pairs([(coded, np.zeros(rows, bool))])
+        context, symbol = pairs.rows()
+        answers = Table(pairs, answers.starts(context ^ _MARKS[symbol]), answers.odds, tree)
+    gram = answers.gram.take(answers.grams.of(tagged(coded.grams, PAD)), mode="clip")
+    unit = np.repeat(answers.unit_first[answers.units.of(coded.units)] - coded.first, coded.lengths)
+    unit += np.arange(len(unit))
+    word = answers.word.take(unit, mode="clip")
+    gate = (gram & 3) + (word & 1)
+    # chunks of UPDATE_BYTES places, in the order in which they are worked on: the first ones of all texts, then the second
+    chunks = -(-coded.size // UPDATE_BYTES)
+    before = np.cumsum(chunks) - chunks
+    chunk_doc = np.repeat(np.arange(rows), chunks)
+    chunk = np.arange(len(chunk_doc)) - before[chunk_doc]
+    places = np.full(len(chunk), UPDATE_BYTES)
+    places[before + chunks - 1] = coded.size - (chunks - 1) * UPDATE_BYTES
+    by_chunk = np.argsort(chunk, kind="stable")
+    rank = np.empty(len(chunk), np.int64)
+    rank[by_chunk] = np.arange(len(chunk))
     # places of a text and gate in a chunk stand together: they share their weights
-    first = group_edges(chunk, group)
-    which = group[first]
-    steps, inner = tree.steps(coded.symbols[order])
+    key, order = _sorted_places(np.repeat(rank, places) * gates + gate)
+    first = group_edges(key)
+    which = key[first].astype(np.int64)
+    chunk, which = chunk[by_chunk[which // gates]], chunk_doc[by_chunk[which // gates]] * gates + which % gates
+    del key, unit, gate
+    gram, word = gram[order] >> 2, word[order] >> 1
+    steps = tree.lengths[coded.symbols[order]]
     begin = np.cumsum(steps, dtype=np.int64) - steps
-    inputs = np.empty((len(inner), CONTEXTS), np.int8)
-    for k in range(CONTEXTS):
-        inputs[:, k] = answers.odds[_runs(starts[k], steps)]
-    sign = tree.signs[inner]
-    begin = np.r_[begin[first], len(inner)]
-    cuts = np.searchsorted(chunk[first], np.arange(int(chunk[-1]) + 2))
+    at = _runs(gram, steps)
+    inputs = answers.rows.take(at, mode="clip").view(np.int8).reshape(-1, WIDE)
+    at += np.repeat(word - gram, steps)
+    inputs[:, CONTEXTS - 1] = answers.odds.take(at, mode="clip")
+    signs = inputs[:, CONTEXTS].astype(np.float32)
+    inputs[:, CONTEXTS] = 0
+    begin = np.r_[begin[first], len(at)]
+    del at, gram, word, steps, order
+    cuts = np.searchsorted(chunk, np.arange(int(chunk[-1]) + 2))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         i, j = begin[a], begin[b]
         own, lengths, at = which[a:b], np.diff(begin[a : b + 1]), begin[a:b] - i
-        x = inputs[i:j] * np.float32(1 / SCALE)
+        x, sign = inputs[i:j].astype(np.float32), signs[i:j]
         z = np.einsum("ij,ij->i", x, np.repeat(weights[own], lengths, axis=0))
-        z *= sign[i:j]
+        z *= sign
         np.clip(z, -12, 12, out=z)
         odds = np.exp(-z)
         np.add.at(cost, own // gates, np.add.reduceat(np.log1p(odds), at))
         odds /= 1 + odds
-        odds *= sign[i:j]
-        x *= odds[:, None]
-        weights[own] += np.float32(RATE) * np.add.reduceat(x, at, axis=0)
+        odds *= sign
+        x *= np.repeat(odds, WIDE).reshape(-1, WIDE)
+        # the inputs are SCALE times the predictions, and so are these sums; the weights are one SCALE-th
+        weights[own] += np.float32(RATE / SCALE / SCALE) * np.add.reduceat(x, at, axis=0)
     return cost
 
 
@@ -315,85 +515,83 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     """
     marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)))
     tree = Tree(byte_counts(marked.filter("__train"), text_col))
-    n = G.group_count(docs, text_col)
+    n = G.group_count(docs, text_col, 1)
     texts = G.in_groups(marked, id_col, text_col, n)
-    added = "n_tokens long, n_known long, base_log double, score double, n_bytes long"
+    added = "n_tokens long, n_known long, score double, n_bytes long, train_tokens long, base_score double"
     names = [x.split()[0] for x in added.split(", ")]
-    columns = [f for f in docs.schema.fields if f.name not in {text_col, "train_tokens", "base_score", *names}]
-
-    def distinct(table_: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the group's words and how often they stand in its training documents."""
-        train, found, often = table_["__train"].to_numpy(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        data, offsets = text_buffers(table_[G.TEXT])
-        for a, b in slices(offsets):
-            words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
-            h, back = np.unique(words.hashes(), return_inverse=True)
-            found.append(h)
-            often.append(np.bincount(back, train[a:b][words.doc], len(h)).astype(np.int64))
-        h, often = np.concatenate(found), np.concatenate(often)
-        order = np.argsort(h, kind="stable")
-        h, often = h[order], often[order]
-        first = group_edges(h)
-        return h[first], (np.add.reduceat(often, first) if len(first) else often)
-
-    def contexts(table_: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    columns = [f for f in docs.schema.fields if f.name not in {text_col, *names}]
+
+    def contexts(table_: pa.Table) -> tuple[Pairs, np.ndarray, np.ndarray]:
+        """The group's pairs, and its grams by the hash range of their context: in what order, and where each begins."""
         train = table_["__train"].to_numpy()
-        return pair_counts((coded, train[a:b]) for a, b, coded in _coded(*text_buffers(table_[G.TEXT]), CODED_BYTES))
+        pairs = Pairs((coded, train[a:b]) for a, b, coded in _coded(*text_buffers(table_[G.TEXT]), CODED_BYTES))
+        to = (gram_contexts(pairs.grams) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        to = to.astype(np.uint16 if n < 1 << 16 else np.uint32)
+        return pairs, np.argsort(to, kind="stable"), np.cumsum(np.r_[0, np.bincount(to, minlength=n)])
 
     def send(table_: pa.Table) -> pa.Table:
-        h, often = distinct(table_)
-        context, symbol, times, _ = contexts(table_)
-        words_at, pairs_at = G.ranges(h, n, 64).tolist(), G.ranges(context, n, 64).tolist()
-        origin, rows = table_[G.GROUP][0].as_py(), []
+        pairs, order, grams_at = contexts(table_)
+        units_at, words_at = G.ranges(pairs.units, n, 64), G.ranges(pairs.contexts, n, 64)
+        origin, rows, word_times = table_[G.GROUP][0].as_py(), [], pairs.times[len(pairs.grams) :]
         for i in range(n):
-            a, b, x, y = *words_at[i : i + 2], *pairs_at[i : i + 2]
-            if b > a or y > x:
-                rows.append((i, origin, pack(h[a:b], often[a:b].astype(np.uint32), context[x:y], symbol[x:y], times[x:y])))
+            (a, b), (v, w), own = units_at[i : i + 2], words_at[i : i + 2], order[grams_at[i] : grams_at[i + 1]]
+            if b > a or w > v or len(own):
+                body = pairs.units[a:b], pairs.often[a:b], pairs.grams[own], pairs.times[own], pairs.contexts[v:w], pairs.symbols[v:w], word_times[v:w]
+                rows.append((i, origin, pack(*body)))
         return G.messages(rows)
 
     def total(table_: pa.Table) -> pa.Table:
+        """Counts of units and odds of pairs, to each group its own, and the sums of all counts to every group."""
         parts = [unpack(x.as_py()) for x in table_["body"]]
-        h, often, context, symbol, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at, pair_at = (np.r_[0, np.cumsum([len(p[i]) for p in parts])] for i in (0, 2))
-        word, back = np.unique(h, return_inverse=True)
-        all_ = np.bincount(back, often, len(word)).astype(np.int64)
-        odds = corpus_odds(context, symbol, times, tree)
-        odds_at = np.r_[0, np.cumsum(tree.lengths[symbol], dtype=np.int64)][pair_at]
+        units_at, grams_at, words_at = (np.cumsum([0, *(len(p[i]) for p in parts)]) for i in (0, 2, 4))
+        h, often, grams, times, context, symbol, word_times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        _, all_, back = _summed(h, often.astype(np.int64))
+        symbol, middle = np.concatenate([grams.astype(np.uint8), symbol]), len(grams)
+        odds = corpus_odds(np.concatenate([gram_contexts(grams), context]), symbol, np.concatenate([times, word_times]), tree)
+        at = np.r_[0, np.cumsum(tree.lengths[symbol], dtype=np.int64)]
+        grams_at, words_at = at[grams_at], at[middle + words_at]
+        sums = np.array([all_.sum(), (all_ > 0).sum()])
         me, rows = table_["to"][0].as_py(), []
-        for i, g in enumerate(table_["origin"].to_pylist()):
-            x, y = at[i], at[i + 1]
-            rows.append((g, me, pack(h[x:y], all_[back[x:y]], odds[odds_at[i] : odds_at[i + 1]])))
-        return G.messages([*rows, (-1, me, pack(np.array([all_.sum(), (all_ > 0).sum()])))])
-
-    answered = materialise(G.compare(G.send(texts, send), total), "answers")
-    sums = np.zeros(2, np.int64)
-    for r in answered.filter("to = -1").select("body").toLocalIterator():
-        sums += unpack(bytes(r["body"]))[0]
-    ends = marked.filter("__train").count()
-    tokens, vocabulary = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
-    end_log = float(np.log10(ends + 0.5))
+        place = {g: i for i, g in enumerate(table_["origin"].to_pylist())}
+        for g in range(n):
+            if (i := place.get(g)) is None:
+                rows.append((g, me, pack(all_[:0], odds[:0], odds[:0], sums)))
+            else:
+                (a, b), (v, w), (x, y) = units_at[i : i + 2], grams_at[i : i + 2], words_at[i : i + 2]
+                rows.append((g, me, pack(all_[back[a:b]], odds[v:w], odds[x:y], sums)))
+        return G.messages(rows)
 
     def both(table_: pa.Table, answer: pa.Table) -> pa.Table:
+        # texts of like lengths are mixed together, all to their ends
+        table_ = table_.take(np.argsort(pc.fill_null(pc.binary_length(table_[G.TEXT]), 0).to_numpy(), kind="stable"))
         parts = [unpack(x.as_py()) for x in answer["body"].take(np.argsort(answer["origin"].to_numpy()))]
-        h, c, odds = (np.concatenate([np.zeros(0, kind), *(p[i] for p in parts)]) for i, kind in enumerate((np.uint64, np.int64, np.int8)))
-        _, symbol, _, pair = contexts(table_)
-        answers = Answers(symbol, pair, odds, tree)
-        logs = np.log10(c + 0.5)
-        data, offsets = text_buffers(table_[G.TEXT])
-        out = {k: [np.zeros(0, np.int64 if k[0] == "n" else float)] for k in names}
-        for a, b in slices(offsets, CODED_BYTES):
-            words = Words(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], WHITE)
-            at = np.searchsorted(h, words.hashes())
-            coded = Coded(words)
-            out["n_tokens"].append(words.counts + 1)
-            out["n_known"].append(np.bincount(words.doc[c[at] > 0], minlength=b - a) + (ends > 0))
-            out["base_log"].append(np.bincount(words.doc, logs[at], b - a) + end_log)
-            out["score"].append(-mixed_cost(coded, b - a, tree, answers) / np.log(10))
-            out["n_bytes"].append(np.bincount(coded.doc, minlength=b - a))
+        c, gram_odds, word_odds = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        tokens, vocabulary = np.sum([p[3] for p in parts], axis=0).tolist()
+        del parts
+        pairs, order, _ = contexts(table_)
+        context, symbol = pairs.rows()
+        moved = np.r_[order, np.arange(len(order), len(symbol))]
+        answers = Answers(symbol[moved], context[moved] ^ _MARKS[symbol[moved]], np.concatenate([gram_odds, word_odds]), tree)
+        start = np.empty(len(moved), np.int64)
+        start[moved] = answers.start
+        odds = answers.odds
+        del gram_odds, word_odds, context, symbol, moved, order, answers
+        table = Table(pairs, start, odds, tree)
+        del pairs, start
+        logs, each = np.log10(c + 0.5), float(np.log10(tokens + 0.5 * (vocabulary + 1)))
+        out = {k: [] for k in names}
+        for a, b, coded in _coded(*text_buffers(table_[G.TEXT]), CODED_BYTES):
+            at, rows = table.units.of(coded.units), b - a
+            n_tokens = np.bincount(coded.unit_doc, minlength=rows)
+            out["n_tokens"].append(n_tokens)
+            out["n_known"].append(np.bincount(coded.unit_doc[c[at] > 0], minlength=rows))
+            out["score"].append(-mixed_cost(coded, rows, tree, table) / np.log(10))
+            out["n_bytes"].append(coded.size)
+            out["train_tokens"].append(np.full(rows, tokens))
+            out["base_score"].append(np.bincount(coded.unit_doc, logs[at], rows) - n_tokens * each)
         arrays = [table_[f.name] for f in columns] + [pa.array(np.concatenate(out[k])) for k in names]
         return pa.table(arrays, names=[*(f.name for f in columns), *names])
 
     schema = T.StructType([*columns, *T._parse_datatype_string(added)])
-    scored = G.receive(texts, answered.filter("to >= 0"), both, schema)
-    base = F.col("base_log") - F.col("n_tokens") * float(np.log10(tokens + 0.5 * (vocabulary + 1)))
-    return scored.withColumns({"train_tokens": F.lit(tokens).cast("long"), "base_score": base}).drop("base_log")
+    return G.receive(texts, G.compare(G.send(texts, send), total), both, schema)

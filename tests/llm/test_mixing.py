@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import corpora as R
 
+from bazaarlens.functions import storage
 from bazaarlens.llm import mixing as M
 
 
@@ -126,3 +127,31 @@ def test_odds_do_not_depend_on_the_rows_worked_on_at_once(monkeypatch, rows):
     expected = M.corpus_odds(context, symbol, n, tree)
     monkeypatch.setattr(M, "ODDS_ROWS", rows)
     assert M.corpus_odds(context, symbol, n, tree).tolist() == expected.tolist()
+
+
+def test_distinct_pairs_of_a_group_have_the_counts_of_plain_python(monkeypatch):
+    texts = [R.sentence(30, i % 4) + (" naïve 日本 ab" if i % 3 else " ab") for i in range(12)] + ["", " \t"]
+    train = np.arange(len(texts)) % 4 > 0
+    expected = Counter()
+    for text, learned in zip(texts, train.tolist(), strict=True):
+        for symbol, contexts in slow_contexts(coded_bytes(text)):
+            expected.update({(c, symbol): int(learned) for c in contexts})
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    results = []
+    for places in (1, 500, 1 << 25):
+        monkeypatch.setattr(M, "SORTED_PLACES", places)
+        context, symbol, n, pair = M.pair_counts((c, train[a:b]) for a, b, c in M._coded(data, offsets, 300))
+        assert len(np.unique(pair)) == len(pair)
+        results.append(sorted(zip(context.tolist(), symbol.tolist(), n.tolist(), strict=True)))
+    assert results[0] == results[1] == results[2]
+    assert sorted((s, n) for _, s, n in results[0]) == sorted((s, n) for (_, s), n in expected.items())
+
+
+def test_answers_are_not_written_and_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, R.sentence(40, i)) for i in range(50)], "doc_id long, text string")
+    scored = M.score(docs, docs["doc_id"] % 5 != 1)
+    assert len(scored.collect()) == 50
+    assert not list(tmp_path.iterdir())
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
