@@ -39,10 +39,10 @@ MESSAGE = T.StructType(
 MESSAGE_ARROW = pa.schema([("to", pa.int32()), ("origin", pa.int32()), ("body", pa.binary())])
 
 
-def group_count(docs: DataFrame, text_col: str, per_task: int = GROUPS_PER_TASK) -> int:
+def group_count(docs: DataFrame, text_col: str, per_task: int = GROUPS_PER_TASK, largest: int = LARGEST) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     wanted = per_task * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-size // LARGEST), min(wanted, -(-size // SMALLEST)))
+    return max(1, -(-size // largest), min(wanted, -(-size // SMALLEST)))
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlens.llm import groups as G
-from bazaarlens.llm.arrays import LOWER, WHITE, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
+from bazaarlens.llm.arrays import LOWER, WHITE, Sums, Words, byte_sums, group_edges, mix, pack, slices, text_buffers, unpack
 from bazaarlens.llm.naming import names_apart
 
 #: Bytes of the contexts beside the word so far, which comes last.
@@ -40,9 +41,11 @@ WIDE = 8
 #: The gate counts which of so many last contexts have been seen.
 GATED = 3
 #: Bytes of text that are coded at once.
-CODED_BYTES = 1 << 19
+CODED_BYTES = 1 << 18
+#: Bytes of text of a large group, on average: the more, the fewer pairs are sent, and the more memory a task takes.
+GROUP_BYTES = 14 << 20
 #: Places whose pairs are sorted at once, and rows of contexts whose odds are computed or laid out at once.
-SORTED_PLACES = 1 << 25
+SORTED_PLACES = 1 << 22
 ODDS_ROWS = 1 << 17
 #: Predictions are kept in sixteenths of a natural-log odds unit.
 SCALE = 16.0
@@ -99,8 +102,6 @@ class Coded:
         self.bytes = out
         self.coded = coded
         self.symbols = out[coded]
-        self.sums = byte_sums(out)
-        self.units = self.sums.runs(self.begins, self.begins + self.lengths)
         # the last byte, two, four and all, each from the one before
         gram = out.astype(np.uint64)
         for k in (1, 2, 4):
@@ -109,6 +110,14 @@ class Coded:
         gram &= _GRAM
         self.grams = gram
 
+    @cached_property
+    def sums(self) -> Sums:
+        return byte_sums(self.bytes)
+
+    @cached_property
+    def units(self) -> np.ndarray:
+        return self.sums.runs(self.begins, self.begins + self.lengths)
+
     @property
     def at(self) -> np.ndarray:
         return np.flatnonzero(self.coded)
@@ -198,14 +207,14 @@ def _edges_of(first: np.ndarray, rows: int) -> np.ndarray:
     return np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, rows]))
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their sums, and where each key stands among them."""
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums, where each key stands among them, and where one of each stood."""
     order = np.argsort(key)
     key = key[order]
     first = group_edges(key)
     back = np.empty(len(order), np.int32)
     back[order] = _edges_of(first, len(order))
-    return key[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else n, back
+    return key[first], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else n, back, order[first]
 
 
 class Pairs:
@@ -213,71 +222,86 @@ class Pairs:
 
     ``grams``: tagged, by order and number, and ``edges``: where each order begins; ``up``: for each order but the last,
     where the grams of the next order have theirs. Then the pairs of the distinct units, by the context's hash: ``contexts``
-    and ``symbols``; ``units``: hashes of the distinct units, rising, ``often``: their counts, ``unit_first``: their first
+    and ``symbols``; ``units``: hashes of the distinct units, rising, ``often``: their counts, ``unit_rows``: which of them each
+    unit of the texts is, ``unit_first``: their first
     places in ``unit_pairs``, the pair of each place of a unit. ``times``: counts of the grams, then of the units' pairs.
     """
 
     def __init__(self, parts: Iterator[tuple[Coded, np.ndarray]]):
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[np.ndarray] = []
+        waiting, filled = np.empty(SORTED_PLACES, np.uint64), 0
         hashes, often, lengths, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
         for coded, train in parts:
             places = coded.grams << np.uint64(1)
             places |= np.repeat(train.astype(np.uint64), coded.size)
-            if sum(map(len, waiting)) + len(places) > SORTED_PLACES:
-                found.append(self._distinct(waiting))
-            waiting.append(places)
+            if filled + len(places) > len(waiting):
+                found.append(self._distinct(waiting[:filled]))
+                waiting, filled = waiting if len(places) <= len(waiting) else np.empty(len(places), np.uint64), 0
+            waiting[filled : (filled := filled + len(places))] = places
             hashes.append(coded.units)
             often.append(train[coded.unit_doc])
             lengths.append(coded.lengths.astype(np.int32))
             bodies.append(coded.bytes[coded.coded])
         del parts
-        found.append(self._distinct(waiting))
-        hash_, bytes_ = np.concatenate(hashes), np.concatenate(bodies)
-        del hashes, bodies
-        order = np.argsort(hash_)
+        found.append(self._distinct(waiting[:filled]))
+        del waiting
+        key, n = found[0]
+        if len(found) > 1:
+            key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = group_edges(key)
+            key, n = key[first], np.add.reduceat(n, first, dtype=np.uint32)
+            del order, first
+        del found
+        grams, counts, self.up = [tagged(key, ORDERS[-1])], [n], []
+        for k in ORDERS[-2::-1]:
+            key, n, back, _ = _summed(tagged(grams[0], k), counts[0])
+            grams.insert(0, key)
+            counts.insert(0, n)
+            self.up.insert(0, back)
+        del key, n
+        hash_ = np.concatenate(hashes)
+        del hashes
+        order = np.argsort(hash_).astype(np.int32)
         hash_ = hash_[order]
         first = group_edges(hash_)
         self.units = hash_[first]
+        self.unit_rows = np.empty(len(order), np.int32)
+        self.unit_rows[order] = _edges_of(first, len(order))
         del hash_
         train = np.concatenate(often)[order]
         self.often = np.add.reduceat(train, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
         one, lengths = order[first], np.concatenate(lengths)
+        del order, train, often, first
         begins = np.cumsum(lengths, dtype=np.int64) - lengths
         begins, lengths = begins[one], lengths[one].astype(np.int64)
+        bytes_ = np.concatenate(bodies)
+        del bodies, one
         bytes_ = bytes_[_runs(begins, lengths)]
-        del order, train, often, one, begins
+        del begins
         self.unit_first = np.cumsum(lengths) - lengths
-        at = np.arange(len(bytes_))
-        context = byte_sums(bytes_).runs(np.repeat(self.unit_first, lengths), at)
-        pair, times, back = _summed(context ^ _MARKS[bytes_], np.repeat(self.often, lengths))
-        one = np.empty(len(pair), np.int64)
-        one[back] = at
-        del at, pair
-        order = np.argsort(context[one])
-        self.contexts, self.symbols, word_times = context[one][order], bytes_[one][order], times[order]
+        context = np.empty(len(bytes_), np.uint64)
+        ends = np.r_[self.unit_first, len(bytes_)]
+        for a, b in slices(ends, CODED_BYTES):
+            i, j = ends[a], ends[b]
+            heads = np.repeat(self.unit_first[a:b] - i, lengths[a:b])
+            context[i:j] = byte_sums(bytes_[i:j]).runs(heads, np.arange(j - i))
+        _, times, back, one = _summed(context ^ _MARKS[bytes_], np.repeat(self.often, lengths))
+        context, symbol = context[one], bytes_[one]
+        del bytes_, one
+        order = np.argsort(context)
+        self.contexts, self.symbols, word_times = context[order], symbol[order], times[order]
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.unit_pairs = place[back]
-        del context, bytes_, back, one
-        key, n = found[0] if len(found) == 1 else _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))[:2]
-        del found
-        grams, counts, self.up = [tagged(key, ORDERS[-1])], [n], []
-        for k in ORDERS[-2::-1]:
-            key, n, back = _summed(tagged(grams[0], k), counts[0])
-            grams.insert(0, key)
-            counts.insert(0, n)
-            self.up.insert(0, back)
+        del context, symbol, order, place, back, times
         self.edges = np.cumsum([0, *map(len, grams)])
         self.grams, self.times = np.concatenate(grams), np.concatenate([*counts, word_times])
 
     @staticmethod
-    def _distinct(waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams of the places that wait, marked by whether they train, and how many train."""
-        all_, end = np.empty(sum(map(len, waiting)), np.uint64), 0
-        while waiting:
-            part = waiting.pop()
-            all_[end : (end := end + len(part))] = part
+    def _distinct(all_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of places marked by whether they train, and how many train."""
         all_.sort()
         at = group_edges(all_)
         n = np.diff(np.r_[at, len(all_)])
@@ -306,7 +330,7 @@ def pair_counts(parts: Iterator[tuple[Coded, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def corpus_odds(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> np.ndarray:
-    """Log odds of branch 1 in steps of 1 / SCALE (0: never seen), of each decision of each row's byte.
+    """Log odds of the branch taken, in steps of 1 / SCALE (0: never seen), at each decision of each row's byte.
 
     A row says that the byte follows the context n times; rows of all that sent the context are summed. So many rows are
     worked on at once, those of a context together.
@@ -356,6 +380,7 @@ def _odds(c: np.ndarray, symbol: np.ndarray, n: np.ndarray, tree: Tree) -> tuple
     z = np.clip(np.rint(np.where(both > 0, z, 0)), -127, 127).astype(np.int8)
     odds = np.empty(len(key), np.int8)
     odds[by_key] = np.repeat(z, np.diff(np.r_[edges, len(key)]))
+    odds *= tree.signs[inner].astype(np.int8)
     return odds, (np.cumsum(steps, dtype=np.int64) - steps)[back]
 
 
@@ -366,9 +391,12 @@ def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Answers:
-    """The odds of a group's pairs, as the hash ranges have answered them; ``start``: where those of each pair begin."""
+    """The odds of a group's pairs, as the hash ranges have answered them; ``start``: where those of each pair begin.
+
+    ``pair``: hashes of the pairs, for those who look them up.
+    """
 
-    def __init__(self, symbol: np.ndarray, pair: np.ndarray, odds: np.ndarray, tree: Tree):
+    def __init__(self, symbol: np.ndarray, pair: np.ndarray | None, odds: np.ndarray, tree: Tree):
         lengths = tree.lengths[symbol].astype(np.int64)
         self.pair, self.start, self.odds = pair, np.cumsum(lengths) - lengths, odds
 
@@ -410,15 +438,14 @@ class Places:
 class Table:
     """The answers by place: for each gram the odds of all orders side by side, for each place of a unit its odds.
 
-    ``rows``: WIDE bytes for each decision of each gram, namely the odds by order, a free one, the branch taken (1, -1), and
-    a free one; ``gram``: 4 * its first row + how many of the gated orders have been seen; ``word``: 2 * where the odds
+    ``rows``: WIDE bytes for each decision of each gram, namely the odds by order and free ones; ``gram``: 4 * its first row + how many of the gated orders have been seen; ``word``: 2 * where the odds
     begin + whether the context has been seen.
     """
 
     def __init__(self, pairs: Pairs, start: np.ndarray, odds: np.ndarray, tree: Tree):
         self.odds, self.unit_first = odds, pairs.unit_first
         last, words = pairs.edges[-2], pairs.edges[-1]
-        self.grams, self.units = Places(pairs.grams[last:]), Places(pairs.units)
+        self.grams = Places(pairs.grams[last:])
         # every path begins at the root: a context that has been seen has odds there
         word = start[words:]
         self.word = (word << 1 | (odds[word] != 0))[pairs.unit_pairs]
@@ -433,7 +460,6 @@ class Table:
             own, row = steps[a:b], np.arange(a, b)
             i, j = int(begin[a]), int(begin[b - 1] + own[-1])
             step = np.arange(i, j) - np.repeat(begin[a:b], own)
-            view[i:j, CONTEXTS] = tree.signs[np.repeat(tree.starts[symbol[a:b]], own) + step]
             for k in range(len(ORDERS) - 1, -1, -1):
                 row = row if k == len(ORDERS) - 1 else pairs.up[k][row]
                 from_ = start[pairs.edges[k] + row]
@@ -443,8 +469,8 @@ class Table:
         self.gram = begin << 2 | seen
 
 
-def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers | Table) -> np.ndarray:
-    """Natural-log cost of each text."""
+def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers | Table, units: np.ndarray | None = None) -> np.ndarray:
+    """Natural-log cost of each text. ``units``: with a table, the number of each unit there."""
     gates = GATED + 1
     weights = np.zeros((rows * gates, WIDE), np.float32)
     weights[:, :CONTEXTS] = np.tile(START_WEIGHTS / np.float32(SCALE), (rows, 1))
@@ -454,9 +480,9 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers | Table) ->
     if isinstance(answers, Answers):
         pairs = Pairs([(coded, np.zeros(rows, bool))])
         context, symbol = pairs.rows()
-        answers = Table(pairs, answers.starts(context ^ _MARKS[symbol]), answers.odds, tree)
+        answers, units = Table(pairs, answers.starts(context ^ _MARKS[symbol]), answers.odds, tree), pairs.unit_rows
     gram = answers.gram.take(answers.grams.of(tagged(coded.grams, PAD)), mode="clip")
-    unit = np.repeat(answers.unit_first[answers.units.of(coded.units)] - coded.first, coded.lengths)
+    unit = np.repeat(answers.unit_first[units] - coded.first, coded.lengths)
     unit += np.arange(len(unit))
     word = answers.word.take(unit, mode="clip")
     gate = (gram & 3) + (word & 1)
@@ -483,25 +509,25 @@ def mixed_cost(coded: Coded, rows: int, tree: Tree, answers: Answers | Table) ->
     inputs = answers.rows.take(at, mode="clip").view(np.int8).reshape(-1, WIDE)
     at += np.repeat(word - gram, steps)
     inputs[:, CONTEXTS - 1] = answers.odds.take(at, mode="clip")
-    signs = inputs[:, CONTEXTS].astype(np.float32)
-    inputs[:, CONTEXTS] = 0
     begin = np.r_[begin[first], len(at)]
+    run_lengths = np.diff(begin)
+    run_cost = np.empty(len(which))
     del at, gram, word, steps, order
     cuts = np.searchsorted(chunk, np.arange(int(chunk[-1]) + 2))
+    # the inputs are SCALE times the predictions, and so are their sums; the weights are one SCALE-th
+    rate, low, high = np.float32(RATE / SCALE / SCALE), np.float32(-12), np.float32(12)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         i, j = begin[a], begin[b]
-        own, lengths, at = which[a:b], np.diff(begin[a : b + 1]), begin[a:b] - i
-        x, sign = inputs[i:j].astype(np.float32), signs[i:j]
-        z = np.einsum("ij,ij->i", x, np.repeat(weights[own], lengths, axis=0))
-        z *= sign
-        np.clip(z, -12, 12, out=z)
-        odds = np.exp(-z)
-        np.add.at(cost, own // gates, np.add.reduceat(np.log1p(odds), at))
+        own, at = which[a:b], begin[a:b] - i
+        x = inputs[i:j].astype(np.float32)
+        z = np.einsum("ij,ij->i", x, weights[own].repeat(run_lengths[a:b], axis=0))
+        np.maximum(np.minimum(z, high, out=z), low, out=z)
+        odds = np.exp(np.negative(z, out=z), out=z)
+        run_cost[a:b] = np.add.reduceat(np.log1p(odds), at)
         odds /= 1 + odds
-        odds *= sign
-        x *= np.repeat(odds, WIDE).reshape(-1, WIDE)
-        # the inputs are SCALE times the predictions, and so are these sums; the weights are one SCALE-th
-        weights[own] += np.float32(RATE / SCALE / SCALE) * np.add.reduceat(x, at, axis=0)
+        x *= odds.repeat(WIDE).reshape(-1, WIDE)
+        weights[own] += rate * np.add.reduceat(x, at, axis=0)
+    cost += np.bincount(which // gates, run_cost, rows)
     return cost
 
 
@@ -515,7 +541,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     """
     marked = docs.withColumn("__train", F.coalesce(training, F.lit(False)))
     tree = Tree(byte_counts(marked.filter("__train"), text_col))
-    n = G.group_count(docs, text_col, 1)
+    n = G.group_count(docs, text_col, 1, GROUP_BYTES)
     texts = G.in_groups(marked, id_col, text_col, n)
     added = "n_tokens long, n_known long, score double, n_bytes long, train_tokens long, base_score double"
     names = [x.split()[0] for x in added.split(", ")]
@@ -546,7 +572,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         units_at, grams_at, words_at = (np.cumsum([0, *(len(p[i]) for p in parts)]) for i in (0, 2, 4))
         h, often, grams, times, context, symbol, word_times = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        _, all_, back = _summed(h, often.astype(np.int64))
+        _, all_, back, _ = _summed(h, often.astype(np.int64))
         symbol, middle = np.concatenate([grams.astype(np.uint8), symbol]), len(grams)
         odds = corpus_odds(np.concatenate([gram_contexts(grams), context]), symbol, np.concatenate([times, word_times]), tree)
         at = np.r_[0, np.cumsum(tree.lengths[symbol], dtype=np.int64)]
@@ -570,23 +596,22 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         tokens, vocabulary = np.sum([p[3] for p in parts], axis=0).tolist()
         del parts
         pairs, order, _ = contexts(table_)
-        context, symbol = pairs.rows()
-        moved = np.r_[order, np.arange(len(order), len(symbol))]
-        answers = Answers(symbol[moved], context[moved] ^ _MARKS[symbol[moved]], np.concatenate([gram_odds, word_odds]), tree)
-        start = np.empty(len(moved), np.int64)
-        start[moved] = answers.start
+        symbol = np.concatenate([pairs.grams.astype(np.uint8)[order], pairs.symbols])
+        answers = Answers(symbol, None, np.concatenate([gram_odds, word_odds]), tree)
+        start = answers.start.copy()
+        start[order] = answers.start[: len(order)]
         odds = answers.odds
-        del gram_odds, word_odds, context, symbol, moved, order, answers
-        table = Table(pairs, start, odds, tree)
+        del gram_odds, word_odds, symbol, order, answers
+        table, units, end = Table(pairs, start, odds, tree), pairs.unit_rows, 0
         del pairs, start
         logs, each = np.log10(c + 0.5), float(np.log10(tokens + 0.5 * (vocabulary + 1)))
         out = {k: [] for k in names}
         for a, b, coded in _coded(*text_buffers(table_[G.TEXT]), CODED_BYTES):
-            at, rows = table.units.of(coded.units), b - a
+            at, rows = units[end : (end := end + len(coded.lengths))], b - a
             n_tokens = np.bincount(coded.unit_doc, minlength=rows)
             out["n_tokens"].append(n_tokens)
             out["n_known"].append(np.bincount(coded.unit_doc[c[at] > 0], minlength=rows))
-            out["score"].append(-mixed_cost(coded, rows, tree, table) / np.log(10))
+            out["score"].append(-mixed_cost(coded, rows, tree, table, at) / np.log(10))
             out["n_bytes"].append(coded.size)
             out["train_tokens"].append(np.full(rows, tokens))
             out["base_score"].append(np.bincount(coded.unit_doc, logs[at], rows) - n_tokens * each)
